@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("window_queries", "forecast_queries")
+MODULES = ("window_queries", "forecast_queries", "test_queries")
 
 
 def load() -> None:
