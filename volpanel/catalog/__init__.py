@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ("window_queries", "forecast_queries", "test_queries")
+MODULES = ("window_queries", "forecast_queries", "test_queries", "calendar_queries",
+           "quality_queries", "robust_queries")
 
 
 def load() -> None:
