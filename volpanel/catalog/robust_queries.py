@@ -279,7 +279,7 @@ def stability_by_distance(spark, sf_dir):
 @query("rank_stability", with_parts(f"""WITH s AS (SELECT series_id, horizon, avg(rho) FILTER (WHERE y2 - y1 = 1) AS cm, min(rho) FILTER (WHERE y2 - y1 = 1) AS cn, arg_max(rho, y2 - y1) AS fl, arg_max(ov, y2 - y1) AS fo FROM spairs GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon, test_year ORDER BY v DESC, feature) AS k FROM imp),
 t AS (SELECT series_id, horizon, count(DISTINCT feature) FILTER (WHERE k <= 2) AS n_in_top, count(DISTINCT test_year) AS n_folds FROM k GROUP BY ALL),
-l AS (SELECT series_id, horizon, feature AS usual_leader, count(*) AS folds_led FROM k WHERE k = 1 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY series_id, horizon ORDER BY count(*) DESC, feature DESC) = 1),
+l AS (SELECT series_id, horizon, feature AS usual_leader, count(*) AS folds_led FROM k WHERE k = 1 GROUP BY series_id, horizon, feature QUALIFY row_number() OVER (PARTITION BY series_id, horizon ORDER BY count(*) DESC, feature DESC) = 1),
 p AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY v DESC, feature) AS k FROM (SELECT series_id, horizon, feature, avg(v) AS v FROM imp GROUP BY ALL)),
 c AS (SELECT series_id, horizon, 100 * sum(v) FILTER (WHERE k <= 2) / sum(v) AS cc FROM p GROUP BY ALL)
 SELECT series_id, horizon, {rd('cm', 6)} AS consecutive_mean, {rd('cn', 6)} AS consecutive_min, {rd('fl', 6)} AS first_last_rho, {rd('fo', 5)} AS first_last_overlap_pct, n_in_top, n_folds, usual_leader, folds_led,
