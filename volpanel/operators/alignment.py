@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from volpanel.operators import features as ft
 from volpanel.operators.asof import asof_join
-from volpanel.operators.panel import add_chunks, chunk_window, core_rows
 
 
 def release_monday(day: Column) -> Column:
@@ -24,14 +23,13 @@ def features_as_published(numbered: DataFrame, published: Column | str = "public
 
     ``numbered`` must hold the publication date of each row's index observation.
     """
-    w = chunk_window(keys)
-    df = add_chunks(numbered, back=ft.ema_reach() + 1)
-    df = df.withColumn("prev_date", F.lag("obs_date", 1).over(w))
-    base = core_rows(ft.own_features(df, w, keys))
-    block = core_rows(ft.index_block(add_chunks(numbered, back=ft.ema_reach() + 1), w, keys))
+    base = ft.causal_columns(numbered, ("price", "implied"), keys, previous_date=True)
+    base = base.select(*keys, "obs_date", "year", "row_no", "prev_date", "har_daily",
+                       *[c for c in ft.FEATURES if c in base.columns])
+    block = ft.index_block(numbered, keys)
     names = ft.INDEX_BLOCK
-    out = asof_join(base, block.withColumn("used_row", F.col("row_no")).withColumn("used_date", F.col("obs_date")),
-                    keys, "prev_date", published, [*names, "used_row", "used_date"], tie=("used_row",))
+    known = block.withColumnsRenamed({"row_no": "used_row", "obs_date": "used_date"})
+    out = asof_join(base, known, keys, "prev_date", published, [*names, "used_row", "used_date"], tie=("used_row",))
     out = ft.derived_features(out)
     return out.select(*keys, "obs_date", "year", "row_no", "prev_date", "used_row", "used_date",
                       "har_daily", *ft.FEATURES)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volpanel import config as C
 from volpanel.operators.panel import (add_chunks, chunk_window, core_rows, decay_block,
-                                      decayed_sum, full_frame)
+                                      decayed_sums, full_frame)
 
 INDEXES = ("idx_a", "idx_b")
 RETURN_COLUMNS = [f"price_ret_lag{i}" for i in C.LAGS] + [f"price_vol{w}" for w in C.VOL_WINDOWS] \
@@ -67,15 +67,13 @@ def ema_columns(df: DataFrame, columns, spans=C.EMA_SPANS, keys=("series_id",))
     NULL on the first span-1 rows. ``(1-a)*ema + a*x`` with the seed counted in
     full is a decayed sum in which row 0 weighs 1 and the others ``a``.
     """
-    for span in spans:
-        alpha = 2.0 / (span + 1)
-        weight = F.when(F.col("row_no") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        df = decayed_sum(df, {f"{c}_ema{span}": weight * F.col(c) for c in columns},
-                         1 - alpha, keys)
-        df = df.withColumns({
-            f"{c}_ema{span}": F.when(F.col("row_no") >= span - 1, F.col(f"{c}_ema{span}"))
-            for c in columns})
-    return df
+    def weight(alpha):
+        return F.when(F.col("row_no") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+
+    df = decayed_sums(df, {f"{c}_ema{s}": (weight(2.0 / (s + 1)) * F.col(c), 1 - 2.0 / (s + 1))
+                           for c in columns for s in spans}, keys)
+    return df.withColumns({f"{c}_ema{s}": F.when(F.col("row_no") >= s - 1, F.col(f"{c}_ema{s}"))
+                           for c in columns for s in spans})
 
 
 def ema_reach(spans=C.EMA_SPANS) -> int:
@@ -101,20 +99,21 @@ def returns_and_targets(numbered: DataFrame, horizons, keys=("series_id",),
     return core_rows(df)
 
 
-def index_block(df: DataFrame, w: WindowSpec, keys=("series_id",)) -> DataFrame:
+def index_block(numbered: DataFrame, keys=("series_id",)) -> DataFrame:
     """Index features on the index's own rows, not yet shifted (row d uses rows <= d).
 
-    Needs chunks reaching :func:`ema_reach` rows back. Columns are named as the
-    features they become once :mod:`asof` or a one-row lag has aligned them.
+    Columns are named as the features they become once an as-of join has aligned
+    them; lagging them by one row gives the plain alignment.
     """
-    df = ema_columns(df, INDEXES, keys=keys)
+    w = chunk_window(keys)
+    df = ema_columns(add_chunks(numbered, back=ema_reach()), INDEXES, keys=keys)
     cols = {}
     for x in INDEXES:
         for i in C.LAGS:
             cols[f"{x}_lag{i}"] = F.lag(x, i - 1).over(w) if i > 1 else F.col(x)
         cols[f"{x}_z60"] = zscore(x, w)
     cols["index_ratio"] = F.try_divide(F.col("idx_b"), F.col("idx_a"))
-    return df.withColumns(cols)
+    return core_rows(df.withColumns(cols))
 
 
 INDEX_BLOCK = ([f"{x}_lag{i}" for x in INDEXES for i in C.LAGS]
@@ -122,22 +121,30 @@ INDEX_BLOCK = ([f"{x}_lag{i}" for x in INDEXES for i in C.LAGS]
                + [f"{x}_z60" for x in INDEXES] + ["index_ratio"])
 
 
-def own_features(df: DataFrame, w: WindowSpec, keys=("series_id",)) -> DataFrame:
-    """Lags, exponential means, returns, volatility ladder and implied-series features."""
-    own = ("price", "implied")
-    df = ema_columns(df, own, keys=keys)
-    df = df.withColumn("ret", log_return("price", w))
-    cols = {f"{x}_lag{i}": F.lag(x, i).over(w) for x in own for i in C.LAGS}
-    cols |= {f"{x}_ema{s}": F.lag(f"{x}_ema{s}", 1).over(w) for x in own for s in C.EMA_SPANS}
+def causal_columns(numbered: DataFrame, names, keys=("series_id",), previous_date: bool = False) -> DataFrame:
+    """All windowed features of the series in ``names``, lagged by one row.
+
+    Windows come in three layers on one exchange: decayed sums, this-row
+    statistics, and their lags.
+    """
+    w = chunk_window(keys)
+    indexes = [x for x in names if x in INDEXES]
+    df = ema_columns(add_chunks(numbered, back=ema_reach() + 1), names, keys=keys)
+    zs = ["implied", *indexes]
+    df = df.withColumns({"ret": log_return("price", w), **{f"_z_{x}": zscore(x, w) for x in zs},
+                         "_mr": mean_ratio("implied", w)})
+    cols = {f"{x}_lag{i}": F.lag(x, i).over(w) for x in names for i in C.LAGS}
+    cols |= {f"{x}_ema{s}": F.lag(f"{x}_ema{s}", 1).over(w) for x in names for s in C.EMA_SPANS}
+    cols |= {f"{x}_z60": F.lag(f"_z_{x}", 1).over(w) for x in zs}
     cols |= {f"price_ret_lag{i}": F.lag("ret", i).over(w) for i in C.LAGS}
     cols |= {f"price_vol{n}": past_vol("ret", w, n) for n in C.VOL_WINDOWS}
-    cols |= {"_z": zscore("implied", w), "_mr": mean_ratio("implied", w)}
-    df = df.withColumns(cols)
-    return df.withColumns({
-        "har_daily": F.abs("price_ret_lag1"),
-        "implied_z60": F.lag("_z", 1).over(w),
-        "implied_mr60": F.lag("_mr", 1).over(w),
-    }).drop("_z", "_mr")
+    cols |= {"implied_mr60": F.lag("_mr", 1).over(w), "har_daily": F.abs(F.lag("ret", 1).over(w))}
+    if previous_date:
+        cols["prev_date"] = F.lag("obs_date", 1).over(w)
+    df = core_rows(df.withColumns(cols)).drop("_mr", *[f"_z_{x}" for x in zs])
+    if len(indexes) == 2:
+        df = df.withColumn("index_ratio", F.try_divide(F.col("idx_b_lag1"), F.col("idx_a_lag1")))
+    return df
 
 
 def derived_features(df: DataFrame) -> DataFrame:
@@ -189,30 +196,10 @@ def build_features(numbered: DataFrame, keys=("series_id",), keep=()) -> DataFra
     ``numbered`` is the output of ``number_rows``. For features aligned by
     publication date see ``alignment.features_as_published``.
     """
-    w = chunk_window(keys)
-    df = add_chunks(numbered, back=ema_reach() + 1)
-    df = index_block(df, w, keys)
-    df = df.withColumns({c: F.lag(c, 1).over(w) for c in INDEX_BLOCK})
-    df = own_features(df, w, keys)
-    df = derived_features(core_rows(df))
+    df = derived_features(causal_columns(numbered, ("price", "implied", *INDEXES), keys))
     return df.select(*keys, "obs_date", "year", "row_no", *keep, "har_daily", *FEATURES)
 
 
-def har_regressors(numbered: DataFrame, keys=("series_id",), keep=()) -> DataFrame:
-    """Only the six regressors of the linear family: a far shorter reach than the matrix."""
-    w = chunk_window(keys)
-    df = add_chunks(numbered, back=max(22, 20) + 1)
-    df = df.withColumn("ret", log_return("price", w))
-    df = df.withColumns({
-        "har_daily": F.abs(F.lag("ret", 1).over(w)),
-        "price_vol5": past_vol("ret", w, 5),
-        "price_vol20": past_vol("ret", w, 20),
-        **{f"{x}_lag1": F.lag(x, 1).over(w) for x in ("implied", "idx_a", "idx_b")}})
-    df = core_rows(df)
-    return df.select(*keys, "obs_date", "year", "row_no", *keep,
-                     *C.HAR_VARIANTS["har_x"])
-
-
 def lookback_sequences(df: DataFrame, columns, length: int = 20, keys=("series_id",)) -> DataFrame:
     """Arrays of the last ``length`` feature vectors; only rows with all of them complete."""
     w = chunk_window(keys).rowsBetween(-(length - 1), 0)

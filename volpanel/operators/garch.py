@@ -10,7 +10,7 @@ place of a Student-t optimum.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.operators.panel import add_chunks, core_rows, decay_block, decayed_sum
+from volpanel.operators.panel import add_chunks, core_rows, decay_block, decayed_sums
 
 # The grid: persistence is kept below one.
 ALPHAS = (0.03, 0.06, 0.1, 0.15)
@@ -28,10 +28,10 @@ def decay_table(returns: DataFrame, betas=BETAS, keys=("series_id",)) -> DataFra
                     back=2 * max(decay_block(b) for b in betas) + 1)
     r = F.col("ret")
     w = Window.partitionBy(*keys, "_chunk").orderBy("row_no")
-    for b in betas:
-        df = decayed_sum(df, {f"s2_{_tag(b)}": r * r, f"s1_{_tag(b)}": r}, b, keys)
-        # value before this row's own return
-        df = df.withColumns({c: F.coalesce(F.lag(c, 1).over(w), F.lit(0.0)) for c in (f"s2_{_tag(b)}", f"s1_{_tag(b)}")})
+    sums = {f"s{k}_{_tag(b)}": (x, b) for b in betas for k, x in ((2, r * r), (1, r))}
+    df = decayed_sums(df, sums, keys)
+    # the value before this row's own return
+    df = df.withColumns({c: F.coalesce(F.lag(c, 1).over(w), F.lit(0.0)) for c in sums})
     return core_rows(df)
 
 

@@ -31,48 +31,37 @@ def fold_moments(rows: DataFrame, regressors, variants: dict, groups, test_years
     groups, xs = list(groups), list(regressors)
     k = len(xs)
     cols = [*xs, y]
-    present = F.lit(0)
-    for i, x in enumerate(xs):
-        present = present + F.when(F.col(x).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-    buckets = (rows.withColumn("_present", present).groupBy(*groups, "fit_from", "_present").agg(
+    ids, pairs = range(k + 1), _pairs(k + 1)
+    present = " + ".join(f"if({x} is not null, {1 << i}, 0)" for i, x in enumerate(xs))
+    buckets = (rows.withColumn("_present", F.expr(present)).groupBy(*groups, "fit_from", "_present").agg(
         F.count(F.lit(1)).alias("n"), F.min(y).alias("y_min"),
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-        *[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in _pairs(k + 1)]))
+        *[F.expr(f"avg({c}) as m_{i}") for i, c in enumerate(cols)],
+        *[F.expr(f"covar_pop({cols[i]}, {cols[j]}) as c_{i}_{j}") for i, j in pairs]))
     whole = Window.partitionBy(*groups).orderBy("fit_from", "_present").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    buckets = buckets.withColumns({
-        f"r_{i}": F.first(f"m_{i}", ignorenulls=True).over(whole) for i in range(k + 1)})
-    d = [F.coalesce(F.col(f"m_{i}") - F.col(f"r_{i}"), F.lit(0.0)) for i in range(k + 1)]
-    n = F.col("n")
-    parts = buckets.select(
-        *groups, "fit_from", "_present", "n", "y_min", *[f"r_{i}" for i in range(k + 1)],
-        *[(n * d[i]).alias(f"s_{i}") for i in range(k + 1)],
-        *[(n * (F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) + d[i] * d[j])).alias(f"p_{i}_{j}")
-          for i, j in _pairs(k + 1)],
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("variant"),
-                     F.lit(sum(1 << xs.index(x) for x in cs)).alias("mask"))
-            for name, cs in variants.items()])).alias("v"))
-    parts = (parts.filter(F.col("_present").bitwiseAND(F.col("v.mask")) == F.col("v.mask"))
-             .withColumn("variant", F.col("v.variant")).drop("v", "_present"))
+    refs = [f"r_{i}" for i in ids]
+    buckets = buckets.withColumns({f"r_{i}": F.first(f"m_{i}", ignorenulls=True).over(whole) for i in ids})
+    masks = ", ".join(f"named_struct('variant', '{name}', 'mask', {sum(1 << xs.index(x) for x in cs)})"
+                      for name, cs in variants.items())
+    parts = (buckets.selectExpr(*groups, "fit_from", "_present", "n", "y_min", *refs, f"inline(array({masks}))",
+                                *[f"coalesce(m_{i} - r_{i}, 0D) as d_{i}" for i in ids],
+                                *[f"coalesce(c_{i}_{j}, 0D) as c_{i}_{j}" for i, j in pairs])
+             .filter("(_present & mask) = mask")
+             .selectExpr(*groups, "variant", "fit_from", "n", "y_min", *refs,
+                         *[f"n * d_{i} as s_{i}" for i in ids],
+                         *[f"n * (c_{i}_{j} + d_{i} * d_{j}) as p_{i}_{j}" for i, j in pairs]))
     keys = [*groups, "variant"]
-    sums = ["n", *[f"s_{i}" for i in range(k + 1)], *[f"p_{i}_{j}" for i, j in _pairs(k + 1)]]
-    refs = [f"r_{i}" for i in range(k + 1)]
-    merged = parts.groupBy(*keys, F.col("fit_from").alias("test_year")).agg(
-        *[F.sum(c).alias(c) for c in sums], F.min("y_min").alias("y_min"))
-    # every fold of a group, also those whose bucket is empty
-    years = F.array(*[F.lit(int(t)) for t in sorted(test_years)])
-    frame = (parts.groupBy(*keys).agg(*[F.first(r).alias(r) for r in refs])
-             .withColumn("test_year", F.explode(years)))
-    upto = Window.partitionBy(*keys).orderBy("test_year").rowsBetween(Window.unboundedPreceding, 0)
-    total = frame.join(merged, [*keys, "test_year"], "left").withColumns({
-        **{c: F.sum(c).over(upto) for c in sums}, "y_min": F.min("y_min").over(upto)})
-    n = F.col("n")
-    return total.filter(n > 0).select(
-        *keys, "test_year", "n", "y_min",
-        *[(F.col(f"r_{i}") + F.col(f"s_{i}") / n).alias(f"m_{i}") for i in range(k + 1)],
-        *[(F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / n).alias(f"c_{i}_{j}")
-          for i, j in _pairs(k + 1)])
+    sums = ["n", *[f"s_{i}" for i in ids], *[f"p_{i}_{j}" for i, j in pairs]]
+    # on this small table a bucket simply joins every later fold
+    years = ", ".join(str(int(t)) for t in sorted(test_years))
+    merged = (parts.withColumn("test_year", F.expr(f"explode(array({years}))"))
+              .filter("fit_from <= test_year")
+              .groupBy(*keys, "test_year").agg(*[F.expr(f"sum({c}) as {c}") for c in sums],
+                                               F.min("y_min").alias("y_min"),
+                                               *[F.expr(f"first({r}) as {r}") for r in refs]))
+    return merged.selectExpr(
+        *keys, "test_year", "n", "y_min", *[f"r_{i} + s_{i} / n as m_{i}" for i in ids],
+        *[f"p_{i}_{j} - s_{i} * s_{j} / n as c_{i}_{j}" for i, j in pairs])
 
 
 def solve_batch(c: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -67,32 +67,37 @@ def decay_block(decay: float) -> int:
     return max(2, math.ceil(40.0 / -math.log(decay)))
 
 
-def decayed_sum(df: DataFrame, inputs: dict[str, Column], decay: float,
-                keys=("series_id",)) -> DataFrame:
-    """Add ``out_t = sum_i decay**i * x_(t-i)`` for each ``out: x`` of ``inputs``.
-
-    The linear recursion ``out_t = x_t + decay*out_(t-1)`` without a row loop:
-    a running sum of ``x * decay**-position`` inside blocks of ``decay_block``
-    rows, plus the end value of the block before. Whatever lies further back
-    weighs less than 4e-18. Needs chunks with ``back >= 2*decay_block(decay)``.
+def decayed_sums(df: DataFrame, inputs: dict[str, tuple[Column, float]], keys=("series_id",)) -> DataFrame:
+    """Add ``out_t = sum_i decay**i * x_(t-i)`` for each ``out: (x, decay)``.
+
+    The linear recursion ``out_t = x_t + decay*out_(t-1)`` without a row loop: a
+    running sum of ``x * decay**-position`` inside blocks, plus the end value of
+    the block before. One block length, set by the slowest decay, serves all, so
+    any number of sums costs one extra sort. Whatever lies further back weighs
+    less than 4e-18. Needs chunks with ``back >= 2*decay_block(slowest)``.
     """
-    size = decay_block(decay)
+    size = max(decay_block(d) for _, d in inputs.values())
+    if size * -math.log(min(d for _, d in inputs.values())) > 600:
+        raise ValueError("decays lie too far apart for one block length; sum them in two calls")
     pos = F.col("row_no") % size
-    tag = f"_blk{size}"
-    local = Window.partitionBy(*keys, "_chunk", tag).orderBy("row_no").rowsBetween(
+    local = Window.partitionBy(*keys, "_chunk", "_blk").orderBy("row_no").rowsBetween(
         Window.unboundedPreceding, 0)
     past = chunk_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    d = F.lit(float(decay))
-    df = df.withColumn(tag, F.floor(F.col("row_no") / size))
+    decays = sorted({d for _, d in inputs.values()})
+    up = {d: f"_u{i}" for i, d in enumerate(decays)}
+    down = {d: f"_d{i}" for i, d in enumerate(decays)}
     df = df.withColumns({
-        f"_l_{name}": F.sum(x * F.pow(d, -pos)).over(local) * F.pow(d, pos)
-        for name, x in inputs.items()})
+        "_blk": F.floor(F.col("row_no") / size),
+        **{up[d]: F.exp(-math.log(d) * pos) for d in decays},
+        **{down[d]: F.exp(math.log(d) * pos) for d in decays}})
+    df = df.withColumns({f"_l_{n}": F.sum(x * F.col(up[d])).over(local) * F.col(down[d])
+                         for n, (x, d) in inputs.items()})
+    ends = F.struct(*[F.col(f"_l_{n}").alias(n) for n in inputs])
+    df = df.withColumn("_end", F.last(F.when(pos == size - 1, ends), ignorenulls=True).over(past))
     df = df.withColumns({
-        name: F.col(f"_l_{name}") + F.pow(d, pos + 1) * F.coalesce(
-            F.last(F.when(pos == size - 1, F.col(f"_l_{name}")), ignorenulls=True).over(past),
-            F.lit(0.0))
-        for name in inputs})
-    return df.drop(tag, *[f"_l_{name}" for name in inputs])
+        n: F.col(f"_l_{n}") + float(d) * F.col(down[d]) * F.coalesce(F.col(f"_end.{n}"), F.lit(0.0))
+        for n, (_, d) in inputs.items()})
+    return df.drop("_blk", "_end", *up.values(), *down.values(), *[f"_l_{n}" for n in inputs])
 
 
 def running_sum(df: DataFrame, inputs: dict[str, str], keys, order="row_no",

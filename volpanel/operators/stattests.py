@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from volpanel import config as C
 from volpanel.functions import tails
-from volpanel.operators.panel import running_sum
 
 KEYS = ("series_id", "horizon", "pair")
 
@@ -50,25 +49,57 @@ def number_days(losses: DataFrame, keys=KEYS) -> DataFrame:
             .withColumn("i", F.col("_before") + F.row_number().over(w)).drop("_before"))
 
 
+def yearly_losses(losses: DataFrame, value: str, keys=KEYS) -> DataFrame:
+    """Per key and test year: size, mean and variance of the value, and both models' MSE.
+
+    All tests start from this small table; only the long-run variance needs the
+    days again.
+    """
+    return losses.groupBy(*keys, "test_year").agg(
+        F.count(F.lit(1)).alias("n_year"), F.avg(value).alias("m_year"), F.var_pop(value).alias("v_year"),
+        F.avg(F.col("e1") * F.col("e1")).alias("mse1_year"), F.avg(F.col("e2") * F.col("e2")).alias("mse2_year"),
+        F.avg("adjustment").alias("adjustment_year"))
+
+
 def long_run_variance(losses: DataFrame, value: str = "d", keys=KEYS, lag: Column | None = None) -> DataFrame:
-    """Per key: n, mean, gamma0 and the Bartlett long-run variance with L = horizon - 1."""
+    """Per key: n, mean, gamma0, both MSEs and the Bartlett long-run variance with L = horizon - 1.
+
+    Days are numbered and summed inside their year; earlier years enter as one
+    carried sum. Each day then adds its running sum to the block that ends on it
+    and takes it from the one that starts after it.
+    """
     keys = list(keys)
     lag = lag if lag is not None else F.col("horizon") - 1
-    stats = losses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
-                                      F.var_pop(value).alias("gamma0"))
-    x = (number_days(losses, keys).join(stats.select(*keys, "mean", "n"), keys)
-         .withColumn("x", F.col(value) - F.col("mean")).withColumn("lag", lag))
-    p = running_sum(x, {"P": "x"}, keys, order="i").select(*keys, "i", "n", "lag", "P")
-    # block t ends at row t and starts L rows earlier; blocks running over the end count too
-    ends = p.select(*keys, (F.col("i") + F.col("lag") + 1).alias("t"), F.col("P").alias("P0"), "n", "lag")
-    blocks = (p.select(*keys, F.col("i").alias("t"), F.col("P").alias("P1"), "n", "lag")
-              .unionByName(ends.select(*keys, "t", (-F.col("P0")).alias("P1"), "n", "lag"))
-              .groupBy(*keys, "t").agg(F.sum("P1").alias("b"), F.first("n").alias("n"), F.first("lag").alias("lag")))
-    # rows with t > n hold only -P0, which is P_n - P0 as P_n is zero
-    omega = (blocks.groupBy(*keys).agg(F.sum(F.when(F.col("t") <= F.col("n") + F.col("lag"), F.col("b") * F.col("b"))).alias("_s"),
-                                       F.first("n").alias("_n"), F.first("lag").alias("_lag"))
-             .select(*keys, (F.col("_s") / (F.col("_n") * (F.col("_lag") + 1))).alias("omega")))
-    return stats.join(omega, keys)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("test_year").rowsBetween(Window.unboundedPreceding, -1)
+    n_year = F.col("n_year")
+
+    def mean_of(c):
+        return F.sum(n_year * F.col(c)).over(whole) / F.sum("n_year").over(whole)
+
+    y = yearly_losses(losses, value, keys).withColumns({
+        "n": F.sum("n_year").over(whole), "mean": mean_of("m_year"), "mse1": mean_of("mse1_year"),
+        "mse2": mean_of("mse2_year"), "mean_adjustment": mean_of("adjustment_year")})
+    off = F.col("m_year") - F.col("mean")
+    y = y.withColumns({
+        "gamma0": F.sum(n_year * (F.col("v_year") + off * off)).over(whole) / F.col("n"),
+        "_i0": F.coalesce(F.sum("n_year").over(before), F.lit(0)),
+        "_p0": F.coalesce(F.sum(n_year * off).over(before), F.lit(0.0))})
+    facts = ["n", "mean", "gamma0", "mse1", "mse2", "mean_adjustment"]
+    w = Window.partitionBy(*keys, "test_year").orderBy("obs_date")
+    days = (losses.select(*keys, "test_year", "obs_date", F.col(value).alias("_v"))
+            .join(y.select(*keys, "test_year", "_i0", "_p0", *facts), [*keys, "test_year"])
+            .withColumns({"i": F.col("_i0") + F.row_number().over(w), "lag": lag,
+                          "P": F.col("_p0") + F.sum(F.col("_v") - F.col("mean")).over(
+                              w.rowsBetween(Window.unboundedPreceding, 0))}))
+    blocks = (days.select(*keys, *facts, "lag", F.inline(F.array(
+        F.struct(F.col("i").alias("t"), F.col("P").alias("b")),
+        F.struct((F.col("i") + F.col("lag") + 1).alias("t"), (-F.col("P")).alias("b")))))
+        .groupBy(*keys, "t").agg(F.sum("b").alias("b"), *[F.first(c).alias(c) for c in (*facts, "lag")]))
+    # rows with t > n hold only -P of the start, as the sum over all days is zero
+    inside = F.when(F.col("t") <= F.col("n") + F.col("lag"), F.col("b") * F.col("b"))
+    return (blocks.groupBy(*keys).agg(
+        (F.sum(inside) / (F.first("n") * (F.first("lag") + 1))).alias("omega"), *[F.first(c).alias(c) for c in facts]))
 
 
 def hln_factor(n: str = "n", h: str = "horizon") -> Column:
@@ -79,10 +110,8 @@ def hln_factor(n: str = "n", h: str = "horizon") -> Column:
 def diebold_mariano(losses: DataFrame, keys=KEYS) -> DataFrame:
     """DM, its version without autocorrelation, HLN correction and p-values per pair."""
     keys = list(keys)
-    rmse = losses.groupBy(*keys).agg(F.sqrt(F.avg(F.col("e1") * F.col("e1"))).alias("rmse1"),
-                                     F.sqrt(F.avg(F.col("e2") * F.col("e2"))).alias("rmse2"))
-    v = long_run_variance(losses, "d", keys).join(rmse, keys)
-    v = v.withColumns({
+    v = long_run_variance(losses, "d", keys).withColumns({"rmse1": F.sqrt("mse1"), "rmse2": F.sqrt("mse2")})
+    v = v.drop("mse1", "mse2", "mean_adjustment").withColumns({
         "dm": F.col("mean") / F.sqrt(F.greatest("omega", F.lit(1e-300)) / F.col("n")),
         "dm_naive": F.try_divide(F.col("mean"), F.sqrt(F.col("gamma0") / F.col("n"))),
         "inflation": F.try_divide(F.col("omega"), F.col("gamma0")),
@@ -99,10 +128,7 @@ def clark_west(losses: DataFrame, keys=KEYS) -> DataFrame:
     folds = (losses.groupBy(*keys, "test_year").agg(F.avg("f").alias("m")).groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("n_folds"), F.avg("m").alias("f_fold_mean"),
                   F.count_if(F.col("m") > 0).alias("folds_f_positive")))
-    mse = losses.groupBy(*keys).agg(F.avg(F.col("e1") * F.col("e1")).alias("mse1"),
-                                    F.avg(F.col("e2") * F.col("e2")).alias("mse2"),
-                                    F.avg("adjustment").alias("mean_adjustment"))
-    v = long_run_variance(losses, "f", keys).join(mse, keys).join(folds, keys)
+    v = long_run_variance(losses, "f", keys).join(folds, keys)
     v = v.withColumns({"cw": F.col("mean") / F.sqrt(F.greatest("omega", F.lit(1e-300)) / F.col("n")),
                        "hln": hln_factor()})
     v = v.withColumn("cw_hln", F.col("cw") * F.col("hln"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from volpanel import config as C
 from volpanel.operators import folds, linear
+from volpanel.sources.stage import stage
 
 XS = C.HAR_VARIANTS["har_x"]
 
@@ -60,7 +61,7 @@ def log_predictions(frame: DataFrame, horizons, test_years, partial_year, keys=(
     keys = list(keys)
     variants = {"har_log": C.HAR_VARIANTS["har"], "har_x_log": C.HAR_VARIANTS["har_x"]}
     rows = log_rows(level_rows(frame, horizons, keys))
-    coefs = coefficients(rows, variants, test_years, keys)
+    coefs = stage(coefficients(rows, variants, test_years, keys), "log_coefficients")  # read twice below
     smear = smearing(rows, coefs, test_years, keys)
     groups = [*keys, "horizon", "variant", "test_year"]
     test = folds.test_rows(rows, test_years, partial_year).filter(folds.complete(C.HAR))
