@@ -340,7 +340,8 @@ def empty_mask_is_baseline(spark, sf_dir):
 SELECT series_id, target_vol_5 AS y, coalesce(max(removed) OVER (PARTITION BY series_id ORDER BY row_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) > 0 AS t
 FROM wide JOIN (SELECT series_id, row_no, removed FROM mask) USING (series_id, row_no)) GROUP BY ALL""", "wide", "mask"))
 def mask_targets_touching_roll(spark, sf_dir):
-    f = variant_frame(spark, sf_dir, "A")
+    t = variant_frame(spark, sf_dir, "A").select("series_id", "row_no", "touched_5")
+    f = frame(spark, sf_dir).join(t, ["series_id", "row_no"])
     return f.groupBy("series_id").agg(F.count("target_vol_5").alias("n_valid"),
                                       F.count(F.when(F.col("touched_5") == 0, F.col("target_vol_5"))).alias("n_kept"))
 

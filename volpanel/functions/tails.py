@@ -12,8 +12,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_erfc = np.vectorize(math.erfc, otypes=["float64"])
-_lgamma = np.vectorize(math.lgamma, otypes=["float64"])
+
+def _each(fn, x) -> np.ndarray:
+    x = np.asarray(x, "float64")
+    return np.array([fn(v) for v in x.ravel()], "float64").reshape(x.shape)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
 
 
 def _normal_cdf(z: np.ndarray) -> np.ndarray:

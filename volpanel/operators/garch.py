@@ -95,5 +95,6 @@ def forecast(table: DataFrame, fits: DataFrame, params: DataFrame, targets: Data
     p, h = F.col("alpha") + F.col("beta"), F.col("horizon")
     # mean of p^(j-1), j = 2..h+1
     weight = p * (1 - F.pow(p, h)) / (1 - p) / h
-    return j.withColumn("row_no", F.col("row_no") + 1).withColumn(
-        "pred", F.sqrt(F.col("var") + weight * (s - F.col("var"))))
+    # the variance reads row_no, so it goes first
+    return (j.withColumn("pred", F.sqrt(F.col("var") + weight * (s - F.col("var"))))
+            .withColumn("row_no", F.col("row_no") + 1))
