@@ -77,8 +77,7 @@ part("bd", """SELECT a.day, a.is_bd, (SELECT min(b.day) FROM bdays b WHERE b.is_
 FROM bd, {SPAN} WHERE day BETWEEN d0 AND d1""", "bd"))
 def business_days(spark, sf_dir):
     b = cal.business_days(wide_calendar(spark, sf_dir), holidays(spark, sf_dir), "england")
-    s = span(spark, sf_dir)
-    return b.join(s, F.col("day").between(F.col("first_day"), F.col("last_day")), "left_semi").select("day", "is_bd", "next_bd", "prev_bd")
+    return cal.within(b, span(spark, sf_dir)).select("day", "is_bd", "next_bd", "prev_bd")
 
 
 part("gp", """SELECT series_id, row_no, obs_date, year, lag(obs_date) OVER (PARTITION BY series_id ORDER BY row_no) AS prev_date FROM num QUALIFY prev_date IS NOT NULL""", "num")
@@ -183,11 +182,9 @@ def vintages(spark, sf_dir):
     """A release on the first Monday of every month holds all days up to it."""
     def build():
         p = fx.panel(spark, sf_dir).select("series_id", "obs_date", "idx_a")
-        last = p.agg(F.max("obs_date").alias("d1"))
         monday = lambda m: F.next_day(F.date_sub(m, 1), "Mon")
         months = F.transform(F.sequence(F.trunc("obs_date", "MM"), F.trunc("d1", "MM"), F.expr("interval 1 month")), monday)
-        d1 = last.select("d1")
-        v = p.join(F.broadcast(d1), F.lit(True)).select(  # one row, whatever the data
+        v = p.withColumn("d1", p.agg(F.max("obs_date")).scalar()).select(
             "series_id", "obs_date", "idx_a", "d1",
             F.explode(F.filter(months, lambda r: (r >= F.col("obs_date")) & (r <= F.col("d1")))).alias("vintage_date"))
         m1 = monday(F.trunc("d1", "MM"))
@@ -231,10 +228,10 @@ def first_release(spark, sf_dir):
 
 
 @query("revision_summary", with_parts(f"""WITH x AS (SELECT *, (current - first_value) / current AS r FROM frel)
-SELECT weekday, count(*) AS n, {rd('avg(r)', 8)} AS mean, {rd('median(r)', 8)} AS median, {rd('avg(abs(r))', 8)} AS mean_abs, {rd('median(abs(r))', 8)} AS median_abs,
+SELECT series_id, weekday, count(*) AS n, {rd('avg(r)', 8)} AS mean, {rd('median(r)', 8)} AS median, {rd('avg(abs(r))', 8)} AS mean_abs, {rd('median(abs(r))', 8)} AS median_abs,
 {rd('max(abs(r))', 8)} AS max_abs, CAST(min(lag_days) AS INT) AS lag_min, median(lag_days) AS lag_median, CAST(max(lag_days) AS INT) AS lag_max FROM x GROUP BY ALL""", "frel"))
 def revision_summary(spark, sf_dir):
-    return rounded(vt.revision_summary(first(spark, sf_dir), "weekday"), 8, "mean", "median", "mean_abs", "median_abs", "max_abs")
+    return rounded(vt.revision_summary(first(spark, sf_dir), "series_id", "weekday"), 8, "mean", "median", "mean_abs", "median_abs", "max_abs")
 
 
 @query("release_exceptions", with_parts("""SELECT series_id, CASE WHEN lag_days > 30 THEN 'late' WHEN isodow(vintage_date) != 1 THEN 'extra' ELSE 'usual' END AS kind, count(*) AS n FROM frel GROUP BY ALL""", "frel"))
@@ -250,5 +247,4 @@ SELECT CAST(a.day AS VARCHAR) AS day, CAST((SELECT min(b.pd) FROM p b WHERE b.da
 def publication_calendar(spark, sf_dir):
     fr = first(spark, sf_dir).groupBy("obs_date").agg(F.min("vintage_date").alias("vintage_date"))
     full = cal.publication_calendar(wide_calendar(spark, sf_dir), holidays(spark, sf_dir), fr, CUTOFF)
-    s = span(spark, sf_dir)
-    return full.join(s, F.col("day").between(F.col("first_day"), F.col("last_day")), "left_semi")
+    return cal.within(full, span(spark, sf_dir))

@@ -233,7 +233,7 @@ def duan_smearing(spark, sf_dir):
 
 
 @query("smearing_summary", with_parts(f"""WITH s AS (SELECT *, 1 + (n_train / horizon) / (n_train / horizon + 10.0) * (smearing - 1) AS z FROM smears)
-SELECT model, horizon, {rd('median(smearing)', 6)} AS smearing_median, {rd('min(smearing)', 6)} AS smearing_min, {rd('max(smearing)', 6)} AS smearing_max,
+SELECT series_id, model, horizon, {rd('median(smearing)', 6)} AS smearing_median, {rd('min(smearing)', 6)} AS smearing_min, {rd('max(smearing)', 6)} AS smearing_max,
 count(*) FILTER (WHERE smearing < 1.02) AS n_weak, {rd('avg(abs(smearing - 1))', 6)} AS raw_deviation, {rd('avg(abs(z - 1))', 6)} AS shrunk_deviation
 FROM s GROUP BY ALL""", "smears"))
 def smearing_summary(spark, sf_dir):

@@ -63,13 +63,15 @@ def top_k_per_group(spark, sf_dir):
     return rounded(out.select("series_id", "horizon", "model", F.col("rmse_fold_mean").alias("rmse")), 7)
 
 
-@query("custom_order", with_parts("""SELECT series_id, horizon, model, row_number() OVER (ORDER BY CASE model WHEN 'har_x' THEN 0 WHEN 'har_index' THEN 1 WHEN 'har_implied' THEN 2 WHEN 'har' THEN 3 WHEN 'train_mean' THEN 4 ELSE 5 END, horizon, series_id) AS position FROM means""", "means"))
+ORDER = ["har_x", "har_index", "har_implied", "har", "train_mean", "past_vol"]
+
+
+@query("custom_order", with_parts("SELECT series_id, horizon, model, CAST(CASE model " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(ORDER)) + " END AS BIGINT) AS position FROM means", "means"))
 def custom_order(spark, sf_dir):
     from volpanel.operators.relational import in_order
 
-    out = in_order(means(spark, sf_dir), "model", ["har_x", "har_index", "har_implied", "har", "train_mean", "past_vol"], "horizon", "series_id")
-    w = Window.orderBy("_rank", "horizon", "series_id")  # one row per series, model and horizon
-    return out.select("series_id", "horizon", "model", F.row_number().over(w).cast("long").alias("position"))
+    out = in_order(means(spark, sf_dir), "model", ORDER, "horizon", "series_id")
+    return out.select("series_id", "horizon", "model", F.col("_rank").alias("position"))
 
 
 # --- rescoring on a gap-adjusted target --------------------------------------

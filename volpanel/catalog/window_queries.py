@@ -264,12 +264,12 @@ def _four(c):
             f"CAST(max({c}) AS BIGINT) AS {c}_max")
 
 
-@query("effective_lag", with_parts(f"""SELECT weekday, count(*) AS n, {_four('lag_days')}, {_four('lag_rows')},
-{rd('avg(CAST(lag_rows > 1 AS DOUBLE))', 8)} AS share_not_yet_published FROM pub_lags GROUP BY weekday""", "pub_lags"))
+@query("effective_lag", with_parts(f"""SELECT series_id, weekday, count(*) AS n, {_four('lag_days')}, {_four('lag_rows')},
+{rd('avg(CAST(lag_rows > 1 AS DOUBLE))', 8)} AS share_not_yet_published FROM pub_lags GROUP BY series_id, weekday""", "pub_lags"))
 def effective_lag(spark, sf_dir):
     from volpanel.operators.alignment import effective_lag as ages, lag_summary
 
-    return rounded(lag_summary(ages(features_published(spark, sf_dir)), "weekday"), 8)
+    return rounded(lag_summary(ages(features_published(spark, sf_dir)), "series_id", "weekday"), 8)
 
 
 # --- correlation of features ----------------------------------------------

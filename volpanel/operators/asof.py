@@ -9,19 +9,35 @@ before it. A hot key thus spreads over many tasks and no row is dropped.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from volpanel.sources.stage import stage
+
 HOT_ROWS = 500_000
+BROADCAST_ROWS = 200_000
+
+
+def _small(table: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write a side table, count it, and mark it for broadcast if the count allows."""
+    table = stage(table, name)
+    n = table.count()
+    return (F.broadcast(table) if n <= BROADCAST_ROWS else table), n
 
 
 def _slices(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Add ``_slice``, monotone in ``_time``; NULL for keys small enough for one task."""
-    counts = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
-    rows = rows.join(counts, keys, "left")
-    day = F.when(F.col("_hot"), F.floor(F.col("_time") / 86400.0).cast("long"))
-    rows = rows.withColumn("_day", day)
-    pieces = (rows.filter("_hot").groupBy(*keys, "_day")
-              .agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("long").alias("_pieces")))
-    rows = rows.join(pieces, [*keys, "_day"], "left")
+    """Add ``_slice``, monotone in ``_time``; NULL for keys small enough for one task.
+
+    Hot keys number at most rows / hot_rows. Their table is counted first: with
+    none (the usual case) the rows are shuffled once and nothing is joined.
+    """
+    hot, n_hot = _small(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                        .filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")), "hot_keys")
+    if n_hot == 0:
+        return rows.withColumn("_slice", F.lit(None).cast("struct<day:bigint,piece:bigint>"))
+    rows = rows.join(hot, keys, "left")
+    rows = rows.withColumn("_day", F.when(F.col("_hot"), F.floor(F.col("_time") / 86400.0).cast("long")))
+    n = F.count(F.lit(1))
+    pieces, _ = _small(rows.filter("_hot").groupBy(*keys, "_day").agg(F.ceil(n / hot_rows).cast("long").alias("_pieces"))
+                       .filter("_pieces > 1"), "hot_days")
+    rows = rows.join(pieces, [*keys, "_day"], "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
     inside = F.floor((F.col("_time") / 86400.0 - F.col("_day")) * F.col("_pieces")).cast("long")
     return rows.withColumn("_slice", F.when(F.col("_hot"), F.struct(
         F.col("_day").alias("day"), inside.alias("piece")))).drop("_hot", "_day", "_pieces")

@@ -23,6 +23,11 @@ def calendar(span: DataFrame) -> DataFrame:
             .withColumns({"weekday": F.weekday("day").cast("int"), "is_weekday": F.weekday("day") < 5}))
 
 
+def within(df: DataFrame, span: DataFrame, day: str = "day") -> DataFrame:
+    """Rows inside a one-row span, by scalar subqueries."""
+    return df.filter(F.col(day).between(span.select("first_day").scalar(), span.select("last_day").scalar()))
+
+
 def span_of(df: DataFrame, day: str = "obs_date", back: int = 0, ahead: int = 0) -> DataFrame:
     return df.agg(F.date_sub(F.min(day), back).alias("first_day"), F.date_add(F.max(day), ahead).alias("last_day"))
 
@@ -198,8 +203,7 @@ def calendar_conflicts(days: DataFrame, hol: DataFrame, span: DataFrame) -> Data
     d = days.select(F.col("obs_date").alias("day")).distinct().withColumn("_in", F.lit(1))
     k = hol.filter(F.col("kind") != "federal").groupBy("day").agg(
         F.max((F.col("kind") == "exchange").cast("int")).alias("ex"))
-    inside = k.join(span, F.col("day").between(F.col("first_day"), F.col("last_day")), "left_semi")
-    return (inside.join(d, "day", "left").filter(F.weekday("day") < 5)
+    return (within(k, span).join(d, "day", "left").filter(F.weekday("day") < 5)
             .select("day", F.when(F.col("ex") == 1, "exchange").otherwise("england_only").alias("calendar"),
                     F.coalesce("_in", F.lit(0)).alias("in_data")))
 

@@ -182,7 +182,7 @@ def loss_concentration(preds: DataFrame, loss: Column, share: float = 0.01,
         F.col("_top.obs_date").alias("top_date"), F.col("_top.ratio").alias("top_ratio"))
 
 
-def smearing_summary(folds: DataFrame, groups=("model", "horizon")) -> DataFrame:
+def smearing_summary(folds: DataFrame, groups=("series_id", "model", "horizon")) -> DataFrame:
     """Spread of the smearing factor over folds and how many are weak."""
     from volpanel import config as C
     return folds.groupBy(*groups).agg(
