@@ -121,3 +121,19 @@ def test_out_of_order_across_blocks(spark):
     for block in (1, 2, 3, 100):
         got = sorted(r["pos"] for r in quality.out_of_order(df, ["k"], "pos", "x", block).collect())
         assert got == [3, 6], block
+
+
+def test_feature_tables_of_both_alignments(spark, obs, tmp_path):
+    from volpanel.plans.features import write_features, write_targets
+    from volpanel.sources import io
+
+    days = obs.select(F.col("obs_date").alias("day")).distinct()
+    late = days.withColumn("publication_date", F.date_add("day", 3))
+    write_features(obs, late, str(tmp_path))
+    a, b = (io.read_table(spark, str(tmp_path), "features", v) for v in ("row", "published"))
+    assert a.count() == b.count() == obs.count()
+    shift = a.join(b.select("series_id", "row_no", F.col("idx_a_lag1").alias("p"), F.col("price_lag1").alias("q")), ["series_id", "row_no"])
+    assert shift.filter(~F.col("price_lag1").eqNullSafe(F.col("q"))).count() == 0
+    assert shift.filter(F.col("idx_a_lag1") != F.col("p")).count() > 1000
+    write_targets(obs, (5,), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/targets").filter("target_vol_5 is null").count() == 10

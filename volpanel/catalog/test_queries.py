@@ -26,10 +26,9 @@ def nested(spark, sf_dir):
 
 def dm(spark, sf_dir):
     def build():
-        t = st.diebold_mariano(losses(spark, sf_dir)).join(st.sign_test(losses(spark, sf_dir)), list(st.KEYS))
-        t = t.withColumn("family", st.family_label(PRIMARY))
-        t = st.adjust(t, "p_hln", ["series_id", "family"])
-        return st.adjust(t, "p_sign", ["series_id", "family"])
+        from volpanel.plans.comparison import comparison_table
+
+        return comparison_table(level(spark, sf_dir), PAIRS, PRIMARY)
     return fx.remember(spark, sf_dir, "dm_tests", build)
 
 
@@ -183,7 +182,7 @@ CAST(CASE WHEN wins > n_folds / 2 THEN 1 ELSE 2 END AS INT) AS sign_side,
 CAST(CASE WHEN dm_hln < 0 THEN 1 ELSE 2 END = CASE WHEN wins > n_folds / 2 THEN 1 ELSE 2 END AS INT) AS agree,
 CAST(p_hln < 0.05 AND p_sign < 0.05 AS INT) AS both_significant FROM dmfam""", "dmfam"))
 def direction_agreement(spark, sf_dir):
-    return st.direction_agreement(dm(spark, sf_dir)).select(*st.KEYS, "dm_side", "sign_side", "agree", "both_significant")
+    return dm(spark, sf_dir).select(*st.KEYS, "dm_side", "sign_side", "agree", "both_significant")
 
 
 @query("carrying_years", with_parts(f"""WITH x AS (SELECT *, a - b AS delta, avg(a - b) OVER (PARTITION BY {K}) AS mean_delta FROM foldpair)
