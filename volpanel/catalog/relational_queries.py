@@ -212,7 +212,7 @@ def history(spark, sf_dir):
         "series_id", "horizon", "test_year", "epoch", (F.exp(-rate * F.col("epoch")) + F.col("y_min")).alias("loss"))
 
 
-part("conv", """SELECT *, 100 * (p80 - fin) / p80 AS drop_pct, CASE WHEN 100 * (p80 - fin) / p80 < 1 THEN 'converged' WHEN 100 * (p80 - fin) / p80 < 5 THEN 'converging' ELSE 'under_trained' END AS convergence
+part("conv", """SELECT *, 100 * (p80 - fin) / p80 AS drop_pct, CASE WHEN 100 * (p80 - fin) / p80 < 2 THEN 'converged' WHEN 100 * (p80 - fin) / p80 < 10 THEN 'converging' ELSE 'under_trained' END AS convergence
 FROM (SELECT series_id, horizon, test_year, max(loss) FILTER (WHERE epoch = 0) AS st, max(loss) FILTER (WHERE epoch = 30) AS mid, max(loss) FILTER (WHERE epoch = 47) AS p80, max(loss) FILTER (WHERE epoch = 59) AS fin FROM hist GROUP BY ALL)""", "hist")
 
 

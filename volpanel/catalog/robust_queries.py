@@ -10,7 +10,7 @@ from volpanel.catalog import forecast_sql as fs
 from volpanel.catalog.forecast_queries import coefs, fold_table, frame, level, means, rows
 from volpanel.catalog.registry import query, rounded
 from volpanel.catalog.sql import part, rd, with_parts
-from volpanel.catalog.test_queries import binom_two_sql
+from volpanel.catalog.test_queries import HLN, K, binom_two_sql, nw_parts, t_two_sql
 from volpanel.operators import attribution as at
 from volpanel.operators import folds, garch, linear, metrics, robust, rolls, stattests
 from volpanel.plans import walkforward as wf
@@ -376,20 +376,62 @@ def rollover_baseline(spark, sf_dir):
     return rounded(m.select("roll_variant", "series_id", "model", "horizon", "test_year", "n", "rmse"), 7)
 
 
-@query("rollover_variants")
+# every variant as a series of its own: series_id = series # variant
+def _variant_long(tag: str, gone: str) -> None:
+    part(f"mask_{tag}", f"SELECT r.*, CAST(r.row_no IN (SELECT x.row_no FROM ({gone}) x WHERE x.series_id = r.series_id) AS INT) AS removed FROM rets r", "rets", "rollt")
+    part(f"cl_{tag}", f"SELECT *, CASE WHEN removed = 0 THEN ret END AS clean, lag(ret) OVER (PARTITION BY series_id ORDER BY row_no) AS o1 FROM mask_{tag}", f"mask_{tag}")
+    part(f"var_{tag}", "SELECT series_id, obs_date, year, row_no, CASE WHEN o1 IS NOT NULL THEN abs(last_value(clean IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY row_no "
+         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END AS har_daily, "
+         + ", ".join(f"{_clean_std_sql(n, f'{n} PRECEDING AND 1 PRECEDING')} AS price_vol{n}" for n in (5, 20)) + ", "
+         + ", ".join(f"lag({x}) OVER (PARTITION BY series_id ORDER BY row_no) AS {x}_lag1" for x in ("implied", "idx_a", "idx_b")) + ", "
+         + ", ".join(f"{_clean_std_sql(h, f'1 FOLLOWING AND {h} FOLLOWING')} AS y_{h}" for h in H)
+         + f", coalesce(max(removed) OVER (PARTITION BY series_id ORDER BY row_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) AS touched FROM cl_{tag}", f"cl_{tag}")
+
+
+_variant_long("A", "SELECT series_id, roll_row AS row_no FROM rollt")
+_variant_long("A2", "SELECT series_id, roll_row AS row_no FROM rollt UNION SELECT series_id, roll_row + 1 FROM rollt")
+_xs = ", ".join(C.HAR_VARIANTS["har_x"])
+part("long_v", f"""SELECT series_id || '#baseline' AS series_id, horizon, obs_date, year, row_no, y, {_xs} FROM long
+UNION ALL SELECT l.series_id || '#B', l.horizon, l.obs_date, l.year, l.row_no, l.y, {', '.join('l.' + x for x in C.HAR_VARIANTS['har_x'])} FROM long l JOIN var_A a USING (series_id, row_no) WHERE l.horizon = 5 AND a.touched = 0
+""" + "".join(f" UNION ALL SELECT series_id || '#{t}', {h}, obs_date, year, row_no, y_{h}, {_xs} FROM var_{t}" for t in ("A", "A2") for h in H), "long", "var_A", "var_A2")
+_base = "split_part(l.series_id, '#', 1)"
+part("train_v", f"SELECT l.*, f.test_year FROM long_v l JOIN folds f ON f.series_id = {_base} AND l.year < f.test_year AND l.row_no + l.horizon < f.first_test WHERE {_clean}", "long_v", "folds")
+part("test_v", f"SELECT *, year AS test_year, NOT (year = 2001 AND horizon >= 66) AS include_in_main FROM long_v WHERE year BETWEEN 1998 AND 2001 AND {_clean}", "long_v")
+part("stats_v", "SELECT series_id, horizon, test_year, avg(y) AS train_mean, min(y) AS floor FROM train_v GROUP BY ALL", "train_v")
+for _m in ("har", "har_x"):
+    fs.ols_parts(f"{_m}_v", list(C.HAR_VARIANTS[_m]), "train_v")
+part("preds_v", " UNION ALL ".join(f"""SELECT '{m}' AS model, t.series_id, t.horizon, t.test_year, t.obs_date, t.include_in_main, t.y AS y_true, greatest({fs.predictor(C.HAR_VARIANTS[m])}, s.floor) AS pred
+FROM test_v t JOIN fit_{m}_v f ON {fs.on('t', 'f')} JOIN stats_v s ON {fs.on('t', 's')}""" for m in ("har", "har_x")), "test_v", "fit_har_v", "fit_har_x_v", "stats_v")
+_split = "split_part(series_id, '#', 1) AS series_id, split_part(series_id, '#', 2) AS roll_variant"
+
+
+@query("rollover_variants", with_parts(f"""SELECT {_split}, model, horizon, test_year, n, {rd('rmse', 6)} AS rmse, {rd('mae', 6)} AS mae FROM (
+SELECT series_id, model, horizon, test_year, count(*) AS n, sqrt(avg((y_true - pred) ** 2)) AS rmse, avg(abs(y_true - pred)) AS mae FROM preds_v GROUP BY ALL)""", "preds_v"))
 def rollover_variants(spark, sf_dir):
     m = metrics.fold_metrics(variant_predictions(spark, sf_dir), ("roll_variant", *metrics.FOLD))
-    return rounded(m.select("roll_variant", "series_id", "model", "horizon", "test_year", "n", "rmse", "mae"), 7)
+    return rounded(m.select("roll_variant", "series_id", "model", "horizon", "test_year", "n", "rmse", "mae"), 6)
 
 
-@query("family_tests_by_variant")
+part("pl_v", """SELECT a.series_id, a.horizon, 'har|har_x' AS pair, a.test_year, a.obs_date, a.y_true - a.pred AS e1, b.y_true - b.pred AS e2,
+(a.y_true - a.pred) ** 2 - (b.y_true - b.pred) ** 2 AS d FROM preds_v a JOIN preds_v b USING (series_id, horizon, obs_date) WHERE a.model = 'har' AND b.model = 'har_x' AND a.include_in_main""", "preds_v")
+nw_parts("v", "pl_v", "d")
+part("dm_v", f"""SELECT *, mean / sqrt(greatest(omega, 1e-300) / n) * {HLN} AS dm_hln FROM (SELECT {K}, count(*) AS n, avg(d) AS mean FROM pl_v GROUP BY ALL) JOIN nw_v USING ({K})""", "pl_v", "nw_v")
+part("sg_v", f"""SELECT {K}, count(*) AS n_folds, count(*) FILTER (WHERE a < b) AS wins FROM (SELECT {K}, test_year, sqrt(avg(e1 ** 2)) AS a, sqrt(avg(e2 ** 2)) AS b FROM pl_v GROUP BY ALL) GROUP BY ALL""", "pl_v")
+part("p_v", f"""SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p, horizon) AS r, count(*) OVER (PARTITION BY series_id) AS m
+FROM (SELECT *, {t_two_sql('dm_hln', '(n - 1.0)')} AS p, {binom_two_sql('wins', 'n_folds')} AS ps FROM dm_v JOIN sg_v USING ({K}))""", "dm_v", "sg_v")
+
+
+@query("family_tests_by_variant", with_parts(f"""SELECT split_part(a.series_id, '#', 1) AS series_id, split_part(a.series_id, '#', 2) AS roll_variant, a.horizon, a.pair, a.n, {rd('a.dm_hln', 5)} AS dm_hln, {rd('a.p', 6)} AS p_hln,
+a.wins, a.n_folds, {rd('a.ps', 6)} AS p_sign, {rd('least(1.0, max((b.m - b.r + 1) * b.p) FILTER (WHERE b.r <= a.r))', 6)} AS p_hln_holm, {rd('least(1.0, min(b.m / b.r * b.p) FILTER (WHERE b.r >= a.r))', 6)} AS p_hln_bh,
+{rd('least(1.0, min(b.m / b.r * b.p) FILTER (WHERE b.r >= a.r) * list_sum(list_transform(range(1, any_value(a.m) + 1), lambda i: 1.0 / i)))', 6)} AS p_hln_by
+FROM p_v a JOIN p_v b ON a.series_id = b.series_id GROUP BY a.series_id, a.horizon, a.pair, a.n, a.dm_hln, a.p, a.wins, a.n_folds, a.ps""", "p_v"))
 def family_tests_by_variant(spark, sf_dir):
     """DM, sign test and corrections inside each variant separately."""
     keys = ("series_id", "roll_variant", "horizon", "pair")
     d = stattests.loss_diff(variant_predictions(spark, sf_dir), [("har", "har_x")], ("series_id", "roll_variant", "horizon"))
     t = stattests.diebold_mariano(d, keys).join(stattests.sign_test(d, keys=keys), list(keys))
     t = stattests.adjust(t, "p_hln", ["series_id", "roll_variant"])
-    return rounded(t.select(*keys, "n", "dm_hln", "p_hln", "wins", "n_folds", "p_sign", "p_hln_holm", "p_hln_bh", "p_hln_by"), 6)
+    return rounded(t.select(*keys, "n", "dm_hln", "p_hln", "wins", "n_folds", "p_sign", "p_hln_holm", "p_hln_bh", "p_hln_by"), 6, dm_hln=5)
 
 
 @query("data_equalization", with_parts(f"""WITH t AS (SELECT * FROM train WHERE row_no >= 127),

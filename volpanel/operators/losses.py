@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Share of the last epochs looked at, and the limits in percent.
-TAIL, FLAT_PCT, DECLINING_PCT = 0.20, 1.0, 5.0
+TAIL, FLAT_PCT, DECLINING_PCT = 0.20, 2.0, 10.0
 
 
 def convergence_label(history: DataFrame, keys=("horizon", "test_year")) -> DataFrame:
