@@ -332,7 +332,8 @@ def winsor_and_minmax(spark, sf_dir):
     r = rows(spark, sf_dir).filter(folds.complete(C.HAR))
     train = folds.replicate_to_folds(folds.bucketed(r, YEARS), YEARS)
     test = folds.test_rows(r, YEARS, PARTIAL)
-    out = folds.preprocess(test, train, PRE, PRE, ["series_id", "horizon", "test_year"])
+    keys = ["series_id", "horizon", "test_year"]
+    out = folds.apply_preprocess(test, folds.fit_preprocess(train, PRE, PRE, keys), PRE, PRE, keys)
     return rounded(out.select("series_id", "horizon", "test_year", "obs_date", *PRE), 6)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from volpanel.catalog import fixtures as fx
+from volpanel.catalog import forecast_sql as fs
 from volpanel.catalog.forecast_queries import fold_table, frame, level, means
 from volpanel.catalog.registry import query, rounded
 from volpanel.catalog.sql import part, rd, with_parts
@@ -222,7 +223,14 @@ def sign_power(spark, sf_dir):
     return rounded(out.select(*st.KEYS, "n_folds", "wins", "min_wins", "achieved_power"), 7)
 
 
-@query("sign_required_folds")
+@query("sign_required_folds", with_parts(f"""WITH b AS (SELECT n.n, k.k, exp(lgamma(n.n + 1.0) - lgamma(k.k + 1.0) - lgamma(n.n - k.k + 1.0) + n.n * ln(0.5)) AS half,
+lgamma(n.n + 1.0) - lgamma(k.k + 1.0) - lgamma(n.n - k.k + 1.0) AS lways FROM range(1, 161) n(n) JOIN range(0, 161) k(k) ON k.k <= n.n),
+u AS (SELECT n, k, 2 * sum(half) OVER (PARTITION BY n ORDER BY k) AS p2 FROM b),
+c AS (SELECT n, max(k) AS crit FROM u WHERE p2 <= 0.05 AND k < n / 2 GROUP BY n),
+s AS (SELECT DISTINCT n_folds, wins, wins / n_folds AS p FROM signt),
+w AS (SELECT s.n_folds, s.wins, b.n, sum(exp(b.lways) * pow(s.p, b.k) * pow(1 - s.p, b.n - b.k)) AS power
+ FROM s JOIN b ON b.n >= greatest(s.n_folds, 5) JOIN c ON c.n = b.n AND (b.k <= c.crit OR b.k >= b.n - c.crit) WHERE abs(s.p - 0.5) > 1e-9 GROUP BY ALL)
+SELECT {K}, n_folds, wins, CAST(r.n AS INT) AS required_folds FROM signt LEFT JOIN (SELECT n_folds, wins, min(n) AS n FROM w WHERE power >= 0.8 GROUP BY ALL) r USING (n_folds, wins)""", "signt"))
 def sign_required_folds(spark, sf_dir):
     out = st.sign_power(dm(spark, sf_dir))
     return out.select(*st.KEYS, "n_folds", "wins", "required_folds")
@@ -334,12 +342,32 @@ def ljung_box(spark, sf_dir):
         "series_id", "variable", "q", "p"), 6, q=4)
 
 
-@query("augmented_dickey_fuller")
+ADF_VARS, ADF_LAGS = ("ret", "price", "implied"), 12
+_wa = "(PARTITION BY series_id, variable ORDER BY i)"
+part("adf0", f"SELECT series_id, variable, i, x - lag(x) OVER {_wa} AS d0, lag(x) OVER {_wa} AS level FROM vals WHERE variable IN {ADF_VARS}", "vals")
+part("adfl", "SELECT *, " + ", ".join(f"lag(d0, {k}) OVER {_wa} AS d{k}" for k in range(1, ADF_LAGS + 1)) + " FROM adf0", "adf0")
+for _q in range(ADF_LAGS + 1):
+    # the level is eliminated last, so its own pivot gives the standard error
+    _cols = [f"d{k}" for k in range(1, _q + 1)] + ["level"]
+    for _t, _least in (("c", ADF_LAGS), ("f", _q)):
+        part(f"adfs{_t}{_q}", f"SELECT * FROM adfl WHERE d{_least} IS NOT NULL AND level IS NOT NULL", "adfl")
+        fs.ols_parts(f"adf{_t}{_q}", _cols, f"adfs{_t}{_q}", "d0", "series_id, variable")
+        _p = len(_cols)
+        _gain = " + ".join(f"b{k} * b{k} / a{k}_{k}" for k in range(_p))
+        part(f"adfr{_t}{_q}", f"SELECT series_id, variable, {_q} AS q, n, n * (sdy * sdy - ({_gain})) AS rss, b{_q} / a{_q}_{_q} AS beta, a{_q}_{_q} AS piv FROM eadf{_t}{_q}_{_p}", f"eadf{_t}{_q}_{_p}")
+_adf = {t: " UNION ALL ".join(f"SELECT * FROM adfr{t}{q}" for q in range(ADF_LAGS + 1)) for t in ("c", "f")}
+
+
+@query("augmented_dickey_fuller", with_parts(f"""WITH b AS (SELECT series_id, variable, arg_min(q, n * ln(rss / n) + 2 * (q + 2)) AS q FROM ({_adf['c']}) GROUP BY ALL),
+t AS (SELECT f.*, beta / sqrt(rss / (n - q - 2) / (n * piv)) AS stat FROM ({_adf['f']}) f JOIN b USING (series_id, variable, q))
+SELECT series_id, variable, {rd('stat', 5)} AS adf_stat, CAST(q AS INT) AS adf_lag, n AS n_used,
+CASE WHEN stat < -3.43035 THEN '1' WHEN stat < -2.86154 THEN '5' WHEN stat < -2.56677 THEN '10' ELSE 'none' END AS rejects_at_pct FROM t""",
+    *[f"adfr{t}{q}" for t in ("c", "f") for q in range(ADF_LAGS + 1)]))
 def augmented_dickey_fuller(spark, sf_dir):
     from volpanel.operators.descriptive import adf
 
     f = frame(spark, sf_dir)
-    return rounded(adf(f, ["ret", "price", "implied"], 12), 5)
+    return rounded(adf(f, list(ADF_VARS), ADF_LAGS), 5)
 
 
 @query("normal_quantiles")

@@ -150,42 +150,33 @@ def shrink_smearing(raw: Column, n_effective: Column, k: float = C.SMEARING_K) -
     return 1 + n_effective / (n_effective + k) * (raw - 1)
 
 
-def fit_bounds(train: DataFrame, columns, groups) -> DataFrame:
-    """Winsor bounds of each column from training rows only (exact, interpolated)."""
-    lo, hi = C.WINSOR
-    return train.groupBy(*groups).agg(*[
-        F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"q_{c}") for c in columns])
-
-
-def clip(c: str, bounds: str) -> Column:
-    """Clip to the fitted bounds; NULL stays NULL."""
-    return F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(bounds)[0]), F.col(bounds)[1]))
-
-
 def minmax(x: Column, lo: Column, hi: Column) -> Column:
     """Scale by training minimum and maximum; a constant column is only shifted."""
     return (x - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
 
 
-def preprocess(rows: DataFrame, train: DataFrame, columns, log_columns, groups) -> DataFrame:
-    """log1p, winsorize and min-max scale ``rows`` by what ``train`` says, per group.
+def fit_preprocess(train: DataFrame, columns, log_columns, groups) -> DataFrame:
+    """Per group and column: winsor bounds and range of the (logged) training values.
 
-    The bounds hold the clipped extremes, so one pass of quantiles gives winsor
-    bounds and scale: the smallest clipped value is max(min, lower bound).
+    The smallest clipped value is max(min, lower bound), so one pass gives both
+    the bounds and the scale.
     """
-    groups = list(groups)
-    logged = {c: F.log1p(F.col(c)) for c in log_columns}
-    train, rows = train.withColumns(logged), rows.withColumns(logged)
+    train = train.withColumns({c: F.log1p(F.col(c)) for c in log_columns})
     lo, hi = C.WINSOR
-    fits = train.groupBy(*groups).agg(*[
+    return train.groupBy(*groups).agg(*[
         F.struct(F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias("q"), F.min(c).alias("lo"),
                  F.max(c).alias("hi")).alias(f"_p_{c}") for c in columns])
-    out = rows.join(fits, groups)
+
+
+def apply_preprocess(rows: DataFrame, fits: DataFrame, columns, log_columns, groups) -> DataFrame:
+    """log1p, clip and min-max scale by the fitted values; test rows may leave [0, 1]."""
+    out = rows.withColumns({c: F.log1p(F.col(c)) for c in log_columns}).join(fits, list(groups))
     scaled = {}
     for c in columns:
-        q = F.col(f"_p_{c}.q")
-        x = F.least(F.greatest(F.col(c), q[0]), q[1])
-        scaled[c] = F.when(F.col(c).isNotNull(), minmax(
-            x, F.least(F.greatest(F.col(f"_p_{c}.lo"), q[0]), q[1]),
-            F.least(F.greatest(F.col(f"_p_{c}.hi"), q[0]), q[1])))
+        q, lo, hi = F.col(f"_p_{c}.q"), F.col(f"_p_{c}.lo"), F.col(f"_p_{c}.hi")
+
+        def clipped(x, q=q):
+            return F.least(F.greatest(x, q[0]), q[1])
+
+        scaled[c] = F.when(F.col(c).isNotNull(), minmax(clipped(F.col(c)), clipped(lo), clipped(hi)))
     return out.withColumns(scaled).drop(*[f"_p_{c}" for c in columns])

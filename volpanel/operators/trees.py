@@ -54,8 +54,9 @@ def fold_data(rows: DataFrame, features, test_years, partial_year, log_columns=(
 
     if scale:
         logs = [c for c in log_columns if c in features]
-        train_out = folds.preprocess(train, train, features, logs, KEYS)
-        test_out = folds.preprocess(test, train, features, logs, KEYS)
+        fits = stage(folds.fit_preprocess(train, features, logs, KEYS), "preprocess_fits")  # used by both sides
+        train_out = folds.apply_preprocess(train, fits, features, logs, KEYS)
+        test_out = folds.apply_preprocess(test, fits, features, logs, KEYS)
     else:
         train_out, test_out = train, test
     train_s = stage(pack(train_out, ("year", "label_end")), "tree_train", "horizon", "test_year")
