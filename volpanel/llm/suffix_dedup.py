@@ -12,8 +12,9 @@ input and never cross documents.
    others are marked at once, first inside an Arrow batch, then in each anchor's
    sorted stream. A segment repeated in a third of all documents thus costs one
    row per batch, and no task holds an anchor's rows together.
-3. **Suffix arrays.** Anchors with several different segments are read again, and
-   each run of anchors is suffix-sorted: groups by Lyndon prefix in descending
+3. **Suffix arrays.** Anchors with several different segments are read again; segments
+   that agree with no other next to the anchor cannot share a window and drop out.
+   Each run of anchors is suffix-sorted: groups by Lyndon prefix in descending
    order, found with previous-smaller pointers, then one pass that emits the order
    of every group. Neighbours in that order with ``length`` equal bytes mark all
    but the earliest start. Blocks of an anchor with very many different segments
@@ -26,6 +27,8 @@ judged alike and do not remove each other; with different texts they are separat
 documents of one rank. Empty table: no rows. Other columns are ignored.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,7 +46,7 @@ BLOCK = 1 << 16
 NULL_ID = (1 << 63) - 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = (mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1))
-MARKS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "doc", "spot", "kind")])
+MARKS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "doc", "spot", "at")])
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -108,7 +111,7 @@ def text_tag(b: bytes) -> int:
 
 
 def segments(buffers: list[bytes], length: int):
-    """Arrays (buffer number, start, window starts, anchor hash, content hash) of all segments."""
+    """Arrays (buffer number, start, window starts, anchor's offset, anchor hash, content hash) of all segments."""
     window = length - GRAM + 1
     batch, held = [], 0
     for k, b in enumerate(buffers):
@@ -159,7 +162,7 @@ def _segments(batch, length, window):
     which = np.searchsorted(begins, heads, side="right") - 1
     number = np.array([k for k, _, _ in batch])[which]
     offset = np.array([at for _, at, _ in batch])[which] - begins[which]
-    return number, heads + offset, ends - heads, h[spot[heads]], content
+    return number, heads + offset, ends - heads, spot[heads] - heads, h[spot[heads]], content
 
 
 def pack(start, tag, n):
@@ -168,8 +171,9 @@ def pack(start, tag, n):
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Rows (anchor, content, doc, spot, kind): kind 0, the earliest of its content in this batch; kind 1, a mark."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "content", "doc", "spot", "kind")])
+    """Rows (anchor, content, doc, spot, at): the earliest segment of its content in this batch, with the anchor's
+    offset in it; or a mark (at = -1)."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "content", "doc", "spot", "at")])
 
     def run(batch):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -178,11 +182,11 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         parts = list(segments(texts, length))
         if not parts:
             return
-        number, start, n, anchor, content = map(np.concatenate, zip(*parts, strict=True))
+        number, start, n, at, anchor, content = map(np.concatenate, zip(*parts, strict=True))
         doc = ids[number]
         spot = pack(start, tags[number], n)
         order = np.lexsort((spot, doc, content))
-        content, doc, spot, anchor = content[order], doc[order], spot[order], anchor[order]
+        content, doc, spot, at, anchor = content[order], doc[order], spot[order], at[order], anchor[order]
         copy = np.zeros(len(content), bool)
         copy[1:] = content[1:] == content[:-1]
         first = np.maximum.accumulate(np.where(copy, 0, np.arange(len(copy))))
@@ -190,13 +194,13 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         # marks go anywhere: spread them by document
         key = np.where(copy, mix(doc.view(np.uint64)), anchor)
         yield {"anchor": key.view(np.int64)[~twin], "content": content.view(np.int64)[~twin], "doc": doc[~twin],
-               "spot": spot[~twin], "kind": copy.astype(np.int64)[~twin]}
+               "spot": spot[~twin], "at": np.where(copy, -1, at)[~twin]}
 
     return per_batch(docs, run, schema)
 
 
 def mark_copies(rows: DataFrame) -> DataFrame:
-    """From each anchor's sorted stream: marks (kind 1) of later copies, and segments (kind 2) of
+    """From each anchor's sorted stream: marks (at = -1) of later copies, and the segments of
     anchors that have more than one content."""
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -206,8 +210,8 @@ def mark_copies(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, c, d, s, kind = (batch.column(i).to_numpy() for i in range(5))
-            ready = kind == 1
+            a, c, d, s, t = (batch.column(i).to_numpy() for i in range(5))
+            ready = t < 0
             pa_, pc, pd_, ps = (np.concatenate(([0 if last is None else last[i]], v[:-1])) for i, v in enumerate((a, c, d, s)))
             same_a, same_c = (pa_ == a) & ~ready, (pa_ == a) & (pc == c) & ~ready
             if last is None:
@@ -225,27 +229,26 @@ def mark_copies(rows: DataFrame) -> DataFrame:
             several[group[other]] = True
             out = [np.flatnonzero(ready | copy), np.flatnonzero(other | (opens & several[group]))]
             k = np.concatenate(out)
-            cols = {"anchor": a[k], "doc": d[k], "spot": s[k], "kind": np.repeat([1, 2], [len(out[0]), len(out[1])])}
+            cols = {"anchor": a[k], "doc": d[k], "spot": s[k], "at": np.append(np.full(len(out[0]), -1), t[out[1]])}
             if waiting is not None and several[0]:
                 cols = {n: np.append(v, w) for (n, v), w in zip(cols.items(), waiting, strict=True)}
                 waiting = None
             yield as_batch(cols, target)
             if opens.any():
                 i = np.flatnonzero(opens)[-1]
-                waiting = None if several[group[i]] else (a[i], d[i], s[i], 2)
+                waiting = None if several[group[i]] else (a[i], d[i], s[i], t[i])
             last = (a[-1], c[-1], d[-1], s[-1], fd[-1], fs[-1])
 
-    return rows.repartition("anchor").sortWithinPartitions("kind", "anchor", "content", "doc", "spot").mapInArrow(run, MARKS)
+    return rows.repartition("anchor").sortWithinPartitions(F.col("at") < 0, "anchor", "content", "doc", "spot").mapInArrow(run, MARKS)
 
 
 def segment_texts(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """The bytes of kind-2 segments, read again from their documents."""
-    wanted = marks.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("anchor", "spot")).alias("spots"))
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("doc", T.LongType()),
-                           T.StructField("spot", T.LongType()), T.StructField("bytes", T.BinaryType())])
+    """The bytes of the segments to be sorted, read again from their documents."""
+    wanted = marks.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "spot", "at")).alias("spots"))
+    schema = T.StructType([*MARKS.fields, T.StructField("bytes", T.BinaryType())])
 
     def run(batch):
-        out = ([], [], [], [])
+        out = ([], [], [], [], [])
         seen = set()
         for doc, b, spots in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), batch.column(2), strict=True):
             b = b or b""
@@ -253,13 +256,12 @@ def segment_texts(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
             if (doc, tag) in seen:
                 continue
             seen.add((doc, tag))
-            anchors, places = (spots.values.field(i).to_pylist() for i in range(2))
-            for a, s in zip(anchors, places, strict=True):
+            for a, s, at in zip(*(spots.values.field(i).to_pylist() for i in range(3)), strict=True):
                 if (s >> 7) & 0xFFFFFF == tag:
-                    at = s >> 31
-                    for o, v in zip(out, (a, doc, s, b[at: at + (s & 127) + length - 1]), strict=True):
+                    start = s >> 31
+                    for o, v in zip(out, (a, doc, s, at, b[start: start + (s & 127) + length - 1]), strict=True):
                         o.append(v)
-        yield dict(zip(("anchor", "doc", "spot", "bytes"), out, strict=True))
+        yield dict(zip(schema.names, out, strict=True))
 
     return per_batch(docs.join(wanted, "doc").select("doc", "text", "spots"), run, schema)
 
@@ -297,38 +299,61 @@ def sort_block(rows: list[tuple[int, int, bytes]], length: int):
                     rows[k][2][start - (rows[k][1] >> 31):][:length]) for doc, start, k in firsts]
 
 
+def related(group: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, bytes]]:
+    """The segments (doc, spot, at, bytes) of one anchor that may share a window with another. A shared window
+    holds the anchor and, on one side of it at least, half of its other bytes."""
+    side = -(-(length - GRAM) // 2)
+    left = [b[at - side:at] if at >= side else None for _, _, at, b in group]
+    right = [b[at + GRAM:at + GRAM + side] if len(b) >= at + GRAM + side else None for _, _, at, b in group]
+    count = (Counter(left), Counter(right))
+    return [r for r, x, y in zip(group, left, right, strict=True)
+            if (x is not None and count[0][x] > 1) or (y is not None and count[1][y] > 1)]
+
+
 def sort_suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """Marks from suffix arrays over runs of anchors; kind 2 with bytes: earliest strings of one block of an
-    anchor that needs several."""
-    schema = T.StructType([*MARKS.fields, T.StructField("bytes", T.BinaryType())])
+    """Marks (at = -1) from suffix arrays over runs of anchors; with bytes (at = 0): the earliest strings of
+    one block of an anchor that needs several."""
+    schema = texts.schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        block, held, anchors, tail = [], 0, set(), None
 
-        def flush(split):
-            marks, firsts = sort_block([r[1:] for r in block], length)
-            rows = [(0, d, s, 1, None) for d, s in marks]
-            if split:  # the last anchor goes on in another block
-                rows += [(xxhash.xxh3_64_intdigest(b) - (1 << 63), d, s, 2, b) for d, s, b in firsts]
-            return as_batch(dict(zip(target.names, [list(x) for x in zip(*rows, strict=True)], strict=True)), target) if rows else None
+        def flush(block, split):
+            marks, firsts = sort_block([(d, s, b) for d, s, _, b in block], length) if block else ((), ())
+            rows = [(0, d, s, -1, None) for d, s in marks]
+            if split:
+                rows += [(xxhash.xxh3_64_intdigest(b) - (1 << 63), d, s, 0, b) for d, s, b in firsts]
+            if rows:
+                yield as_batch(dict(zip(target.names, map(list, zip(*rows, strict=True)), strict=True)), target)
+
+        block, held = [], 0  # whole anchors
+        group, size, anchor, cut = [], 0, None, False  # the current anchor; cut: a block of it is done
 
-        cut = False
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if block and held >= BLOCK // 4 and (row[0] != tail or held >= BLOCK):
-                    one = flush(cut or row[0] == tail)
-                    cut = row[0] == tail
-                    block, held = [], 0
-                    if one is not None:
-                        yield one
-                block.append(row)
-                held += len(row[3]) + 1
-                tail = row[0]
-        if block and (one := flush(cut)) is not None:
-            yield one
+            for a, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if a != anchor:
+                    if cut:
+                        yield from flush(group, True)
+                    else:
+                        kept = related(group, length)
+                        block += kept
+                        held += sum(len(r[3]) for r in kept)
+                    if held >= BLOCK // 4:
+                        yield from flush(block, False)
+                        block, held = [], 0
+                    group, size, anchor, cut = [], 0, a, False
+                elif size >= BLOCK:
+                    yield from flush(group, True)
+                    group, size, cut = [], 0, True
+                group.append(tuple(row))
+                size += len(row[3])
+        if cut:
+            yield from flush(group, True)
+        else:
+            block += related(group, length)
+        yield from flush(block, False)
 
     return texts.repartition("anchor").sortWithinPartitions("anchor", "doc", "spot").mapInArrow(run, schema)
 
@@ -337,7 +362,7 @@ def later_strings(firsts: DataFrame) -> DataFrame:
     """Marks of strings that the blocks of one anchor found separately."""
     least = firsts.groupBy("anchor", "bytes").agg(F.min(F.struct("doc", (F.shiftright("spot", 31)).alias("start"))).alias("f"))
     return (firsts.join(least, ["anchor", "bytes"])
-            .where("doc > f.doc or (doc = f.doc and shiftright(spot, 31) > f.start)").select("anchor", "doc", "spot", F.lit(1).cast("long").alias("kind")))
+            .where("doc > f.doc or (doc = f.doc and shiftright(spot, 31) > f.start)").select("doc", "spot"))
 
 
 def runs(spots: np.ndarray, size: int, tag: int, length: int) -> list[tuple[int, int]]:
@@ -357,8 +382,8 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int) -> DataFrame
     own = docs.select(rank(key).alias("doc"), F.col(text).alias("text"))
     marks = stage(mark_copies(anchor_rows(own, length)), "marks")
     sorted_ = stage(sort_suffixes(segment_texts(own, marks, length), length), "suffixes")
-    found = (marks.where("kind = 1").select("doc", "spot").union(sorted_.where("kind = 1").select("doc", "spot"))
-             .union(later_strings(sorted_.where("kind = 2")).select("doc", "spot")))
+    found = (marks.where("at < 0").select("doc", "spot").union(sorted_.where("at < 0").select("doc", "spot"))
+             .union(later_strings(sorted_.where("at >= 0"))))
     return stage(found.groupBy("doc").agg(F.collect_set("spot").alias("spots")), "spots")
 
 
@@ -398,7 +423,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     of which nothing is left goes with its row."""
     spots = find_repeats(docs, key, text, length)
     row = docs.select(rank(key).alias("doc"), F.struct(*docs.columns).alias("row")).join(spots, "doc", "left").select("row", "spots")
-    at = docs.columns.index(text)
+    at, names, schema = docs.columns.index(text), docs.columns, docs.schema
 
     def run(batches):
         for batch in batches:
@@ -409,10 +434,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 keep.append(not found or bool(rest))
                 texts.append(rest)
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    docs_columns = docs.columns
-    return row.mapInArrow(run, docs.schema)
+    return row.mapInArrow(run, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:
