@@ -13,6 +13,7 @@ from volpanel.sources.stage import stage
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SLICE_BYTES = 8 << 20
 # Odd multipliers of the shingle hash (fixed values).
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -52,6 +53,13 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), width))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about SLICE_BYTES, so that a task's memory does not depend on text lengths."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: T.StructType) -> DataFrame:
     """Map Arrow batches; ``fn`` yields dicts of column values (lists, arrays) per output batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,8 +67,9 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(schema)
         for batch in batches:
-            for out in fn(batch):
-                yield as_batch(out, target)
+            for part in slices(batch):
+                for out in fn(part):
+                    yield as_batch(out, target)
 
     return df.mapInArrow(run, schema)
 

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from volpanel.sources.stage import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a window may meet, ranges per narrowing step, hex digits that cut a source's order.
-WINDOW_ROWS, FAN, DIGITS = 20_000, 1024, 5
+#: Rows that a window over a range of a source or of finish times meets, ranges per narrowing step, and
+#: hex digits of the hash that can cut a source's order.
+RANGE_ROWS, WINDOW_ROWS, FAN, DIGITS = 1_000, 20_000, 1024, 7
 
 
 def sizes(docs: DataFrame, key: str, source: str, text: str, seed: str) -> DataFrame:
@@ -64,7 +65,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...], share: float, repeat: int
 def finish_times(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows of positive size with ``done``: cumulative size of the source's order, themselves included."""
     most = sources.agg(F.max("n")).first()[0] or 1
-    ranges = min(16 ** DIGITS, -(-most // WINDOW_ROWS))
+    ranges = min(16 ** DIGITS, -(-most // RANGE_ROWS))
     cut = F.floor(F.conv(F.substring("h", 1, DIGITS), 16, 10).cast("long") * ranges / 16 ** DIGITS)
     rows = (rows.where("size > 0").join(sources.select(F.col("source").alias("s"), "position", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
             .drop("s").withColumn("cut", cut))

@@ -62,9 +62,24 @@ def suffix_array(text: bytes) -> list[int]:
         end[first] = i + 1
     high = n
     while high:
-        low = start[sa[high - 1]]
+        s = sa[high - 1]
+        low = start[s]
+        if high - low == 1:  # one suffix: at most one other moves
+            p = s - 1
+            while p >= 0 and start[p] >= low:
+                p = prev[p]
+            prev[s] = p
+            high = low
+            if p >= 0:
+                g = start[p]
+                e = end[g] - 1
+                if e > g:
+                    i, q = rank[p], sa[e]
+                    sa[e], sa[i], rank[p], rank[q] = p, q, e, i
+                    start[p], end[g], end[e] = e, e, e + 1
+            continue
         count: dict[int, int] = {}
-        for s in (sorted(sa[low:high]) if high - low > 1 else (sa[low],)):
+        for s in sorted(sa[low:high]):
             p = s - 1
             while p >= 0 and start[p] >= low:  # a group not below this one: its pointer is known
                 p = prev[p]
