@@ -6,8 +6,9 @@
    at most 3 ** len(RULES) patterns, whatever the input).
 3. Expectation-maximisation on the pattern counts: classes good and bad, and for
    each rule its rate of bad, abstain and good votes in either class. Weak priors
-   (a rule seldom calls a good text bad; a bad text mostly breaks one or two rules)
-   hold the estimates where there are few texts.
+   (a rule seldom calls a good text bad; a bad text mostly shows one or two defects)
+   hold the estimates where there are few texts. Texts that fail the base limits are
+   decided and take no part.
 4. Each pattern's posterior probability of good replaces all-must-pass filtering:
    a text goes if it is below ``least``, or fails the two base limits.
 
@@ -87,29 +88,34 @@ def measure(b: bytes) -> Measures:
                     closed, int(bytes_[33]), echoes)
 
 
-def _band(value: float, bad: float, good: float) -> int:
-    """Bad above the one limit, good up to the other."""
-    return BAD if value > bad else GOOD if value <= good else NONE
+def _defect(found: bool) -> int:
+    return BAD if found else NONE
 
 
-#: Name and vote of each rule; a rule has no opinion where its measure says nothing.
+def _merit(found: bool) -> int:
+    return GOOD if found else NONE
+
+
+#: Name, vote and prior of each rule. A defect says bad or nothing: that a text lacks one defect does not make it
+#: good. A merit says good or nothing. Priors: rates of (bad, abstain, good) in bad and in good texts.
+_DEFECT, _MERIT = [[0.299, 0.700, 0.001], [0.003, 0.996, 0.001]], [[0.001, 0.499, 0.500], [0.001, 0.199, 0.800]]
 RULES = {
-    "symbols": lambda m: _band(m.n_symbols / m.n_words, 0.1, 0.02),
-    "shouting": lambda m: _band(m.n_upper_words / m.n_words, 0.3, 0.1),
-    "repetition": lambda m: _band(m.n_repeat_words / m.n_words, 0.1, 0.05),
-    "stop words": lambda m: GOOD if m.n_stop_words >= 0.08 * m.n_words else NONE,
-    "line ends": lambda m: GOOD if m.n_closed_lines >= 0.7 * m.n_lines else NONE,
-    "exclamation": lambda m: BAD if m.n_exclaims > 0.2 * m.n_words else NONE,
-    "echo": lambda m: BAD if m.n_echoes > 0.1 * m.n_words else NONE,
-    "line copies": lambda m: BAD if m.n_dup_lines > 0.3 * m.n_lines else NONE,
-    "word length": lambda m: BAD if not 2 <= m.word_chars / m.n_words <= 15 else GOOD if 3 <= m.word_chars / m.n_words <= 9 else NONE,
+    "symbols": (lambda m: _defect(m.n_symbols > 0.1 * m.n_words), _DEFECT),
+    "shouting": (lambda m: _defect(m.n_upper_words > 0.3 * m.n_words), _DEFECT),
+    "repetition": (lambda m: _defect(m.n_repeat_words > 0.15 * m.n_words), _DEFECT),
+    "exclamation": (lambda m: _defect(m.n_exclaims > 0.2 * m.n_words), _DEFECT),
+    "echo": (lambda m: _defect(m.n_echoes > 0.1 * m.n_words), _DEFECT),
+    "line copies": (lambda m: _defect(m.n_dup_lines > 0.4 * m.n_lines), _DEFECT),
+    "word length": (lambda m: _defect(not 2 * m.n_words <= m.word_chars <= 15 * m.n_words), _DEFECT),
+    "stop words": (lambda m: _merit(m.n_stop_words >= 0.08 * m.n_words), _MERIT),
+    "line ends": (lambda m: _merit(m.n_closed_lines >= 0.7 * m.n_lines), _MERIT),
 }
 
 
 def votes(m: Measures) -> int:
     """The pattern of all votes as one number in base 3; wordless texts: all abstain."""
     out = 0
-    for rule in RULES.values():
+    for rule, _ in RULES.values():
         out = out * 3 + (rule(m) if m.n_words else NONE)
     return out
 
@@ -123,16 +129,17 @@ def fit(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np
     n = np.array([counts[p] for p in patterns], float)
     v = np.array([[p // 3 ** (k - 1 - j) % 3 for j in range(k)] for p in patterns])
     one = np.eye(3)[v]  # pattern x rule x vote
-    # what a rule does before any text is seen, worth 50 texts of either class
-    prior = 50 * np.array([[[0.30, 0.30, 0.40]] * k, [[0.02, 0.30, 0.68]] * k])
-    rates, share = prior / 50, 0.85
+    rates, share = np.array([rates for _, rates in RULES.values()]).transpose(1, 0, 2), 0.8
+    # priors worth 50 bad texts, and half as many good ones as there are: that a defect is rare in good texts is
+    # what rules mean, what bad texts look like is for the data to say
+    prior = rates * np.array([50, max(50, n.sum() / 2)])[:, None, None]
     for _ in range(rounds):
         log = np.array([(one * np.log(rates[c])).sum((1, 2)) for c in (0, 1)])
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log(1 - share) - np.log(share), -700, 700)))
         weight = np.array([n * (1 - good), n * good])
         rates = prior + np.einsum("cp,prv->crv", weight, one)
         rates /= rates.sum(2, keepdims=True)
-        before, share = share, (weight[1].sum() + 42.5) / (n.sum() + 50)
+        before, share = share, (weight[1].sum() + 40) / (n.sum() + 50)
         if abs(share - before) < 1e-12:
             break
     return dict(zip(patterns, good.tolist(), strict=True)), rates
@@ -141,9 +148,9 @@ def fit(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def posteriors(patterns: DataFrame) -> dict[int, float]:
-    """Probability of good per vote pattern, from the counts over all of ``patterns`` (column pattern)."""
-    counted = patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(RULES) rows
+def posteriors(seen: DataFrame, min_words: int, max_repeat: int) -> dict[int, float]:
+    """Probability of good per vote pattern, from the counts over all of ``seen`` that is not decided."""
+    counted = seen.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat)).groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(RULES) rows
     return fit({r["pattern"]: r["n"] for r in counted})[0]
 
 
@@ -167,7 +174,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
           max_repeat: int = 20) -> DataFrame:
     """One row per document: ``key``, the base counts, ``base_failed``, ``p_good`` and ``kept``."""
     seen = stage(measures(docs, key, text), "measures")
-    table = docs.sparkSession.createDataFrame(list(posteriors(seen.where("n_words > 0")).items()), "pattern long, p_good double")
+    table = docs.sparkSession.createDataFrame(list(posteriors(seen, min_words, max_repeat).items()), "pattern long, p_good double")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat)
     return (seen.join(F.broadcast(table), "pattern", "left")  # at most 3 ** len(RULES) rows
             .select(F.col("key").alias(key), *BASE, failed.alias("base_failed"), F.coalesce("p_good", F.lit(0.0)).alias("p_good"))
@@ -177,7 +184,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
 def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns: two narrow passes, no shuffle."""
     seen = measures(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")), "key", "text")
-    good = posteriors(seen.where("n_words > 0"))
+    good = posteriors(seen, min_words, max_repeat)
     at = docs.columns.index(text)
 
     def run(batches):

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import decontaminate, overlap_join, quality_rules, source_mix, suffix_dedup
+from volpanel.llm import (chat_format, decontaminate, html_text, language_model, license_scan, overlap_join, quality_rules, source_mix, suffix_dedup,
+                          url_rules)
 
 QUERIES, ORACLES = {}, {}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,6 +63,40 @@ def op2_jaccard_join(spark, sf_dir):
     return overlap_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+_RULES = "(VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_rules.SITES) + ") r(h, p, v)"
+
+
+@query("op3_url_rules", rf"""
+WITH u AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '')")} AS host,
+                  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+m AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM u JOIN {_RULES}
+      ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, host, path, rule,
+       coalesce(v, CASE WHEN regexp_matches({_LOWER.format("host || path")}, '(^|[^0-9a-z])({"|".join(url_rules.WORDS)})($|[^0-9a-z])') THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m USING (page_id)""")
+def op3_url_rules(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages")).drop("word_rule")
+
+
+_ESC = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+
+
+@query("op4_chat_format", rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, encode(role), encode(text)) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_ESC.format("role")}) + length({_ESC.format("text")}) + {len(chat_format.START + chat_format.SEP + chat_format.END)})::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id""")
+def op4_chat_format(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat_format.read_back(chat_format.format_trees(chat_format.as_tree(rows)))
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -91,6 +126,21 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query("op8_lm_score")
+def op8_lm_score(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
