@@ -98,11 +98,10 @@ def _merit(found: bool) -> int:
 
 #: Name, vote and prior of each rule. A defect says bad or nothing: that a text lacks one defect does not make it
 #: good. A merit says good or nothing. Priors: rates of (bad, abstain, good) in bad and in good texts.
-_DEFECT, _MERIT = [[0.299, 0.700, 0.001], [0.003, 0.996, 0.001]], [[0.001, 0.499, 0.500], [0.001, 0.199, 0.800]]
+_DEFECT, _MERIT = [[0.199, 0.800, 0.001], [0.003, 0.996, 0.001]], [[0.001, 0.499, 0.500], [0.001, 0.199, 0.800]]
 RULES = {
     "symbols": (lambda m: _defect(m.n_symbols > 0.1 * m.n_words), _DEFECT),
     "shouting": (lambda m: _defect(m.n_upper_words > 0.3 * m.n_words), _DEFECT),
-    "repetition": (lambda m: _defect(m.n_repeat_words > 0.15 * m.n_words), _DEFECT),
     "exclamation": (lambda m: _defect(m.n_exclaims > 0.2 * m.n_words), _DEFECT),
     "echo": (lambda m: _defect(m.n_echoes > 0.1 * m.n_words), _DEFECT),
     "line copies": (lambda m: _defect(m.n_dup_lines > 0.4 * m.n_lines), _DEFECT),
@@ -130,9 +129,9 @@ def fit(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np
     v = np.array([[p // 3 ** (k - 1 - j) % 3 for j in range(k)] for p in patterns])
     one = np.eye(3)[v]  # pattern x rule x vote
     rates, share = np.array([rates for _, rates in RULES.values()]).transpose(1, 0, 2), 0.8
-    # priors worth 50 bad texts, and half as many good ones as there are: that a defect is rare in good texts is
+    # priors worth 50 bad texts, and twice as many good ones as there are: that a defect is rare in good texts is
     # what rules mean, what bad texts look like is for the data to say
-    prior = rates * np.array([50, max(50, n.sum() / 2)])[:, None, None]
+    prior = rates * np.array([50, max(50, 2 * n.sum())])[:, None, None]
     for _ in range(rounds):
         log = np.array([(one * np.log(rates[c])).sum((1, 2)) for c in (0, 1)])
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log(1 - share) - np.log(share), -700, 700)))
