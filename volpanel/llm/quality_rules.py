@@ -129,10 +129,10 @@ def fit(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np
     v = np.array([[p // 3 ** (k - 1 - j) % 3 for j in range(k)] for p in patterns])
     one = np.eye(3)[v]  # pattern x rule x vote
     rates, share = np.array([rates for _, rates in RULES.values()]).transpose(1, 0, 2), 0.8
-    # priors worth 50 texts, but that a defect is rare in good texts, which is what rules mean, twice as many as there
-    # are: what bad texts look like, and which merits good ones have, is for the data to say
-    firm = np.array([50 if rates is _MERIT else max(50, 2 * n.sum()) for _, rates in RULES.values()])
-    prior = rates * np.array([np.full(k, 50), firm])[:, :, None]
+    # priors worth 50 texts; for defects as many as there are, in both classes: that is what good and bad mean. Which
+    # merits texts have is for the data to say
+    firm = np.array([50 if rates is _MERIT else max(50, n.sum()) for _, rates in RULES.values()])
+    prior = rates * firm[None, :, None]
     for _ in range(rounds):
         log = np.array([(one * np.log(rates[c])).sum((1, 2)) for c in (0, 1)])
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log(1 - share) - np.log(share), -700, 700)))
