@@ -188,7 +188,7 @@ def check_scores(spark, rows):
 def test_scores_equal_brute_force_with_and_without_rare_rows(spark, monkeypatch):
     rows = mixed_rows()
     whole = check_scores(spark, rows)
-    monkeypatch.setattr(lm, "COMMON", 60)
+    monkeypatch.setattr(lm, "COMMON", 200)
     assert check_scores(spark, rows) == whole
 
 

@@ -5,7 +5,8 @@ whose crc32 of the id is not 2 modulo 7.
 
 1. **Counts** of all training tokens, combined per batch and summed by a shuffle: they
    grow with the corpus and stay a table.
-2. **Vocabulary**: the ``vocabulary`` most frequent tokens; all others share one class.
+2. **Vocabulary**: the ``vocabulary`` most frequent of the common tokens (at most COMMON, all above
+   a count); all others share one class.
 3. **Pairs**: how often each class follows each, over all training texts; at most
    (vocabulary + 2) ** 2 rows, the sufficient statistics of a model with one word of
    context, whatever the size of the corpus.
@@ -14,8 +15,8 @@ whose crc32 of the id is not 2 modulo 7.
    normalisers, so every probability is normalised exactly: a token of the shared class
    gets the class probability times an add-one unigram inside it.
 5. **Scores**: frequent tokens are looked up in the batch; the rare ones of a text leave
-   as rows (text, token, times) and meet their counts in a join. A frequent token is one
-   of the COMMON first by count, so no token of a hot key is ever shuffled.
+   as rows (text, token, times) and meet their counts in a join. Common tokens never are, so no
+   hot token is shuffled.
 
 ``base`` is the add-one unigram score of the text over all training tokens.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.llm.common import LOWER, as_batch, binaries, per_batch, slices, word_hashes
+from volpanel.llm.common import LOWER, as_batch, binaries, most_frequent, per_batch, slices, word_hashes
 from volpanel.sources.stage import stage
 
 END = int(word_hashes([b""])[0])
@@ -161,7 +162,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     training = own.where("not held_out").select("text")
     counts = stage(count_tokens(training), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = counts.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    top = most_frequent(counts, "c", COMMON).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    all_common = len(top) == v
     w = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), vocabulary)
     n_rest = n - int(top["c"].iloc[:w.known].sum())
     v_rest = v - w.known
@@ -190,7 +192,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             nothing = [None] * len(rows)
             yield as_batch({"row": rows, "key": batch.column(0), "held_out": batch.column(2), "n_tokens": size, "n_known": np.add.reduceat((c > 0).astype(np.int64), begins),
                             "rare": nothing, "times": nothing, "base": np.add.reduceat(log_c, begins) - size * base_norm, "model": model}, target)
-            if len(w.h) >= COMMON:  # else all training tokens are common
+            if not all_common:
                 which = np.flatnonzero(~common)
                 owner = np.searchsorted(ends, which)
                 order = np.lexsort((t[which], owner))
