@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volpanel import config as C
 from volpanel.operators.panel import number_rows
 from volpanel.sources.stage import stage
 
-HORIZONS = (5, 22, 66)
+HORIZONS = C.HORIZONS
 TEST_YEARS = (1998, 1999, 2000, 2001)
 FIRST_TEST_YEAR = 1998
 PARTIAL_YEAR = 2001

@@ -93,7 +93,7 @@ def rows_by_folds(spark, sf_dir):
         F.sum(F.when(F.col("year") == F.col("test_year"), F.col("n")).otherwise(0)).alias("n_test"))
 
 
-@query("expand_dimensions", with_parts("SELECT series_id, h AS horizon, v AS variant, count(*) AS n FROM num, (VALUES (5), (22), (66)) a(h), (VALUES ('a'), ('b')) b(v) GROUP BY ALL", "num"))
+@query("expand_dimensions", with_parts("SELECT series_id, h AS horizon, v AS variant, count(*) AS n FROM num, (VALUES (5), (22), (66), (126)) a(h), (VALUES ('a'), ('b')) b(v) GROUP BY ALL", "num"))
 def expand_dimensions(spark, sf_dir):
     """Every row for every horizon and variant: literal lists unfold in the row, nothing is shuffled."""
     df = relational.expand(relational.expand(fx.panel(spark, sf_dir).select("series_id"), "horizon", H), "variant", ["a", "b"])

@@ -4,7 +4,7 @@ Each expression is written on its own terms (self joins, ordered lists, closed
 forms), not as a copy of the Spark plan it checks.
 """
 
-HORIZONS = (5, 22, 66)
+from volpanel.config import HORIZONS
 
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 

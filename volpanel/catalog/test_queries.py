@@ -370,10 +370,15 @@ def augmented_dickey_fuller(spark, sf_dir):
     return rounded(adf(f, list(ADF_VARS), ADF_LAGS), 5)
 
 
-@query("normal_quantiles")
+@query("normal_quantiles", with_parts("""
+SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date,
+       round((row_number() OVER (PARTITION BY series_id, year ORDER BY ret, row_no) - 0.5) / count(*) OVER (PARTITION BY series_id, year), 9) + 0.0 AS p_back,
+       sign(2 * row_number() OVER (PARTITION BY series_id, year ORDER BY ret, row_no) - 1 - count(*) OVER (PARTITION BY series_id, year))::INT AS side
+FROM rets WHERE ret IS NOT NULL""", "rets"))
 def normal_quantiles(spark, sf_dir):
-    """Ranks of returns as normal scores, through the inverse normal."""
+    """Ranks of returns as normal scores, and back: the distribution of the score is the rank again."""
     w = Window.partitionBy("series_id", "year").orderBy("ret", "row_no")
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id", "year"))
-    f = frame(spark, sf_dir).filter("ret is not null")
-    return f.select("series_id", "obs_date", F.round(tails.norm_ppf((F.row_number().over(w) - 0.5) / n), 6).alias("score"))
+    f = frame(spark, sf_dir).filter("ret is not null").withColumn("score", tails.norm_ppf((F.row_number().over(w) - 0.5) / n))
+    side = F.when(F.abs("score") < 1e-12, 0).otherwise(F.signum("score")).cast("int")
+    return f.select("series_id", "obs_date", (F.round(tails.norm_cdf("score"), 9) + 0.0).alias("p_back"), side.alias("side"))

@@ -30,7 +30,7 @@ def _normal_cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * _erfc(-np.asarray(z, "float64") / math.sqrt(2.0))
 
 
-def _beta_fraction(a, b, x, steps: int = 400):
+def _beta_fraction(a, b, x, steps: int = 100_000):
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
     c = np.ones_like(x)
@@ -45,9 +45,9 @@ def _beta_fraction(a, b, x, steps: int = 400):
             c = 1.0 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
-            break
-    return h
+        if np.all(np.abs(d * c - 1.0) < 4e-15):
+            return h
+    raise ArithmeticError("incomplete beta did not converge")
 
 
 def beta_inc(a, b, x) -> np.ndarray:
@@ -67,9 +67,23 @@ def beta_inc(a, b, x) -> np.ndarray:
     return out
 
 
+#: Degrees of freedom from which t is normal to double precision at any usable t.
+NORMAL_DF = 1e7
+
+
 def t_sf_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    t, df = np.asarray(t, "float64"), np.asarray(df, "float64")
-    return beta_inc(df / 2, 0.5, df / (df + t * t))
+    """P(|T| >= |t|); NaN for a NaN statistic or no degrees of freedom."""
+    t, df = np.broadcast_arrays(np.asarray(t, "float64"), np.asarray(df, "float64"))
+    ok, far = (df > 0) & ~np.isnan(t), df >= NORMAL_DF
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        x = np.where(ok & ~far & np.isfinite(t), df / (df + t * t), 0.0)
+        out = np.where(far, _erfc(np.abs(t) / math.sqrt(2.0)), beta_inc(np.where(ok & ~far, df, 1.0) / 2, 0.5, x))
+    return np.where(ok, out, np.nan)
+
+
+def _nullable(values: np.ndarray) -> pd.Series:
+    """NaN, the mark of a test that cannot be made, as NULL."""
+    return pd.Series(pd.array(values, dtype="Float64")).where(~np.isnan(values), None).astype(object)
 
 
 def gamma_sf(a, x) -> np.ndarray:
@@ -93,14 +107,16 @@ def gamma_sf(a, x) -> np.ndarray:
             b = xi + 1 - ai
             c, d = 1e300, 1 / b
             h = d
-            for k in range(1, 1000):
+            for k in range(1, 1_000_000):
                 an = -k * (k - ai)
                 b += 2
                 d = 1 / (an * d + b or 1e-300)
                 c = b + an / c or 1e-300
                 h *= d * c
-                if abs(d * c - 1) < 1e-16:
+                if abs(d * c - 1) < 4e-15:
                     break
+            else:
+                raise ArithmeticError("incomplete gamma did not converge")
             out[i] = front * h
     return out
 
@@ -119,25 +135,27 @@ def norm_ppf(p: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|)."""
-    return pd.Series(t_sf_two_sided(t.to_numpy(), df.to_numpy()))
+    return _nullable(t_sf_two_sided(t.to_numpy("float64"), df.to_numpy("float64")))
 
 
 @F.pandas_udf(T.DoubleType())
 def t_one_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(T >= t)."""
-    half = 0.5 * t_sf_two_sided(t.to_numpy(), df.to_numpy())
-    return pd.Series(np.where(t.to_numpy() >= 0, half, 1 - half))
+    half = 0.5 * t_sf_two_sided(t.to_numpy("float64"), df.to_numpy("float64"))
+    return _nullable(np.where(t.to_numpy("float64") >= 0, half, 1 - half))
 
 
 @F.pandas_udf(T.DoubleType())
 def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
-    half = 0.5 * t_sf_two_sided(t.to_numpy(), df.to_numpy())
-    return pd.Series(np.where(t.to_numpy() >= 0, 1 - half, half))
+    half = 0.5 * t_sf_two_sided(t.to_numpy("float64"), df.to_numpy("float64"))
+    return _nullable(np.where(t.to_numpy("float64") >= 0, 1 - half, half))
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_sf(q: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(gamma_sf(df.to_numpy("float64") / 2, q.to_numpy("float64") / 2))
+    q, df = q.to_numpy("float64"), df.to_numpy("float64")
+    ok = (df > 0) & ~np.isnan(q)
+    return _nullable(np.where(ok, gamma_sf(np.where(ok, df, 1.0) / 2, np.where(ok, q, 0.0) / 2), np.nan))
 
 
 def binom_cdf(k, n, p) -> np.ndarray:

@@ -106,11 +106,10 @@ def business_days(cal: DataFrame, hol: DataFrame, kind: str) -> DataFrame:
     """Calendar with ``is_bd``, ``next_bd`` (first on or after) and ``prev_bd`` (last before)."""
     h = hol.filter(F.col("kind") == kind).select("day", F.lit(True).alias("_h"))
     c = cal.join(h, "day", "left").withColumn("is_bd", F.col("is_weekday") & F.col("_h").isNull()).drop("_h")
-    w = Window.orderBy("day")
     bd = F.when(F.col("is_bd"), F.col("day"))
-    return c.withColumns({
-        "next_bd": F.min(bd).over(w.rowsBetween(0, 14)),
-        "prev_bd": F.max(bd).over(w.rowsBetween(-14, -1))})
+    return c.withColumns({  # however long a closure lasts
+        "next_bd": F.min(bd).over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)),
+        "prev_bd": F.max(bd).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))})
 
 
 def publication_calendar(cal: DataFrame, hol: DataFrame, first_release: DataFrame, cutoff: str) -> DataFrame:

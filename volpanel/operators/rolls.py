@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 
 from volpanel import config as C
 from volpanel.operators import features as ft
-from volpanel.operators.panel import add_chunks, chunk_window, core_rows
+from volpanel.operators.panel import add_chunks, chunk_window, core_rows, running_sum
 
 
-def clean_lag(clean: str, w: WindowSpec, i: int, most_removed: int):
-    """i-th most recent return that was not removed, looking past up to ``most_removed``."""
-    seen = F.collect_list(clean).over(w.rowsBetween(-(i + most_removed), -1))
-    return F.when(F.size(seen) >= i, F.element_at(seen, -i))
+def add_clean_lags(df: DataFrame, keys, clean: str, lags) -> DataFrame:
+    """``clean_lag<i>``: i-th most recent return that was not removed, however many were removed between.
+
+    Kept returns are numbered; a row that has seen k of them before finds the
+    i-th last as number k - i + 1, all lags in one equality join.
+    """
+    df = running_sum(df.withColumn("_kept", F.col(clean).isNotNull().cast("int")), {"_seen": "_kept"}, keys)
+    df = df.withColumn("_at", F.col("_seen") - F.col("_kept"))
+    kept = df.filter("_kept = 1").select(*keys, F.inline(F.array(*[
+        F.struct((F.col("_seen") + (i - 1)).alias("_at"), F.lit(i).alias("_i"), F.col(clean).alias("_v")) for i in lags])))
+    wide = kept.groupBy(*keys, "_at").agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"clean_lag{i}") for i in lags])
+    return df.join(wide, [*keys, "_at"], "left").drop("_at", "_kept", "_seen")
 
 
 def clean_std(clean: str, removed: str, original, w: WindowSpec, size: int):
@@ -24,13 +32,11 @@ def clean_std(clean: str, removed: str, original, w: WindowSpec, size: int):
     return F.when(original.isNotNull(), F.when(F.max(removed).over(frame) > 0, left).otherwise(original))
 
 
-def build_variant(numbered: DataFrame, horizons, keys=("series_id",), removed: str = "removed",
-                  most_removed: int = 10, target_only: bool = False) -> DataFrame:
+def build_variant(numbered: DataFrame, horizons, keys=("series_id",), removed: str = "removed") -> DataFrame:
     """Targets, return features and past volatility without the removed returns.
 
     ``removed`` is 1 on rows whose own return is taken out. With no row removed
-    every column equals its plain counterpart, bit for bit. ``most_removed``
-    bounds the removals inside the five clean lags; a row beyond it gets NULL.
+    every column equals its plain counterpart, bit for bit.
     """
     top = max(max(horizons), max(C.VOL_WINDOWS))
     w = chunk_window(keys)
@@ -41,8 +47,7 @@ def build_variant(numbered: DataFrame, horizons, keys=("series_id",), removed: s
     for i in C.LAGS:
         o = F.lag("ret", i).over(w)
         hit = F.max(removed).over(w.rowsBetween(-i, -1)) > 0
-        cols[f"price_ret_lag{i}"] = F.when(
-            o.isNotNull(), F.when(hit, clean_lag("clean", w, i, most_removed)).otherwise(o))
+        cols |= {f"_plain{i}": o, f"_hit{i}": hit}
     for n in C.VOL_WINDOWS:
         cols[f"price_vol{n}"] = clean_std("clean", removed, ft.past_vol("ret", w, n), w, n)
     for h in horizons:
@@ -54,7 +59,10 @@ def build_variant(numbered: DataFrame, horizons, keys=("series_id",), removed: s
         cols[f"touched_{h}"] = F.coalesce(F.max(removed).over(ahead), F.lit(0))
         cols[f"fit_from_{h}"] = F.lead("year", h).over(w) + 1
     cols |= {f"{x}_lag1": F.lag(x, 1).over(w) for x in ("implied", *ft.INDEXES)}
-    df = core_rows(df.withColumns(cols))
+    df = add_clean_lags(core_rows(df.withColumns(cols)), list(keys), "clean", C.LAGS)
+    df = df.withColumns({f"price_ret_lag{i}": F.when(
+        F.col(f"_plain{i}").isNotNull(), F.when(F.col(f"_hit{i}"), F.col(f"clean_lag{i}")).otherwise(F.col(f"_plain{i}"))) for i in C.LAGS})
+    df = df.drop(*[f"{x}{i}" for i in C.LAGS for x in ("_plain", "_hit", "clean_lag")])
     a, e = F.abs("price_ret_lag1"), C.RATIO_EPS
     return df.withColumns({
         "har_daily": a,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from volpanel import config as C
 from volpanel.functions import tails
+from volpanel.operators.folds import finite
 
 KEYS = ("series_id", "horizon", "pair")
 
@@ -32,7 +33,7 @@ def loss_diff(preds: DataFrame, pairs, keys=("series_id", "horizon")) -> DataFra
         F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(f"p_{a}").alias("p1"), F.col(f"p_{b}").alias("p2"))
         for a, b in pairs])))
     e1, e2 = F.col("y_true") - F.col("p1"), F.col("y_true") - F.col("p2")
-    return (unfolded.filter(F.col("p1").isNotNull() & F.col("p2").isNotNull())
+    return (unfolded.filter(finite(F.col("p1")) & finite(F.col("p2")))
             .withColumns({"e1": e1, "e2": e2, "d": e1 * e1 - e2 * e2,
                           "adjustment": F.pow(F.col("p1") - F.col("p2"), 2)})
             .withColumn("f", F.col("d") + F.col("adjustment")))

@@ -17,11 +17,15 @@ _own_dir = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch one if unset."""
+    """The folder named by ``spark.checkpoint.dir``. Unset: a scratch one in local mode, where driver and
+    executors are one process; an error on a cluster, whose machines would not see it."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="volpanel-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
