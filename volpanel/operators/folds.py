@@ -89,6 +89,7 @@ def replicate_to_folds(rows: DataFrame, test_years) -> DataFrame:
 def fold_leakage(rows: DataFrame, test_years, keys=("series_id",)) -> DataFrame:
     """Per fold: last training row, first test row, and whether a target reaches the test.
 
+    A fold without training rows counts 0 of them, has no last one and does not leak.
     ``rows`` is the output of :func:`by_horizon` with ``row_no`` and ``year`` kept.
     """
     keys = [*keys, "horizon"]
@@ -99,10 +100,10 @@ def fold_leakage(rows: DataFrame, test_years, keys=("series_id",)) -> DataFrame:
             .agg(F.min("row_no").alias("first_test_row"), F.count("y").alias("n_test")))
     w = Window.partitionBy(*keys).orderBy("test_year").rowsBetween(Window.unboundedPreceding, 0)
     return (test.join(train, [*keys, "test_year"], "full_outer")
-            .withColumns({"last_train_row": F.max("m").over(w), "n_train": F.sum("c").over(w)})
+            .withColumns({"last_train_row": F.max("m").over(w), "n_train": F.coalesce(F.sum("c").over(w), F.lit(0))})
             .filter(F.col("first_test_row").isNotNull())
-            .withColumn("leaks", (F.col("last_train_row") + F.col("horizon")
-                                  >= F.col("first_test_row")).cast("int"))
+            .withColumn("leaks", F.coalesce(F.col("last_train_row") + F.col("horizon")
+                                            >= F.col("first_test_row"), F.lit(False)).cast("int"))
             .select(*keys, "test_year", "last_train_row", "first_test_row", "n_train", "n_test", "leaks"))
 
 
