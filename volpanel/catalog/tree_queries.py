@@ -1,22 +1,29 @@
-"""Boosted trees. The tier's tree counts are scaled down here to keep the check short."""
+"""Boosted trees at their tiers' sizes on all horizons, and the validated search.
+
+Another learner grows other trees, so the statements of the tree queries check what is determined: the
+rows, tiers, training sizes, floors and base forecasts, and that each forecast is what its parts make it.
+"""
 
 from pyspark.sql import functions as F
 
+from volpanel import config as C
 from volpanel.catalog import fixtures as fx
 from volpanel.catalog import window_queries as wq
-from volpanel.catalog.forecast_queries import coefs, frame, rows
+from volpanel.catalog.forecast_queries import H, coefs, frame, level, pred_out, rows
 from volpanel.catalog.registry import query, rounded
-from volpanel.operators import folds, trees
+from volpanel.catalog.sql import part, rd, with_parts
+from volpanel.catalog import forecast_sql as fs
+from volpanel.operators import folds, search, trees
 from volpanel.operators.features import FEATURES, LOG_FEATURES
+from volpanel.operators.models import back_transform
 from volpanel.plans import walkforward as wf
 
 YEARS, PARTIAL = fx.TEST_YEARS, fx.PARTIAL_YEAR
-TREES, LONG = 0.03, (22,)
 _data: dict = {}
 
 
 def full(spark, sf_dir):
-    return trees.full_rows(wq.features(spark, sf_dir), frame(spark, sf_dir), LONG)
+    return trees.full_rows(wq.features(spark, sf_dir), frame(spark, sf_dir), H)
 
 
 def data(spark, sf_dir):
@@ -26,43 +33,106 @@ def data(spark, sf_dir):
     return _data[key]
 
 
-def _preds(df):
-    return rounded(df.select("series_id", "model", "horizon", "fold", "test_year", "obs_date", "include_in_main", "y_true", "pred"), 6)
+# all 65 features are there from row 127 on: the longest window meets 126 returns before the row
+part("tree_train", "SELECT * FROM train WHERE row_no >= 127 AND y > 0 AND past_vol > 0", "train")
+part("tree_test", "SELECT * FROM test WHERE row_no >= 127 AND y > 0 AND past_vol > 0", "test")
+
+
+def _stats(name: str, source: str) -> None:
+    part(name, f"""SELECT *, CASE WHEN e >= 100 THEN 'high' WHEN e >= 30 THEN 'mid' ELSE 'low' END AS tier FROM (
+SELECT *, sum(n_train) OVER w / count(*) OVER w / horizon AS e FROM (SELECT series_id, horizon, test_year, count(*) AS n_train, min(y) AS floor,
+avg(y) AS train_mean FROM {source} GROUP BY ALL) WINDOW w AS (PARTITION BY horizon, test_year))""", source)
+
+
+_stats("tree_stats", "tree_train")
+_stats("six_stats", "train")
+_COLUMNS = ["series_id", "model", "horizon", "fold", "test_year", "obs_date", "include_in_main", "y_true", "n_train", "floor", "train_mean", "tier"]
+
+
+def _sql(model: str, test: str, stats: str) -> str:
+    return f"""SELECT t.series_id, '{model}' AS model, t.horizon, CAST(t.test_year - 1997 AS INT) AS fold, t.test_year, CAST(t.obs_date AS VARCHAR) AS obs_date,
+t.include_in_main, {rd('t.y', 7)} AS y_true, s.n_train, {rd('s.floor', 7)} AS floor, {rd('s.train_mean', 7)} AS train_mean, s.tier, 1 AS sound
+FROM {test} t JOIN {stats} s ON {fs.on('t', 's')}"""
+
+
+def _sound(cond):
+    return F.coalesce((folds.finite("pred") & cond).cast("int"), F.lit(0)).alias("sound")
+
+
+def _near(a, b):
+    return F.abs(a - b) <= 1e-12 + 1e-9 * F.abs(b)
 
 
-@query("gbt_by_fold")
+@query("gbt_by_fold", with_parts(_sql("gbt", "tree_test", "tree_stats"), "tree_test", "tree_stats"))
 def gbt_by_fold(spark, sf_dir):
-    return _preds(trees.gbt_by_fold(data(spark, sf_dir), "ratio", TREES))
+    p = trees.gbt_by_fold(data(spark, sf_dir))
+    back = back_transform(F.col("raw"), F.col("smearing"), "ratio")
+    return rounded(p.select(*_COLUMNS, _sound((F.col("pred") > 0) & (F.col("smearing") > 0) & _near(F.col("pred"), back))), 7)
 
 
-@query("gbt_levels")
+@query("gbt_levels", with_parts(_sql("gbt6", "test", "six_stats"), "test", "six_stats"))
 def gbt_levels(spark, sf_dir):
-    """The same learner on the six linear regressors, levels, held at the floor."""
-    r = rows(spark, sf_dir).filter(F.col("horizon").isin(list(LONG)))
-    d = trees.fold_data(r, wf.XS, YEARS, PARTIAL, scale=False)
-    return _preds(trees.gbt_by_fold(d, "level", TREES, name="gbt6"))
+    """The same learner on the six linear regressors, levels, held at the floor; its rows are those of HAR-X."""
+    d = trees.fold_data(rows(spark, sf_dir), wf.XS, YEARS, PARTIAL, scale=False, mode="level")
+    p = trees.gbt_by_fold(d, name="gbt6")
+    return rounded(p.select(*_COLUMNS, _sound(F.col("pred") == F.greatest("raw", "floor"))), 7)
 
 
-@query("residual_hybrid")
+@query("residual_hybrid", with_parts(f"""SELECT p.series_id, 'har_x_residual' AS model, p.horizon, p.fold, p.test_year, CAST(p.obs_date AS VARCHAR) AS obs_date,
+p.include_in_main, {rd('p.y_true', 7)} AS y_true, {rd('p.pred', 6)} AS base, {rd('p.floor', 7)} AS floor, {rd('s.train_mean', 7)} AS train_mean, 1 AS sound
+FROM p_har_x p JOIN tree_stats s ON {fs.on('p', 's')} WHERE p.row_no >= 127""", "p_har_x", "tree_stats"))
 def residual_hybrid(spark, sf_dir):
-    return _preds(trees.residual_hybrid(full(spark, sf_dir), coefs(spark, sf_dir), wf.XS, YEARS, PARTIAL, TREES))
+    """The base must be the stand-alone HAR-X forecast of the same row."""
+    p = trees.residual_hybrid(full(spark, sf_dir), coefs(spark, sf_dir), wf.XS, YEARS, PARTIAL)
+    made = F.greatest(F.col("base") + F.col("residual_forecast"), F.col("floor"))
+    return rounded(p.select(*[c for c in _COLUMNS if c not in ("n_train", "tier")], "base",
+                            _sound((F.col("pred") == made) & (F.col("resid_r2_in_sample") <= 1))), 7, base=6)
 
 
-def search(spark, sf_dir):
-    spans = folds.validation_span(rows(spark, sf_dir), YEARS)
-    return trees.validated_search(full(spark, sf_dir), spans, data(spark, sf_dir), 2, "ratio", TREES)
+@query("occlusion_attribution", with_parts("SELECT DISTINCT t.series_id, t.horizon, t.test_year, f.feature, 1 AS sound FROM tree_test t JOIN tree_stats s ON "
+       + fs.on("t", "s") + ", (SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature) f", "tree_test", "tree_stats"))
+def occlusion_attribution(spark, sf_dir):
+    o = trees.occlusion(data(spark, sf_dir)).withColumn("pred", F.col("mean_abs"))
+    return o.select("series_id", "horizon", "test_year", "feature", _sound(F.col("mean_abs") >= 0))
 
 
-@query("validated_search")
-def validated_search(spark, sf_dir):
-    return _preds(search(spark, sf_dir)[0])
+# --- search ------------------------------------------------------------------
+part("val_span", """SELECT series_id, horizon, test_year, test_year - coalesce(min(k) FILTER (WHERE n >= 3 * horizon), max(k)) AS first_val FROM (
+SELECT l.series_id, l.horizon, f.test_year, k.k, count(*) AS n FROM long l JOIN folds f ON l.series_id = f.series_id AND l.year < f.test_year
+AND l.row_no + l.horizon < f.first_test JOIN range(1, 7) k(k) ON l.year >= f.test_year - k.k GROUP BY ALL) GROUP BY series_id, horizon, test_year""", "long", "folds")
+part("val_rows", "SELECT t.* FROM train t JOIN val_span s ON " + fs.on("t", "s") + " AND t.year >= s.first_val", "train", "val_span")
+part("proper", """SELECT t.* FROM train t JOIN (SELECT s.*, (SELECT min(row_no) FROM num n WHERE n.series_id = s.series_id AND n.year >= s.first_val) AS first_row
+FROM val_span s) s ON """ + fs.on("t", "s") + " AND t.row_no + t.horizon < s.first_row", "train", "val_span", "num")
+for _v, _xs in C.HAR_VARIANTS.items():
+    fs.ols_parts(f"{_v}_proper", list(_xs), "proper")
+part("proper_floor", "SELECT series_id, horizon, test_year, count(*) AS n_train, min(y) AS floor FROM proper GROUP BY ALL HAVING count(*) >= 200", "proper")
+part("trials", " UNION ALL ".join(f"""SELECT t.series_id, t.horizon, t.test_year, '{v}' AS trial, s.n_train, count(*) AS n_val,
+sqrt(avg((t.y - greatest({fs.predictor(xs)}, s.floor)) ** 2)) AS val_rmse FROM val_rows t JOIN fit_{v}_proper f ON {fs.on('t', 'f')}
+JOIN proper_floor s ON {fs.on('t', 's')} GROUP BY ALL""" for v, xs in C.HAR_VARIANTS.items()),
+     "val_rows", "proper_floor", *[f"fit_{v}_proper" for v in C.HAR_VARIANTS])
 
 
-@query("selection_signal")
-def selection_signal(spark, sf_dir):
-    return rounded(trees.selection_signal(search(spark, sf_dir)[1]), 5)
+def trials(spark, sf_dir):
+    def build():
+        r = rows(spark, sf_dir)
+        return search.linear_trials(r, folds.validation_span(r, YEARS), wf.XS, C.HAR_VARIANTS, YEARS)
+    return fx.remember(spark, sf_dir, "linear_trials", build)
 
 
-@query("occlusion_attribution")
-def occlusion_attribution(spark, sf_dir):
-    return rounded(trees.occlusion(data(spark, sf_dir), "ratio", TREES), 6)
+@query("search_trials", with_parts(f"SELECT series_id, horizon, test_year, trial, n_train, n_val, {rd('val_rmse', 7)} AS val_rmse FROM trials", "trials"))
+def search_trials(spark, sf_dir):
+    return rounded(trials(spark, sf_dir), 7)
+
+
+@query("validated_search", with_parts(f"""SELECT p.series_id, p.model, p.horizon, p.fold, p.test_year, CAST(p.obs_date AS VARCHAR) AS obs_date, p.include_in_main,
+{rd('p.y_true', 7)} AS y_true, {rd('p.pred', 7)} AS pred FROM preds p JOIN (SELECT series_id, horizon, test_year, arg_min(trial, val_rmse) AS model FROM trials GROUP BY ALL) b
+ON {fs.on('p', 'b')} AND p.model = b.model""", "preds", "trials"))
+def validated_search(spark, sf_dir):
+    return pred_out(search.searched(level(spark, sf_dir), trials(spark, sf_dir)))
+
+
+@query("selection_signal", with_parts(f"""SELECT *, CAST(signal_pct < 5 AS INT) AS weak FROM (SELECT series_id, horizon, test_year, count(*) AS n_trials,
+{rd('min(val_rmse)', 6)} AS best, {rd('median(val_rmse)', 6)} AS median, {rd('max(val_rmse)', 6)} AS worst, arg_min(trial, val_rmse) AS best_trial,
+{rd('100 * (median(val_rmse) - min(val_rmse)) / median(val_rmse)', 4)} AS signal_pct FROM trials GROUP BY ALL)""", "trials"))
+def selection_signal(spark, sf_dir):
+    return rounded(search.selection_signal(trials(spark, sf_dir), ["series_id"]), 6, signal_pct=4)

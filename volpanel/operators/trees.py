@@ -5,6 +5,10 @@ fits are submitted side by side. Preprocessing is fitted per series and fold on
 training rows, so pooled series share one scale. Declared differences to a
 single-series learner: pooling, no L2 penalty, and the minimum child weight
 stands as minimum rows per node.
+
+Rows are stored once per horizon with raw features. Training sets are nested, so
+a fold reads the rows with ``fit_from`` up to its year; winsor bounds and ranges
+are a small table per series, fold and role that is applied at reading.
 """
 
 from concurrent.futures import ThreadPoolExecutor
@@ -13,58 +17,99 @@ import random
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel import config as C
 from volpanel.operators import folds
 from volpanel.operators.features import FEATURES, LOG_FEATURES
 from volpanel.operators.models import back_transform, fit_target
-from volpanel.sources.stage import stage
+from volpanel.operators.search import selection_signal  # noqa: F401 - part of this module's interface
+from volpanel.sources.stage import shared_dir, stage
 
 KEYS = ("series_id", "horizon", "test_year")
 
 
 @dataclass
 class FoldData:
-    """Stage tables of training and test rows, stored by horizon and test year."""
+    """Raw rows by horizon, the folds they serve, and the preprocessing of each training set."""
 
-    train: DataFrame
-    test: DataFrame
+    rows: DataFrame
     features: tuple
+    logs: tuple
+    mode: str
+    test_years: tuple
+    partial_year: int
+    bounds: DataFrame | None = None
     cells: list = field(default_factory=list)   # (horizon, test_year, rows per series)
+    models: dict = field(default_factory=dict)  # fitted with the tier's parameters, by cell
+
+
+def usable(features, mode: str) -> Column:
+    """Rows a mode can learn from: logs need a positive target, ratios positive past volatility too."""
+    ok = folds.complete(features) & F.col("y").isNotNull()
+    if mode != "level":
+        ok = ok & (F.col("y") > 0)
+    return ok & F.col("past_vol").isNotNull() & (F.col("past_vol") > 0) if mode == "ratio" else ok
 
 
 def fold_data(rows: DataFrame, features, test_years, partial_year, log_columns=(), scale: bool = True,
-              extra=()) -> FoldData:
-    """Replicate training rows to their folds, preprocess, and write both sides once.
+              extra=(), mode: str = "ratio") -> FoldData:
+    """Store the usable rows and fit the preprocessing of every fold.
 
     ``rows`` is long (one row per horizon) with ``y``, ``past_vol`` and ``fit_from``.
     """
-    need = folds.complete(features) & F.col("past_vol").isNotNull() & (F.col("past_vol") > 0) & (F.col("y") > 0)
-    # label_end: the year after the one the target reaches into, before clamping to the folds
-    rows = rows.filter(need).withColumn("label_end", F.col("fit_from"))
-    train = folds.replicate_to_folds(folds.bucketed(rows, test_years), test_years)
-    test = folds.test_rows(rows, test_years, partial_year)
-    keep = ["series_id", "obs_date", "row_no", "y", "past_vol", *extra]
-    fcols = [F.col(c).cast("double") for c in features]
+    rows = rows.filter(usable(features, mode))
+    stored = stage(rows.select("series_id", "obs_date", "row_no", "year", "fit_from", "y", "past_vol", *extra,
+                               *[F.col(c).cast("double").alias(c) for c in features], "horizon"), "tree_rows", "horizon")
+    years = tuple(sorted(int(y) for y in test_years))
+    data = FoldData(stored, tuple(features), tuple(c for c in log_columns if c in features), mode, years, partial_year)
+    if scale:
+        data.bounds = bounds(data, folds.replicate_to_folds(_trained(data), years))
+    # fold sizes are running sums over buckets; as many rows as horizons and folds leave
+    counts = _trained(data).groupBy("series_id", "horizon", "fit_from").agg(F.count(F.lit(1)).alias("n"))
+    data.cells = sorted((r["horizon"], r["test_year"], r["n"]) for r in folds.replicate_to_folds(counts, years).groupBy(
+        "horizon", "test_year").agg((F.sum("n") / F.count_distinct("series_id")).alias("n")).collect())
+    return data
 
-    def pack(df, more=()):
-        return df.select(*keep, *more, F.array(*fcols).alias("x"), "horizon", "test_year")
 
-    if scale:
-        logs = [c for c in log_columns if c in features]
-        fits = stage(folds.fit_preprocess(train, features, logs, KEYS), "preprocess_fits")  # used by both sides
-        train_out = folds.apply_preprocess(train, fits, features, logs, KEYS)
-        test_out = folds.apply_preprocess(test, fits, features, logs, KEYS)
-    else:
-        train_out, test_out = train, test
-    train_s = stage(pack(train_out, ("year", "label_end")), "tree_train", "horizon", "test_year")
-    test_s = stage(pack(test_out, ("fold", "include_in_main")), "tree_test", "horizon", "test_year")
-    cells = [(r["horizon"], r["test_year"], r["n"]) for r in
-             train_s.groupBy("horizon", "test_year").agg(
-                 (F.count(F.lit(1)) / F.count_distinct("series_id")).alias("n")).collect()]
-    return FoldData(train_s, test_s, tuple(features), sorted(cells))
+def _trained(data: FoldData) -> DataFrame:
+    return data.rows.filter(F.col("fit_from") <= max(data.test_years))
+
+
+def bounds(data: FoldData, train: DataFrame) -> DataFrame:
+    """Per series, horizon and fold: arrays of lower and upper clip, offset and width of each feature."""
+    fits = folds.fit_preprocess(train, data.features, data.logs, KEYS)
+    parts = {"clip_lo": [], "clip_hi": [], "base": [], "width": []}
+    for c in data.features:
+        q, lo, hi = (F.col(f"_p_{c}.{n}") for n in ("q", "lo", "hi"))
+        low, high = (F.least(F.greatest(v, q[0]), q[1]) for v in (lo, hi))
+        for name, v in (("clip_lo", q[0]), ("clip_hi", q[1]), ("base", low),
+                        ("width", F.when(high > low, high - low).otherwise(F.lit(1.0)))):
+            parts[name].append(v)
+    return stage(fits.select(*KEYS, *[F.array(*v).alias(n) for n, v in parts.items()]), "preprocess_fits")
+
+
+def prepared(data: FoldData, df: DataFrame, year: int, fitted: DataFrame | None) -> DataFrame:
+    """Rows of one fold with the features as array ``x`` and vector ``v``, scaled by ``fitted``."""
+    logged = [F.log1p(c) if c in data.logs else F.col(c) for c in data.features]
+    df = df.withColumns({"x": F.array(*logged), "test_year": F.lit(int(year))}).drop(*data.features)
+    if fitted is not None:
+        df = df.join(fitted.filter(F.col("test_year") == year).drop("test_year"), ["series_id", "horizon"])
+        scaled = F.transform("x", lambda v, i: (F.least(F.greatest(v, F.col("clip_lo")[i]), F.col("clip_hi")[i])
+                                                - F.col("base")[i]) / F.col("width")[i])
+        df = df.withColumn("x", scaled).drop("clip_lo", "clip_hi", "base", "width")
+    return df.withColumn("v", array_to_vector("x"))
+
+
+def train_cell(data: FoldData, h: int, year: int) -> DataFrame:
+    return prepared(data, data.rows.filter((F.col("horizon") == h) & (F.col("fit_from") <= year)), year, data.bounds)
+
+
+def test_cell(data: FoldData, h: int, year: int) -> DataFrame:
+    rows = data.rows.filter((F.col("horizon") == h) & (F.col("year") == year))
+    out = folds.test_rows(rows, data.test_years, data.partial_year)
+    return prepared(data, out, year, data.bounds)
 
 
 def tier_params(n_effective: float) -> tuple[str, dict]:
@@ -74,12 +119,16 @@ def tier_params(n_effective: float) -> tuple[str, dict]:
     raise AssertionError("the last tier starts at zero")
 
 
-def learner(params: dict, tree_share: float) -> GBTRegressor:
+def fit_trees(train: DataFrame, params: dict):
+    """One boosted model on ``v`` and ``label``. Residuals are cut from their lineage every tenth tree."""
+    sc = train.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(train.sparkSession))
     return GBTRegressor(
-        featuresCol="v", labelCol="label", predictionCol="raw", seed=42, cacheNodeIds=False, maxBins=32,
-        maxIter=max(2, round(params["trees"] * tree_share)), maxDepth=params["depth"], stepSize=params["step"],
+        featuresCol="v", labelCol="label", predictionCol="raw", seed=42, cacheNodeIds=False, maxBins=32, checkpointInterval=10,
+        maxIter=params["trees"], maxDepth=params["depth"], stepSize=params["step"],
         minInstancesPerNode=max(1, round(params["min_rows"])), subsamplingRate=params["subsample"],
-        featureSubsetStrategy="0.8")
+        featureSubsetStrategy="0.8").fit(train.select("v", "label"))
 
 
 def side_by_side(fn, items, parallelism: int):
@@ -95,38 +144,46 @@ def union(frames):
     return out
 
 
-def _cell(df: DataFrame, h, year) -> DataFrame:
-    return df.filter((F.col("horizon") == h) & (F.col("test_year") == year)).withColumn("v", array_to_vector("x"))
+def _label(mode: str) -> Column:
+    return F.col("y") if mode == "level" else fit_target(mode)
+
+
+def tier_model(data: FoldData, cell, train: DataFrame):
+    """The model of a cell with its tier's parameters, fitted once per ``data``."""
+    if cell[:2] not in data.models:
+        data.models[cell[:2]] = fit_trees(train.withColumn("label", _label(data.mode)), tier_params(cell[2] / cell[0])[1])
+    return data.models[cell[:2]]
 
 
-def gbt_by_fold(data: FoldData, mode: str = "ratio", tree_share: float = 1.0, parallelism: int = 4,
-                name: str = "gbt", params_by_cell: dict | None = None, smear_by_cell: dict | None = None) -> DataFrame:
+def gbt_by_fold(data: FoldData, parallelism: int = 8, name: str = "gbt", chosen: dict | None = None) -> DataFrame:
     """Predictions of one model per horizon and fold; capacity by effective training size.
 
-    ``mode``: ``ratio`` and ``log`` fit logs and return through exp and smearing;
+    Modes ``ratio`` and ``log`` fit logs and return through exp and smearing;
     ``level`` fits the target itself and holds it at the training floor.
+    ``chosen``: parameters and smearing by cell; a smearing of None is taken from
+    the training residuals and shrunk by the effective training size.
     """
-    label = F.col("y") if mode == "level" else fit_target(mode)
+    mode, label = data.mode, _label(data.mode)
 
     def fit(cell):
         h, year, n = cell
-        tier, params = tier_params(n / h)
-        if params_by_cell and cell[:2] in params_by_cell:
-            params = params_by_cell[cell[:2]]
-        train = _cell(data.train, h, year).withColumn("label", label)
-        model = learner(params, tree_share).fit(train)
+        tier, _ = tier_params(n / h)
+        train = train_cell(data, h, year).withColumn("label", label)
+        params, smearing = (chosen or {}).get(cell[:2], (None, None))
+        model = fit_trees(train, params) if params else tier_model(data, cell, train)
         back = (model.transform(train).groupBy("series_id").agg(
             folds.duan_smearing(F.col("label") - F.col("raw")).alias("smearing"), F.min("y").alias("floor"),
-            F.avg("y").alias("train_mean"), F.count(F.lit(1)).alias("n_train"),
-            F.stddev_samp(F.col("label") - F.col("raw")).alias("resid_log_std")))
-        scored = model.transform(_cell(data.test, h, year)).join(back, "series_id")
-        if smear_by_cell and cell[:2] in smear_by_cell:
-            scored = scored.withColumn("smearing", F.lit(smear_by_cell[cell[:2]]))
+            F.avg("y").alias("train_mean"), F.count(F.lit(1)).alias("n_train")))
+        if smearing is not None:
+            back = back.withColumn("smearing", F.lit(smearing))
+        elif chosen is not None:
+            back = back.withColumn("smearing", folds.shrink_smearing(F.col("smearing"), F.col("n_train") / h))
+        scored = model.transform(test_cell(data, h, year)).join(back, "series_id")
         pred = (F.greatest(F.col("raw"), F.col("floor")) if mode == "level"
                 else back_transform(F.col("raw"), F.col("smearing"), mode))
         return scored.select("series_id", F.lit(name).alias("model"), "horizon", "fold", "test_year", "obs_date", "row_no",
-                             "include_in_main", F.col("y").alias("y_true"), pred.alias("pred"), "train_mean", "floor",
-                             "n_train", "smearing", F.lit(tier).alias("tier"))
+                             "include_in_main", F.col("y").alias("y_true"), pred.alias("pred"), "raw", "past_vol", "train_mean",
+                             "floor", "n_train", "smearing", F.lit(tier).alias("tier"))
 
     return union(side_by_side(fit, data.cells, parallelism))
 
@@ -138,14 +195,13 @@ def full_rows(features: DataFrame, frame: DataFrame, horizons) -> DataFrame:
                             ["series_id", "obs_date", "year", "row_no", *dict.fromkeys([*FEATURES, "har_daily"])])
 
 
-def residual_hybrid(rows: DataFrame, coefs: DataFrame, regressors, test_years, partial_year,
-                    tree_share: float = 1.0, parallelism: int = 4) -> DataFrame:
+def residual_hybrid(rows: DataFrame, coefs: DataFrame, regressors, test_years, partial_year, parallelism: int = 8) -> DataFrame:
     """HAR-X forecast plus trees on its training residuals (levels), held at the floor."""
     from volpanel.operators.linear import linear_predictor
 
     c = coefs.filter("variant = 'har_x'").select("series_id", "horizon", "test_year", "intercept", "beta", F.col("y_min").alias("floor"))
     rows = rows.withColumns({f"raw_{x}": F.col(x) for x in regressors})
-    data = fold_data(rows, FEATURES, test_years, partial_year, LOG_FEATURES, extra=[f"raw_{x}" for x in regressors])
+    data = fold_data(rows, FEATURES, test_years, partial_year, LOG_FEATURES, extra=[f"raw_{x}" for x in regressors], mode="level")
     base = linear_predictor([f"raw_{x}" for x in regressors])
 
     def with_base(df):
@@ -154,13 +210,13 @@ def residual_hybrid(rows: DataFrame, coefs: DataFrame, regressors, test_years, p
     def fit(cell):
         h, year, n = cell
         _, params = tier_params(n / h)
-        train = with_base(_cell(data.train, h, year)).withColumn("label", F.col("y") - F.col("base"))
-        model = learner(params, tree_share).fit(train)
+        train = with_base(train_cell(data, h, year)).withColumn("label", F.col("y") - F.col("base"))
+        model = fit_trees(train, params)
         e, eh = F.col("label"), F.col("raw")
         ins = model.transform(train).groupBy("series_id").agg(
             (1 - F.try_divide(F.sum(F.pow(e - eh, 2)), F.sum(e * e))).alias("resid_r2_in_sample"),
             F.avg("y").alias("train_mean"))
-        out = model.transform(with_base(_cell(data.test, h, year))).join(ins, "series_id")
+        out = model.transform(with_base(test_cell(data, h, year))).join(ins, "series_id")
         return out.select("series_id", F.lit("har_x_residual").alias("model"), "horizon", "fold", "test_year", "obs_date",
                           "row_no", "include_in_main", F.col("y").alias("y_true"),
                           F.greatest(F.col("base") + eh, F.col("floor")).alias("pred"), "base", F.col("raw").alias("residual_forecast"),
@@ -180,84 +236,86 @@ def candidates(tier: str, n: int, seed: int = 42) -> list[dict]:
              "min_rows": log_between(*b["min_rows"]), "subsample": rng.uniform(*b["subsample"])} for _ in range(n)]
 
 
-def validated_search(rows: DataFrame, spans: DataFrame, data: FoldData, n_candidates: int, mode: str = "ratio",
-                     tree_share: float = 1.0, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+def split_cell(data: FoldData, cuts: DataFrame, proper: DataFrame | None, h: int, year: int) -> tuple[DataFrame, DataFrame]:
+    """(train-proper, validation) rows of a cell, both scaled by bounds of train-proper alone."""
+    own = cuts.filter((F.col("horizon") == h) & (F.col("test_year") == year)).select("series_id", "horizon", "first_val")
+    rows = data.rows.filter((F.col("horizon") == h) & (F.col("fit_from") <= year)).join(own, ["series_id", "horizon"])
+    return (prepared(data, rows.filter("fit_from <= first_val"), year, proper),
+            prepared(data, rows.filter("year >= first_val"), year, proper))
+
+
+def validated_search(rows: DataFrame, spans: DataFrame, data: FoldData, n_candidates: int,
+                     parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
     """(predictions, trials): candidates scored on an embargoed validation slice, the best one refitted.
 
     Training rows split per series and fold: validation is the last
-    ``n_val_years`` years; rows whose target reaches into it are dropped. The
-    score includes the shrunken smearing factor. Folds with too little data keep
-    the tier's parameters, with smearing from the training residuals.
+    ``n_val_years`` years; rows whose target reaches into it are dropped. While
+    candidates are scored, preprocessing is fitted on train-proper alone; the
+    refit uses the whole training set. The score includes the shrunken smearing
+    factor. Folds with too little data keep the tier's parameters; without any
+    split their smearing comes from the training residuals, shrunk as well.
     """
-    label = fit_target(mode)
-    s = spans.select(*KEYS, (F.col("test_year") - F.col("n_val_years")).alias("first_val"))
-    split = (data.train.join(s, list(KEYS)).withColumn("role", F.when(F.col("year") >= F.col("first_val"), "va")
-             .when(F.col("label_end") <= F.col("first_val"), "tp")).filter("role is not null"))
-    split = stage(split, "search_split", "horizon", "test_year")
-    sizes = {(r["horizon"], r["test_year"]): (r["tp"], r["va"]) for r in split.groupBy("horizon", "test_year").agg(
-        (F.count_if(F.col("role") == "tp") / F.count_distinct("series_id")).alias("tp"),
-        (F.count_if(F.col("role") == "va") / F.count_distinct("series_id")).alias("va")).collect()}
-    jobs = []
+    mode, label, years = data.mode, _label(data.mode), data.test_years
+    cuts = stage(spans.select(*KEYS, (F.col("test_year") - F.col("n_val_years")).alias("first_val")), "search_cuts")
+    met = _trained(data).join(cuts, ["series_id", "horizon"]).filter("fit_from <= test_year")
+    proper = bounds(data, met.filter("fit_from <= first_val")) if data.bounds is not None else None
+    per_series = [(F.count_if(c) / F.count_distinct("series_id")).alias(n) for c, n in (
+        (F.col("fit_from") <= F.col("first_val"), "tp"), (F.col("year") >= F.col("first_val"), "va"))]
+    sizes = {(r["horizon"], r["test_year"]): (r["tp"], r["va"]) for r in
+             met.groupBy("horizon", "test_year").agg(*per_series).collect()}
+    # rows before the validation years, before the embargo and before incomplete ones are dropped
+    before = {(r["horizon"], r["test_year"]): r["n"] for r in rows.filter(F.col("year") < max(years)).join(
+        cuts, ["series_id", "horizon"]).filter("year < first_val").groupBy("horizon", "test_year").agg(
+        (F.count(F.lit(1)) / F.count_distinct("series_id")).alias("n")).collect()}
+    jobs, chosen = [], {}
     for h, year, n in data.cells:
         tp, va = sizes.get((h, year), (0, 0))
-        tier, params = tier_params(tp / h)
-        search = (tp > h + C.MIN_TRAIN_ROWS and tp / h >= C.SEARCH_MIN_EFFECTIVE and va / h >= C.VAL_MIN_EFFECTIVE)
-        sets = candidates(tier, n_candidates) if search else [params]
-        if va > 0 and tp > 0:
-            jobs += [(h, year, i, tier, p, search, va) for i, p in enumerate(sets)]
+        if before.get((h, year), 0) > h + C.MIN_TRAIN_ROWS and tp >= C.MIN_TRAIN_ROWS and va > 0:
+            tier, params = tier_params(tp / h)
+            search = tp / h >= C.SEARCH_MIN_EFFECTIVE and va / h >= C.VAL_MIN_EFFECTIVE
+            jobs += [(h, year, i, tier, p, search, va) for i, p in enumerate(candidates(tier, n_candidates) if search else [params])]
+        else:
+            chosen[(h, year)] = (tier_params(n / h)[1], None)
 
     def score(job):
         h, year, i, tier, p, search, va = job
-        tp = _cell(split, h, year).filter("role = 'tp'").withColumn("label", label)
-        val = _cell(split, h, year).filter("role = 'va'").withColumn("label", label)
-        m = learner(p, tree_share).fit(tp).transform(val)
+        tp, val = (df.withColumn("label", label) for df in split_cell(data, cuts, proper, h, year))
+        m = fit_trees(tp, p).transform(val)
         raw = m.agg(folds.duan_smearing(F.col("label") - F.col("raw"))).first()[0]
-        sm = 1 + (va / h) / (va / h + C.SMEARING_K) * (raw - 1)
-        e = F.col("y") - back_transform(F.col("raw"), F.lit(sm), mode)
+        sm = 1 + (va / h) / (va / h + C.SMEARING_K) * (raw - 1) if mode != "level" else 1.0
+        e = F.col("y") - (F.col("raw") if mode == "level" else back_transform(F.col("raw"), F.lit(sm), mode))
         rmse = m.agg(F.sqrt(F.avg(e * e))).first()[0]
         return (h, year, i, tier, bool(search), float(p["trees"]), float(p["depth"]), float(p["step"]), float(p["min_rows"]),
                 float(p["subsample"]), float(raw), float(sm), float(rmse))
 
     done = side_by_side(score, jobs, parallelism)
     best = {}
-    for (h, year, i, *_), job in zip(done, jobs):
-        row = next(d for d in done if d[:3] == (h, year, i))
-        if (h, year) not in best or row[-1] < best[(h, year)][0]:
-            best[(h, year)] = (row[-1], job[4], row[-2])
-    preds = gbt_by_fold(data, mode, tree_share, parallelism, "gbt_searched",
-                        {k: v[1] for k, v in best.items()}, {k: v[2] for k, v in best.items()})
+    for row, job in zip(done, jobs, strict=True):
+        if job[:2] not in best or row[-1] < best[job[:2]]:
+            best[job[:2]] = row[-1]
+            chosen[job[:2]] = (job[4], row[-2])
+    preds = gbt_by_fold(data, parallelism, "gbt_searched", chosen)
     trials = rows.sparkSession.createDataFrame(
         done, "horizon int, test_year int, trial int, tier string, searched boolean, trees double, depth double, step double, "
               "min_rows double, subsample double, smearing_raw double, smearing double, val_rmse double")
     return preds, trials
 
 
-def selection_signal(trials: DataFrame) -> DataFrame:
-    """Best, median and worst validation error of each search, and whether the choice is above noise."""
-    t = trials.groupBy("horizon", "test_year").agg(
-        F.count(F.lit(1)).alias("n_trials"), F.min("val_rmse").alias("best"), F.median("val_rmse").alias("median"),
-        F.max("val_rmse").alias("worst"), F.min_by("trial", "val_rmse").alias("best_trial"))
-    pct = 100 * F.try_divide(F.col("median") - F.col("best"), F.col("median"))
-    return t.withColumn("signal_pct", pct).withColumn("weak", (pct < C.SIGNAL_WEAK_PCT).cast("int"))
-
-
-def occlusion(data: FoldData, mode: str = "ratio", tree_share: float = 1.0, parallelism: int = 4) -> DataFrame:
+def occlusion(data: FoldData, parallelism: int = 8) -> DataFrame:
     """Change of the raw forecast when one feature is set to its training mean, averaged per fold.
 
-    Features unfold inside the scoring pass and meet again in a partial
-    aggregation, so the widened rows are never stored.
+    Models are those of :func:`gbt_by_fold`. Features unfold inside the scoring
+    pass and meet again in a partial aggregation, so the widened rows are never stored.
     """
-    label = fit_target(mode)
     k = len(data.features)
     names = F.array(*[F.lit(c) for c in data.features])
 
     def run(cell):
         h, year, n = cell
-        _, params = tier_params(n / h)
-        train = _cell(data.train, h, year).withColumn("label", label)
-        model = learner(params, tree_share).fit(train)
+        train = train_cell(data, h, year)
+        model = tier_model(data, cell, train)
         means = train.groupBy("series_id").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(k)]).alias("m"))
-        t = model.transform(_cell(data.test, h, year)).withColumnRenamed("raw", "full").drop("v").join(means, "series_id")
+        t = model.transform(test_cell(data, h, year)).withColumnRenamed("raw", "full").drop("v").join(means, "series_id")
         t = t.select("series_id", "x", "m", "full", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
         held = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.col("m")[i]).otherwise(v))
         t = model.transform(t.withColumn("v", array_to_vector(held)))
