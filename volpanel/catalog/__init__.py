@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ("window_queries", "forecast_queries", "test_queries", "calendar_queries",
-           "quality_queries", "robust_queries", "relational_queries", "tree_queries")
+           "quality_queries", "robust_queries", "relational_queries", "summary_queries", "tree_queries")
 
 
 def load() -> None:

@@ -207,9 +207,14 @@ def read_and_write_table(spark, sf_dir):
 
 @query("write_report", with_parts("SELECT series_id, count(*) AS n_rows, CAST(min(obs_date) AS VARCHAR) AS date_min, CAST(max(obs_date) AS VARCHAR) AS date_max, count(target_vol_22) AS valid_22 FROM wide GROUP BY ALL", "wide"))
 def write_report(spark, sf_dir):
+    import uuid
+
     from volpanel.sources import io
+    from volpanel.sources.stage import shared_dir
 
-    text = io.target_report(frame(spark, sf_dir), H)
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    io.write_report(io.target_report(frame(spark, sf_dir), H), path)
+    text = spark.read.schema("series_id string, report string").json(path)
     return text.select("series_id", *[F.get_json_object("report", p).cast(t).alias(n) for n, p, t in (
         ("n_rows", "$.row_count", "long"), ("date_min", "$.date_min", "string"), ("date_max", "$.date_max", "string"),
         ("valid_22", "$.horizons.h22.valid_count", "long"))])

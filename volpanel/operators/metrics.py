@@ -216,3 +216,56 @@ def by_procedure(metrics: DataFrame, procedure: str = "procedure") -> DataFrame:
                           "horizon", "model", procedure)
             .agg(F.count(F.lit(1)).alias("n_folds"), F.avg("rmse").alias("rmse_fold_mean"),
                  F.avg("mae").alias("mae_fold_mean"), F.grouping(procedure).cast("int").alias("all_procedures")))
+
+
+def best_in_family(means: DataFrame, family, reference, column: str = "rmse_fold_mean", groups=("series_id", "horizon")) -> DataFrame:
+    """The best model of ``family`` against the best of ``reference``, in percent of the latter."""
+    groups, top = list(groups), {}
+    for name, models in (("family", family), ("reference", reference)):
+        one = means.filter(F.col("model").isin(list(models))).groupBy(*groups).agg(F.min(F.struct(column, "model")).alias("b"))
+        top[name] = one.select(*groups, F.col("b.model").alias(f"best_{name}"), F.col(f"b.{column}").alias(f"{name}_value"))
+    pct = 100 * (F.try_divide(F.col("family_value"), F.col("reference_value")) - 1)
+    return top["family"].join(top["reference"], groups).withColumn("pct", pct)
+
+
+def fold_correlation(metrics: DataFrame, a: str, b: str, reference: str, groups=("series_id", "horizon")) -> DataFrame:
+    """Correlation over included folds of two models' errors: as they are, and relative to ``reference``."""
+    wide = (metrics.filter("include_in_main").groupBy(*groups, "test_year").pivot("model", list(dict.fromkeys([a, b, reference])))
+            .agg(F.first("rmse")))
+    wide = wide.withColumns({"_a": F.try_divide(a, reference), "_b": F.try_divide(b, reference)})
+
+    def corr(x, y):
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    return wide.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_folds"), corr(a, b).alias("fold_corr"), corr("_a", "_b").alias("relative_corr"))
+
+
+def near_floor(preds: DataFrame, loss: Column, factor: float = 1.25, groups=("series_id", "model", "horizon")) -> DataFrame:
+    """Rows whose forecast is at most ``factor`` times its training floor, and their part in the loss."""
+    ratio = F.try_divide("pred", "floor")
+    rows = preds.filter("include_in_main").withColumns({"_l": loss, "_k": ratio, "_near": ratio <= factor})
+    rest = F.when(~F.col("_near"), F.col("_l"))
+    return rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_near").alias("n_near"), F.min("_k").alias("ratio_min"), F.max("_k").alias("ratio_max"),
+        (100 * F.try_divide(F.coalesce(F.sum(F.when(F.col("_near"), F.col("_l"))), F.lit(0.0)), F.sum("_l"))).alias("near_share_pct"),
+        F.avg("_l").alias("loss_all"), F.avg(rest).alias("loss_without"))
+
+
+def markedly_low(losses: DataFrame, factor: float = 0.5, groups=("series_id", "horizon")) -> DataFrame:
+    """The rule ``pred_a < factor * pred_b``: its rows, their years, and what the losses are without them.
+
+    ``losses``: pred_a, pred_b, loss_a, loss_b and test_year per row. Sums are taken per fold first.
+    """
+    groups = list(groups)
+    rule, d = F.col("pred_a") < factor * F.col("pred_b"), F.col("loss_a") - F.col("loss_b")
+    folds = losses.withColumns({"_r": rule, "_d": d}).groupBy(*groups, "test_year").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_r").alias("k"), F.sum("_d").alias("d"),
+        F.coalesce(F.sum(F.when(F.col("_r"), F.col("_d"))), F.lit(0.0)).alias("dk"),
+        *[F.sum(F.when(~F.col("_r"), F.col(f"loss_{x}"))).alias(x) for x in "ab"])
+    left = F.sum(F.col("n") - F.col("k"))
+    years = F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.concat(F.col("test_year").cast("string"), F.lit(" ("), F.col("k").cast("string"), F.lit(")")))))
+    return folds.groupBy(*groups).agg(
+        F.sum("n").alias("n"), F.sum("k").alias("n_low"), F.array_join(years, ", ").alias("low_years"), F.sum("d").alias("difference"),
+        F.sum("dk").alias("low_difference"), (100 * F.try_divide(F.sum("dk"), F.sum("d"))).alias("low_share_pct"),
+        *[F.try_divide(F.sum(x), left).alias(f"pooled_{x}") for x in "ab"],
+        *[F.avg(F.try_divide(F.col(x), F.col("n") - F.col("k"))).alias(f"fold_mean_{x}") for x in "ab"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from volpanel import config as C
 from volpanel.functions import tails
 from volpanel.operators.folds import finite
+from volpanel.operators.panel import running_sum
 
 KEYS = ("series_id", "horizon", "pair")
 
@@ -155,6 +156,27 @@ def acf(values: DataFrame, x: str, lags: Column, keys, order: str = "i") -> Data
                      F.first("_n") * F.first("_v")).alias("acf"), F.first("_n").alias("n"))
 
 
+def mean_acf(days: DataFrame, x: str, first: Column, last: Column, keys=KEYS) -> DataFrame:
+    """Mean autocorrelation over the lags ``first`` to ``last`` (at most n - 1), from one running sum.
+
+    The products of a day with all its partners are the day times a difference of running sums;
+    ``days`` are numbered by ``i`` from 1 (see :func:`number_days`).
+    """
+    keys = list(keys)
+    stats = days.groupBy(*keys).agg(F.avg(x).alias("_m"), F.var_pop(x).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    v = days.join(stats, keys).withColumns({"_x": F.col(x) - F.col("_m"), "_from": first, "_to": F.least(last, F.col("_n") - 1)})
+    v = running_sum(v.select(*keys, "i", "_x", "_v", "_n", "_from", "_to"), {"_s": F.col("_x")}, keys, "i")
+    # day i meets the days from i - to up to i - from
+    ends = v.select(*keys, F.explode(F.array(F.struct((F.col("i") + F.col("_from")).alias("i"), F.col("_s").alias("s")),
+                                             F.struct((F.col("i") + F.col("_to") + 1).alias("i"), (-F.col("_s")).alias("s")))).alias("e"))
+    ends = ends.select(*keys, "e.i", "e.s").groupBy(*keys, "i").agg(F.sum("s").alias("_p"))
+    j = v.join(ends, [*keys, "i"], "left")
+    lags = F.col("_to") - F.col("_from") + 1
+    return j.groupBy(*keys).agg(F.first("_n").alias("n"), F.max(F.when(lags > 0, lags)).alias("n_lags"),
+                                F.try_divide(F.sum(F.col("_x") * F.coalesce("_p", F.lit(0.0))),
+                                             F.first("_n") * F.first("_v") * F.max(F.when(lags > 0, lags))).alias("acf_mean"))
+
+
 def binomial_two_sided(wins: Column, trials: Column) -> Column:
     """Exact p of the sign test at p = 1/2: twice the smaller tail, at most 1."""
     k = F.least(wins, trials - wins)
