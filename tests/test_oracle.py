@@ -17,7 +17,8 @@ loss_concentration fold_leakage inner_validation_split winsor_and_minmax newey_w
 adjusted_p_values sign_power ljung_box classify_gaps window_exposure contract_expiry roll_rows vintage_meta first_release
 duplicate_keys out_of_order_rows same_table table_fingerprint read_observations asof_join regime_split tail_robustness
 clean_return_lags clean_rolling_vol empty_mask_is_baseline garch_grid garch_forecast rank_stability
-convergence_label suffix_minimum""".split()
+convergence_label suffix_minimum search_trials validated_search selection_signal best_in_family fold_correlation
+near_floor markedly_low revisions_by mean_acf ratio_summary""".split()
 
 ORACLES = entry.oracle_sql()
 NAMES = list(ORACLES) if os.environ.get("VOLPANEL_ALL") else CORE
