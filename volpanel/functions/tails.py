@@ -36,7 +36,7 @@ def _beta_fraction(a, b, x, steps: int = 100_000):
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
+    h, done = d.copy(), np.zeros(x.shape, bool)
     for m in range(1, steps):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
@@ -44,8 +44,9 @@ def _beta_fraction(a, b, x, steps: int = 100_000):
             d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1.0 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 4e-15):
+            h = np.where(done, h, h * d * c)
+        done |= np.abs(d * c - 1.0) < 4e-15
+        if done.all():
             return h
     raise ArithmeticError("incomplete beta did not converge")
 
@@ -60,8 +61,11 @@ def beta_inc(a, b, x) -> np.ndarray:
         front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
         swap = x > (a + 1) / (a + b + 2)
         r = np.empty_like(x)
-        r[~swap] = (front * _beta_fraction(a, b, x) / a)[~swap]
-        r[swap] = (1 - front * _beta_fraction(b, a, 1 - x) / b)[swap]
+        # the fraction converges fast on its own side only
+        for side, p, q, z in ((~swap, a, b, x), (swap, b, a, 1 - x)):
+            if side.any():
+                r[side] = front[side] * _beta_fraction(p[side], q[side], z[side]) / p[side]
+        r[swap] = 1 - r[swap]
         out = out.astype("float64")
         out[mid] = r
     return out
