@@ -51,18 +51,19 @@ def _beta_fraction(a, b, x, steps: int = 100_000):
     raise ArithmeticError("incomplete beta did not converge")
 
 
-def beta_inc(a, b, x) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, b)."""
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, "float64") for v in (a, b, x)))
-    out = np.where(x >= 1, 1.0, 0.0)
-    mid = (x > 0) & (x < 1)
+def beta_inc(a, b, x, y=None) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x where the caller knows it better than x tells."""
+    y = 1 - np.asarray(x, "float64") if y is None else y
+    a, b, x, y = np.broadcast_arrays(*(np.asarray(v, "float64") for v in (a, b, x, y)))
+    out = np.where(y <= 0, 1.0, 0.0)
+    mid = (x > 0) & (y > 0)
     if mid.any():
-        a, b, x = a[mid], b[mid], x[mid]
-        front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
+        a, b, x, y = a[mid], b[mid], x[mid], y[mid]
+        front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + np.where(x < y, a * np.log(x), a * np.log1p(-y)) + b * np.log(y))
         swap = x > (a + 1) / (a + b + 2)
         r = np.empty_like(x)
         # the fraction converges fast on its own side only
-        for side, p, q, z in ((~swap, a, b, x), (swap, b, a, 1 - x)):
+        for side, p, q, z in ((~swap, a, b, x), (swap, b, a, y)):
             if side.any():
                 r[side] = front[side] * _beta_fraction(p[side], q[side], z[side]) / p[side]
         r[swap] = 1 - r[swap]
@@ -80,8 +81,9 @@ def t_sf_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     t, df = np.broadcast_arrays(np.asarray(t, "float64"), np.asarray(df, "float64"))
     ok, far = (df > 0) & ~np.isnan(t), df >= NORMAL_DF
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        x = np.where(ok & ~far & np.isfinite(t), df / (df + t * t), 0.0)
-        out = np.where(far, _erfc(np.abs(t) / math.sqrt(2.0)), beta_inc(np.where(ok & ~far, df, 1.0) / 2, 0.5, x))
+        use = ok & ~far & np.isfinite(t)
+        x, y = np.where(use, df / (df + t * t), 0.0), np.where(use, t * t / (df + t * t), 1.0)
+        out = np.where(far, _erfc(np.abs(t) / math.sqrt(2.0)), beta_inc(np.where(ok & ~far, df, 1.0) / 2, 0.5, x, y))
     return np.where(ok, out, np.nan)
 
 
