@@ -198,6 +198,38 @@ def test_scores_of_little(spark):
     assert [(g.train_tokens, g.n_known, g.base_score) for g in lm.score(documents(spark, [(held, "a b", "s")])).collect()] == [(0, 0, 0.0)]
 
 
+def test_vocabulary_and_training_follow_the_corpus(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 5 + j) % 1500}" for j in range(40)), "s") for i in range(900)]
+    seen = {}
+
+    def spy(runs, model, epochs, run=lm.train_everywhere):
+        seen["k"], seen["pairs"] = model.k, [(r.run, r.turn) for r in runs.collect()]
+        seen["model"] = run(runs, model, epochs)
+        return seen["model"]
+
+    monkeypatch.setattr(lm, "train_everywhere", spy)
+    got = lm.score(documents(spark, rows).repartition(4)).collect()
+    trained = [g for g in got if not g.held_out]
+    assert seen["k"] == 1500 + 1 + 1  # words, the end, the shared class
+    before, after, times = lm.pairs_of([r for r, _ in seen["pairs"]], seen["k"])
+    assert times.sum() == sum(g.n_tokens for g in trained) == 41 * len(trained)
+    assert (before == seen["k"]).any() and times.max() <= lm.HEAVY and {t for _, t in seen["pairs"]} == set(range(lm.ROUNDS))
+    moved = seen["model"].rows[:, -2] > 0  # what has been summed up for each class before
+    assert moved[np.unique(before)].all()
+    z = lm.log_sum(seen["model"].scores(seen["model"].hidden()))
+    assert np.allclose(lm.normalisers(spark, seen["model"]), z, atol=1e-4)
+
+
+def test_steps_grow_with_the_pairs():
+    r = np.random.default_rng(1)
+    steps = []
+    for n in (5000, 50000):
+        m = lm.Model(np.full(20, 0.05))
+        m.learn(r.integers(0, 21, n), r.integers(0, 20, n), np.ones(n, np.float32), r)
+        steps.append(m.c[0, -1])
+    assert steps == [2, 13]
+
+
 # --- html -----------------------------------------------------------------------------------------
 
 BODY = "The river and the house of the green hill are in the middle of this land, as it was for all who came to it."

@@ -5,15 +5,14 @@ whose crc32 of the id is not 2 modulo 7.
 
 1. **Counts** of all training tokens, combined per batch and summed by a shuffle: they
    grow with the corpus and stay a table.
-2. **Vocabulary**: the ``vocabulary`` most frequent of the common tokens (at most COMMON, all above
-   a count); all others share one class.
-3. **Pairs**: how often each class follows each, over all training texts; at most
-   (vocabulary + 2) ** 2 rows, the sufficient statistics of a model with one word of
-   context, whatever the size of the corpus.
-4. **Model**, in numpy: score(next | word) = (C q_word) . r_next + b_next, trained on those
-   pairs by noise-contrastive estimation. One matrix product gives all scores and their
-   normalisers, so every probability is normalised exactly: a token of the shared class
-   gets the class probability times an add-one unigram inside it.
+2. **Vocabulary**: all tokens with at least sqrt(training tokens) / SPREAD occurrences; it grows with
+   the corpus, without a cap. All others share one class, scored by an add-one unigram inside it.
+   Every task holds the model, about 210 bytes a class.
+3. **Training**: score(next | word) = (C q_word) . r_next + b_next, by noise-contrastive estimation
+   with AdaGrad. EPOCHS passes over all training pairs, so steps grow with them. The classes of the texts
+   are stored as runs; in each of ROUNDS rounds a pass, tasks learn their share from common parameters, and the
+   rows they touched are averaged. Equal pairs of an Arrow batch are learned as one with a weight.
+4. **Normalisers**: exact, over all classes for each class before, in tasks by blocks of classes.
 5. **Scores**: frequent tokens are looked up in the batch; the rare ones of a text leave
    as rows (text, token, times) and meet their counts in a join. Common tokens never are, so no
    hot token is shuffled.
@@ -25,7 +24,10 @@ Repeated rows are scored alike, and each trains. No training text: the base is l
 per token (V = 0), the model one class. Empty table: no rows. Other columns are ignored.
 """
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,11 @@ from volpanel.sources.stage import stage
 END = int(word_hashes([b""])[0])
 #: Tokens whose counts are sent to every task (twelve bytes each).
 COMMON = 1 << 18
+#: A token of the vocabulary has at least sqrt(training tokens) / SPREAD of them (two at least): the vocabulary grows about
+#: with the root of the corpus, and the work for all normalisers, its square, with the corpus.
+SPREAD = 100
+#: Width of the vectors; passes over all pairs; rounds a pass; pairs a run; classes a block; most times of a pair in one row.
+WIDTH, EPOCHS, ROUNDS, RUN, BLOCK, HEAVY = 24, 1, 4, 512, 256, 16
 
 
 def tokens(b: bytes | None) -> np.ndarray:
@@ -94,81 +101,215 @@ def joined(batch_texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum([len(p) for p in parts]) - 1
 
 
-def count_pairs(texts: DataFrame, lookup) -> np.ndarray:
-    """counts[class before, class] over all texts."""
-    def run(batch):
-        w = lookup.value
-        t, ends = joined(binaries(batch.column(0)))
-        cls = w.find(t)[2]
-        code, n = np.unique(w.classes(cls, ends) * w.k + cls, return_counts=True)
-        yield {"code": code, "n": n}
+def class_runs(texts: DataFrame, lookup) -> DataFrame:
+    """(part, turn, run): the classes of all texts, k before each text, in runs of RUN pairs that overlap by one class."""
+    def run(batches):
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
-    rows = per_batch(texts, run, schema).groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most (k + 1) * k rows
-    k = lookup.value.k
-    out = np.zeros((k + 1) * k)
-    out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return out.reshape(k + 1, k)
+        target, w, turn, part = to_arrow_schema(schema), lookup.value, 0, TaskContext.get().partitionId()
+        for batch in (piece for whole in batches for piece in slices(whole)):
+            t, ends = joined(binaries(batch.column(0)))
+            begins = np.append(0, ends[:-1] + 1)
+            seq = np.insert(w.find(t)[2], begins, w.k).astype(np.int32)
+            runs = [seq[i:i + RUN + 1].tobytes() for i in range(0, len(seq) - 1, RUN)]
+            yield as_batch({"part": [part] * len(runs), "turn": (turn + np.arange(len(runs))) % ROUNDS, "run": runs}, target)
+            turn += len(runs)
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("turn", T.IntegerType()), T.StructField("run", T.BinaryType())])
+    return texts.mapInArrow(run, schema)
+
+
+def pairs_of(runs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, times) of all pairs; frequent ones in several rows of at most HEAVY times."""
+    seq = [np.frombuffer(x, np.int32) for x in runs]
+    flat = np.concatenate(seq).astype(np.int64)
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum([len(x) for x in seq]) - 1] = False
+    at = np.flatnonzero(inside[:-1] & (flat[1:] < k))
+    code, n = np.unique(flat[at] * k + flat[at + 1], return_counts=True)
+    rows = -(-n // HEAVY)
+    first = np.repeat(np.cumsum(rows) - rows, rows)
+    code, n, rows = np.repeat(code, rows), np.repeat(n, rows), np.repeat(rows, rows)
+    times = n // rows + (np.arange(len(code)) - first < n % rows)
+    return code // k, code % k, times.astype(np.float32)
+
+
+class Model:
+    """score(next | word) = (C q_word) . r_next + b_next, and what AdaGrad sums up for each row."""
+
+    def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 7):
+        k, r = len(unigram), np.random.default_rng(seed)
+        self.k, self.cum, self.log_unigram = k, np.cumsum(unigram), np.log(unigram).astype(np.float32)
+        f = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
+        # a row of rows: q, its sum, its steps; of out: r, b, the sums of both, their steps
+        self.rows = np.concatenate([f(k + 1, width), np.zeros((k + 1, 2), np.float32)], 1)
+        self.out = np.concatenate([f(k, width), self.log_unigram[:, None], np.zeros((k, 3), np.float32)], 1)
+        self.c = np.concatenate([np.eye(width, dtype=np.float32), np.zeros((width, 2), np.float32)], 1)
+
+    def step(self, before, after, times, r, noise: int, rate: float) -> None:
+        """Noise-contrastive estimation: tells pairs from shared noise classes drawn by frequency."""
+        d = self.c.shape[0]
+        wrong = np.minimum(np.searchsorted(self.cum, r.random(noise) * self.cum[-1], side="right"), self.k - 1)
+        log_noise = self.log_unigram + np.float32(np.log(noise))
+        c, q = self.c[:, :d], self.rows[before, :d]
+        h = q @ c.T
+        right, false_r = self.out[after, :d], self.out[wrong, :d]
+        true = np.einsum("ij,ij->i", h, right) + self.out[after, d] - log_noise[after]
+        false = h @ false_r.T + (self.out[wrong, d] - log_noise[wrong])
+        weight = times / times.mean() / len(times)
+        dt = weight / (1 + np.exp(np.minimum(true, 60)))  # ascent: d log-likelihood
+        df = -weight[:, None] / (1 + np.exp(np.minimum(-false, 60)))
+        dh = dt[:, None] * right + df @ false_r
+        g_out = np.concatenate([np.concatenate([dt[:, None] * h, df.T @ h]), np.concatenate([dt, df.sum(0)])[:, None]], 1)
+        self._add(self.c, np.arange(d), dh.T @ q, d, rate)
+        self._add(self.rows, before, dh @ c, d, rate)
+        self._add(self.out, np.concatenate([after, wrong]), g_out, d, rate)
+
+    @staticmethod
+    def _add(table, at, gradient, d, rate) -> None:
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g, at = np.add.reduceat(gradient[order], first), at[first]
+        width = g.shape[1]
+        for a, b, s in ((0, d, width), (d, width, width + 1)):  # vectors, then biases
+            if b > a:
+                table[at, s] += (g[:, a:b] ** 2).mean(1)
+                table[at, a:b] += rate * g[:, a:b] / np.sqrt(table[at, s] + 1e-12)[:, None]
+        table[at, -1] += 1
+
+    def learn(self, before, after, times, r, noise: int = 256, batch: int = 4096, rate: float = 0.1) -> None:
+        order = r.permutation(len(before))
+        for i in range(0, len(order), batch):
+            o = order[i:i + batch]
+            self.step(before[o], after[o], times[o], r, noise, rate)
+
+    def tables(self) -> dict[str, np.ndarray]:
+        return {"c": self.c, "out": self.out, "rows": self.rows}
+
+    def hidden(self) -> np.ndarray:
+        d = self.c.shape[0]
+        return self.rows[:, :d] @ self.c[:, :d].T
+
+    def scores(self, hidden: np.ndarray) -> np.ndarray:
+        d = self.c.shape[0]
+        return hidden @ self.out[:, :d].T + self.out[:, d]
+
+
+def log_sum(score: np.ndarray) -> np.ndarray:
+    top = score.max(1)
+    return top + np.log(np.exp(score - top[:, None]).sum(1, dtype=np.float64))
+
+
+def train(pairs: np.ndarray, steps: int = 800, batch: int = 4096, seed: int = 7) -> np.ndarray:
+    """log10 P(class | class before), rows normalised, of a model trained in one process on a small pair table."""
+    k = pairs.shape[1]
+    model, r = Model((pairs.sum(0) + 1.0) / (pairs.sum() + k), seed=seed), np.random.default_rng(seed)
+    code = np.flatnonzero(pairs.ravel())
+    cum = np.cumsum(pairs.ravel()[code])
+    for _ in range(steps if len(code) else 0):
+        drawn = code[np.searchsorted(cum, r.random(batch) * cum[-1], side="right")]
+        model.step(drawn // k, drawn % k, np.ones(batch, np.float32), r, 256, 0.1)
+    score = model.scores(model.hidden()).astype(np.float64)
+    return (score - log_sum(score)[:, None]) / np.log(10)
+
+
+def train_everywhere(runs: DataFrame, model: Model, epochs: int) -> Model:
+    """The model after ``epochs`` passes over all pairs of ``runs``, ROUNDS rounds each.
+
+    In a round every task learns a ROUNDS-th of its runs from the common parameters; blocks of rows it has touched
+    meet in a shuffle, where a row becomes the mean over its steps and the sums add up."""
+    import pandas as pd
+
+    spark = runs.sparkSession
+    workers = max(1, spark.sparkContext.defaultParallelism)
+    schema = "name string, block long, part int, body binary"
+    for turn in range(epochs * ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(batches):
+            own, r, part = None, None, 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if own is None:
+                    own, part = pickle.loads(pickle.dumps(shared.value)), batch.column(0)[0].as_py()
+                    for x in own.tables().values():
+                        x[:, -1] = 0
+                    r = np.random.default_rng([turn, part])
+                own.learn(*pairs_of(batch.column(1).to_pylist(), own.k), r)
+            for name, x in own.tables().items() if own else ():
+                for b in range(0, len(x), BLOCK):
+                    if x[b:b + BLOCK, -1].any():
+                        yield pa.RecordBatch.from_pydict({"name": [name], "block": [b], "part": pa.array([part], pa.int32()), "body": [x[b:b + BLOCK].tobytes()]})
+
+        def mean(key, found):
+            old = shared.value.tables()[key[0]][key[1]:key[1] + BLOCK].astype(np.float64)
+            change, steps = np.zeros_like(old), np.zeros(len(old))
+            d, last = shared.value.c.shape[0], old.shape[1] - 1
+            sums = np.arange(last - (2 if key[0] == "out" else 1), last)
+            for body in found.sort_values("part")["body"]:
+                x = np.frombuffer(body, np.float32).reshape(old.shape)
+                moved = (x - old) * x[:, -1:]
+                moved[:, sums] = x[:, sums] - old[:, sums]
+                change += moved
+                steps += x[:, -1]
+            scale = np.where(steps, steps, 1)[:, None] * np.ones(old.shape)
+            scale[:, sums] = 1
+            new = (old + change / scale).astype(np.float32)
+            new[:, -1] = 0
+            return pd.DataFrame({"name": [key[0]], "block": [key[1]], "part": [0], "body": [new.tobytes()]})
+
+        done = (runs.where(F.col("turn") == turn % ROUNDS).select("part", "run").coalesce(workers).mapInArrow(learn, schema)
+                .groupBy("name", "block").applyInPandas(mean, schema).toPandas())  # as large as the model, which every task holds
+        model = pickle.loads(pickle.dumps(model))
+        for name, b, body in zip(done["name"], done["block"], done["body"], strict=True):
+            x = model.tables()[name]
+            x[b:b + BLOCK] = np.frombuffer(body, np.float32).reshape(-1, x.shape[1])
+        shared.destroy()  # each is a file in every worker
+    return model
+
+
+def normalisers(spark, model: Model) -> np.ndarray:
+    """log of the sum of exp(score) over all classes, for each class before."""
+    rows = max(1, (1 << 22) // model.k)
+    blocks = -(-(model.k + 1) // rows)
+    shared = spark.sparkContext.broadcast(model)
 
+    def run(batches):
+        m = shared.value
+        hidden = m.hidden()
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"at": [at], "z": [log_sum(m.scores(hidden[at * rows:(at + 1) * rows])).tobytes()]})
 
-def train(pairs: np.ndarray, width: int = 24, steps: int = 800, batch: int = 4096, noise: int = 256, rate: float = 0.02, seed: int = 7) -> np.ndarray:
-    """log10 P(class | class before) of a log-bilinear model, rows normalised.
+    found = spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "at long, z binary").toPandas()
+    return np.concatenate([np.frombuffer(z) for z in found.sort_values("at")["z"]])
 
-    Noise-contrastive estimation: each step tells a batch of pairs, drawn by count, from
-    shared noise classes drawn by frequency; Adam updates."""
-    k = pairs.shape[1]
-    unigram = pairs.sum(0) + 1.0
-    unigram /= unigram.sum()
-    r = np.random.default_rng(seed)
-    p = {"q": r.normal(0, 0.1, (k + 1, width)), "c": np.eye(width), "r": r.normal(0, 0.1, (k, width)), "b": np.log(unigram)}
-    m = {n: np.zeros_like(v) for n, v in p.items()}
-    s = {n: np.zeros_like(v) for n, v in p.items()}
-    total = pairs.sum()
-    cum = np.cumsum(pairs.ravel())
-    log_noise = np.log(unigram * noise)
-    for step in range(1, steps + 1 if total else 1):
-        code = np.minimum(np.searchsorted(cum, r.random(batch) * total, side="right"), pairs.size - 1)
-        before, after = code // k, code % k
-        wrong = r.choice(k, noise, p=unigram)
-        q = p["q"][before]
-        h = q @ p["c"].T
-        true = (h * p["r"][after]).sum(1) + p["b"][after] - log_noise[after]
-        false = h @ p["r"][wrong].T + p["b"][wrong] - log_noise[wrong]
-        dt = (1 / (1 + np.exp(true))) / batch  # ascent: d log-likelihood
-        df = -(1 / (1 + np.exp(-false))) / batch
-        dh = dt[:, None] * p["r"][after] + df @ p["r"][wrong]
-        g = {n: np.zeros_like(v) for n, v in p.items()}
-        np.add.at(g["r"], after, dt[:, None] * h)
-        np.add.at(g["r"], wrong, df.T @ h)
-        np.add.at(g["b"], after, dt)
-        np.add.at(g["b"], wrong, df.sum(0))
-        g["c"] = dh.T @ q
-        np.add.at(g["q"], before, dh @ p["c"])
-        lr = rate * (1 - step / (steps + 1))
-        for n in p:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            s[n] = 0.99 * s[n] + 0.01 * g[n] ** 2
-            p[n] += lr * (m[n] / (1 - 0.9 ** step)) / (np.sqrt(s[n] / (1 - 0.99 ** step)) + 1e-9)
-    score = p["q"] @ p["c"].T @ p["r"].T + p["b"]
-    score -= score.max(1, keepdims=True)
-    return (score - np.log(np.exp(score).sum(1, keepdims=True))) / np.log(10)
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 1024) -> DataFrame:
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
     """One row per document: ``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
-    and ``score``, the model's log10 probability of the text."""
+    and ``score``, the model's log10 probability of the text. ``vocabulary``: at most so many tokens; None: all above the count."""
     spark = docs.sparkSession
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out(key).alias("held_out"))
     training = own.where("not held_out").select("text")
     counts = stage(count_tokens(training), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = most_frequent(counts, "c", COMMON).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    least = max(2.0, n ** 0.5 / SPREAD)
+    top = most_frequent(counts, "c", COMMON)
+    if vocabulary is None:
+        top = top.union(counts.where(F.col("c") >= least)).distinct()
+    top = top.toPandas().sort_values(["c", "h"], ascending=[False, True])
     all_common = len(top) == v
-    w = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), vocabulary)
+    w = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int((top["c"] >= least).sum()) if vocabulary is None else vocabulary)
     n_rest = n - int(top["c"].iloc[:w.known].sum())
     v_rest = v - w.known
     lookup = spark.sparkContext.broadcast(w)
-    table = spark.sparkContext.broadcast(train(count_pairs(training, lookup)).astype(np.float32))
+    unigram = np.append(top["c"].to_numpy(np.float64)[:w.known], n_rest) + 1
+    model = train_everywhere(stage(class_runs(training, lookup), "runs"), Model(unigram / unigram.sum()), EPOCHS)
+    d = model.c.shape[0]
+    fitted = spark.sparkContext.broadcast((model.hidden(), model.out[:, :d].copy(), model.out[:, d].copy(), normalisers(spark, model)))
     base_norm, rest_norm = np.log10(n + v + 1), np.log10(n_rest + v_rest + 1)
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()),
                            *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "rare", "times")),
@@ -178,12 +319,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, w, p = to_arrow_schema(schema), lookup.value, table.value
+        target, w, (hidden, right, bias, z) = to_arrow_schema(schema), lookup.value, fitted.value
         row = TaskContext.get().partitionId() << 33
         for batch in (part for whole in batches for part in slices(whole)):
             t, ends = joined(binaries(batch.column(1)))
             common, c, cls = w.find(t)
-            step = p[w.classes(cls, ends), cls].astype(np.float64)
+            before = w.classes(cls, ends)
+            step = (np.einsum("ij,ij->i", hidden[before], right[cls], dtype=np.float64) + bias[cls] - z[before]) / np.log(10)
             log_c = np.log10(c + 1.0)
             begins = np.append(0, ends[:-1] + 1)
             rows = row + np.arange(len(ends))
