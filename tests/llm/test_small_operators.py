@@ -253,6 +253,15 @@ def test_main_text(spark):
     assert html_text.main_text("<div>" * 5000 + "<p>" * 5000 + "x</div>" * 3) != ""
 
 
+def test_part_of_a_name_does_not_condemn_the_article():
+    for kind in ("article class='post category-social'", "article class='post tag-search'", "main class='with-sidebar'", "div id=main class='has-sidebar'"):
+        assert html_text.main_text(f"<{kind}><p>{BODY}</p></{kind.split()[0]}>") == BODY
+        assert html_text.main_text(f"<div class='site has-sidebar'><div class='no-topbar'><{kind}><p>{BODY}</p><div class='post-share'>{BODY}</div></{kind.split()[0]}></div>"
+                                   f"<div class='right-sidebar'><p>{BODY}</p></div></div>") == BODY
+    page = f"<article><p>{BODY}</p><div class=comments><article class=comment>{BODY}</article></div></article><div class=sidebar><article>{BODY}</article></div>"
+    assert html_text.main_text(page) == BODY
+
+
 # --- licences -------------------------------------------------------------------------------------
 
 def brute_licences(t, templates, dice=0.8):

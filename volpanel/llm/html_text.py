@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. First pass: blocks inside scripts
 styles, navigation, footers, sidebars, forms and the like, or under a class, id or role
 that names such a part, are bad; so are blocks that are mostly links. If the page marks
 its article, blocks outside are bad; inside, long blocks and blocks with function words
-are good. Without a marked article, length and stop-word density decide. Second pass:
+are good. The article itself and what encloses it are bad only by a whole class, id or role
+('sidebar', not 'has-sidebar'). Without a marked article, length and stop-word density decide. Second pass:
 undecided short blocks take the label of the nearest decided neighbour (equally near:
 the one before); the edge of a marked article counts as good.
 
@@ -46,14 +47,19 @@ SHORT, LONG, SOME_STOP, MANY_STOP, LINKS = 70, 200, 0.1, 0.2, 0.5
 BAD, NONE, GOOD = 0, 1, 2
 
 
-def _names(attributes: str) -> set[str]:
-    return {t for m in _NAMES.finditer(attributes) for t in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+def _names(attributes: str, split: str = r"[^a-z0-9]+") -> set[str]:
+    return {t for m in _NAMES.finditer(attributes) for t in re.split(split, (m[1] or m[2] or m[3] or "").lower())}
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, link characters, under boilerplate, in a marked article) of each non-empty block."""
+def blocks(page: str, wraps: frozenset[int] = frozenset()) -> list[tuple[str, int, bool, bool]]:
+    """(text, link characters, under boilerplate, in a marked article) of each non-empty block.
+
+    ``wraps``: numbers of the containers that enclose an article. If a part of a name condemned one of them,
+    the page is read again with their numbers."""
     out, text, links = [], [], 0
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    numbers: list[int] = []  # of the containers in the stack
+    opened, around, by_part = 0, set(), set()
     open_, n_bad, n_article = Counter(), 0, 0
     bad_block, in_link, at, end = False, False, 0, len(page)
 
@@ -91,19 +97,33 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if tag in _CONTAINERS:
                 while closing and open_[tag]:
                     last, bad, article = stack.pop()
+                    numbers.pop()
                     open_[last], n_bad, n_article = open_[last] - 1, n_bad - bad, n_article - article
                     closing = last != tag
                 if not (m[1] or m[4]):
                     names, page_level = _names(attributes), tag in ("html", "body")
+                    whole = _names(attributes, r"\s+")
+                    marks = not page_level and (tag in ("article", "main") or "main" in whole)
+                    if marks:
+                        for k in reversed(numbers):
+                            if k in around:
+                                break
+                            around.add(k)
+                    article = not page_level and (marks or "main" in names)
+                    if marks or opened in wraps:
+                        names = whole
+                    elif (names & _NAMED and not whole & _NAMED) or (names & _HEADS and not whole & _HEADS):
+                        by_part.add(opened)
                     bad = not page_level and (tag in _PARTS or tag == "head" or bool(names & _NAMED) or bool(_HIDDEN.search(attributes))
                                               or not n_article and (tag == "header" or bool(names & _HEADS)))
-                    article = not page_level and (tag in ("article", "main") or "main" in names)
+                    numbers.append(opened)
+                    opened += 1
                     stack.append((tag, bad, article))
                     open_[tag], n_bad, n_article = open_[tag] + 1, n_bad + bad, n_article + article
             elif not closing and attributes:
                 bad_block = bool(_names(attributes) & _NAMED) or bool(_HIDDEN.search(attributes))
     flush()
-    return out
+    return out if wraps or not around & by_part else blocks(page, frozenset(around))
 
 
 def labels(found: list[tuple[str, int, bool, bool]]) -> list[int]:
