@@ -295,3 +295,30 @@ def test_licences_equal_brute_force(spark):
     want = Counter((i, n, round(v, 9), a, z) for i, t, _ in rows for n, v, a, z in brute_licences(t, license_scan.TEMPLATES))
     assert Counter((g.doc_id, g.license, round(g.dice, 9), g.first_line, g.last_line) for g in got) == want
     assert license_scan.scan(documents(spark, [])).collect() == []
+
+
+def best_window(t, template, dice=0.8):
+    w, m = license_scan.words(t.encode()), license_scan.words(template.encode())
+    s = set(zip(m, m[1:]))
+    out = 0.0
+    for i in range(len(w)):
+        for j in range(i + 2, min(len(w), i + 200) + 1):
+            g = set(zip(w[i:j], w[i + 1:j]))
+            out = max(out, 2 * len(s & g) / (len(s) + len(g)))
+    return out if out >= dice else None
+
+
+def test_licences_inside_longer_lines(spark):
+    mit = license_scan.TEMPLATES["MIT"][2]
+    gpl = "This work is licensed under the GNU General Public License, version {}."
+    prose = " ".join(f"w{i}" for i in range(90))
+    texts = ["Copyright 2020 Foo. Licensed under CC BY 4.0. Contact us at any time for more of this.", f"Copyright (c) 2001 A B {mit} The above copyright notice shall be included. THE SOFTWARE IS PROVIDED AS IS. {prose}",
+             prose + " " + " ".join(x for i, x in enumerate(mit.split()) if i % 15) + " and it goes on",
+             f"intro words stand here before. {gpl.format(2)} Then other words. {gpl.format(3)} Then some more words follow.", f"{gpl.format(3)}\nIt is said here that: {gpl.format(2)} And more words follow.",
+             "a line\nand it is Released under the\nMIT License. So be it for ever and ever", "under the license " * 3000, "Licensed under it. Contact us at CC BY, please."]
+    got = {}
+    for g in license_scan.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        got.setdefault(g.doc_id, {})[g.license] = (round(g.dice, 9), g.first_line, g.last_line)
+    want = lambda t, name: round(max(best_window(t, x) or 0 for x in license_scan.TEMPLATES[name]), 9)
+    assert got == {0: {"CC-BY-4.0": (1.0, 0, 0)}, 1: {"MIT": (want(texts[1], "MIT"), 0, 0)}, 2: {"MIT": (want(texts[2], "MIT"), 0, 0)},
+                   3: {"GPL-2.0": (1.0, 0, 0), "GPL-3.0": (1.0, 0, 0)}, 4: {"GPL-3.0": (1.0, 0, 0), "GPL-2.0": (1.0, 1, 1)}, 5: {"MIT": (1.0, 1, 2)}}

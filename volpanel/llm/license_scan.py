@@ -8,7 +8,9 @@ of positions that hold one of its bigrams bounds what a run can have in common.
 
 Per document and licence the best run is returned (highest coefficient, then the
 earlier, then the shorter one), unless it shares lines with a better run of another
-licence (at a tie: of the one named first). Documents are independent: nothing is shuffled.
+licence (at a tie: of the one named first). Notices inside longer lines: for each licence without
+such a run, windows of words over the whole text, outside the runs found, are compared in the same way; a window
+begins and ends with a bigram of the template, and holds its first bigram once. Documents are independent: nothing is shuffled.
 
 Defined results: null, empty or wordless text: no match. Lines without words add
 nothing to a run and do not break it, but no run begins or ends with one. Repeated rows keep
@@ -107,12 +109,53 @@ class Templates:
                     if value >= self.dice:
                         new = (-value, lines[i][0], lines[j][0])
                         best[name] = min(best.get(name, new), new)
-        out = []
+        out, taken = [], []
         for (v, i, j), name in sorted((found, name) for name, found in best.items()):
             if all(j < a or i > z for _, _, a, z in out):  # lines that match several licences count for the best
                 out.append((name, -v, i, j))
+                at = [k for k, _ in lines]
+                taken.append((int(start[at.index(i)]), int(stop[at.index(j)])))
+        if ids is None:
+            return out
+        line_of = np.repeat([k for k, _ in lines], stop - start)
+        own = ids[:-1].astype(np.int64) * len(flat) + ids[1:]
+        left = {name for name in self.names if name not in {o[0] for o in out}}
+        while found := [w for w in (self.window(name, own, code, hits, taken) for name in sorted(left)) if w]:
+            v, a, z, name = min(found)
+            out.append((name, -v, int(line_of[a]), int(line_of[z - 1])))
+            taken.append((a, z))
+            left = {w[3] for w in found} - {name}  # who has none now has none later
         return sorted(out)
 
+    def window(self, name: str, own: np.ndarray, code: np.ndarray, hits: np.ndarray, taken: list[tuple[int, int]]) -> tuple | None:
+        """(-coefficient, first word, end, licence) of the best window of words that shares none with ``taken``."""
+        best = None
+        ends = sorted(a for a, _ in taken) + [len(code) + 1]
+        for s, high in ((s, high) for n, s, high in zip(self.names, self.sets, self.high, strict=True) if n == name):
+            at = hits[np.isin(code[hits], s)]
+            need = self.dice * (len(s) + int(np.ceil(self.dice * len(s) / (2 - self.dice) - 1e-9))) / 2
+            if len(np.unique(code[at])) < need:
+                continue
+            inside = set(at.tolist())
+            for p in at.tolist():
+                if any(a <= p < z for a, z in taken):
+                    continue
+                end = next(a for a in ends if a > p) - 1  # the last bigram ends before the next run
+                seen, common, q = set(), 0, p
+                while q < end and (q == p or own[q] != own[p]):
+                    if own[q] not in seen:
+                        seen.add(own[q])
+                        if len(seen) > high:
+                            break
+                        if q in inside:
+                            common += 1
+                            value = 2 * common / (len(s) + len(seen))
+                            if value >= self.dice:
+                                new = (-value, p, q + 2, name)
+                                best = min(best or new, new)
+                    q += 1
+        return best
+
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES, dice: float = 0.8) -> DataFrame:
     """One row per document and licence found: ``key``, ``license``, ``dice``, ``first_line``, ``last_line``."""
