@@ -92,6 +92,15 @@ def test_rule_goes_under_its_rarest_literal(spark):
     assert index == {"example.com/en/": "example", "com/part": "com"}
 
 
+def test_words_beside_other_letters(spark):
+    urls = ["http://x.org/日本casino/", "http://x.org/casinoé", "http://épokeré.org/", "http://x.org/casinos日", "http://日本.example.com/en/ä"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_rules.judge(df).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert Counter(map(tuple, got)) == Counter((i, *brute_url(u)) for i, u in enumerate(urls))
+    assert [r.verdict for r in sorted(got)] == ["block", "block", "block", "allow", "block"]
+    assert [r.verdict for r in url_rules.judge(df, sites=[], words=["日本casino"]).orderBy("page_id").collect()] == ["block"] + ["allow"] * 4
+
+
 # --- chats ----------------------------------------------------------------------------------------
 
 def test_chats_come_back(spark):

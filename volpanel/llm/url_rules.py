@@ -29,7 +29,7 @@ from volpanel.sources.stage import stage
 SITES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Words that block wherever they stand alone in host or path.
 WORDS = ["casino", "poker", "porn", "xxx", "viagra", "torrent", "warez", "escort", "betting"]
-_SPLIT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+_SPLIT = "[^0-9a-z]+"  # as the boundaries of a word rule
 
 
 class Rule(NamedTuple):
@@ -41,7 +41,7 @@ class Rule(NamedTuple):
 
 
 def _tokens(s: str) -> list[str]:
-    return [t for t in re.split(r"[^0-9a-z\x80-\U0010FFFF]+", s.lower()) if t]
+    return [t for t in re.split(_SPLIT, s.lower()) if t]
 
 
 def site_rule(host: str, path: str, verdict: str) -> Rule:
@@ -51,7 +51,7 @@ def site_rule(host: str, path: str, verdict: str) -> Rule:
 
 
 def word_rule(word: str) -> Rule:
-    return Rule(word, rf"(?<![0-9a-z])\Q{word}\E(?![0-9a-z])", [word], "block", False)
+    return Rule(word, rf"(?<![0-9a-z])\Q{word}\E(?![0-9a-z])", _tokens(word), "block", False)
 
 
 def parts(url):
