@@ -60,6 +60,18 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def chunks(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut at blanks or line ends; a longer word stays whole."""
+    at = 0
+    while len(text) - at > size:
+        ends = [i for i in (text.find(b" ", at + size), text.find(b"\n", at + size)) if i >= 0]
+        if not ends:
+            break
+        yield text[at:min(ends)]
+        at = min(ends)
+    yield text[at:]
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: T.StructType) -> DataFrame:
     """Map Arrow batches; ``fn`` yields dicts of column values (lists, arrays) per output batch."""
     from pyspark.sql.pandas.types import to_arrow_schema

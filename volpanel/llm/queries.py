@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import (chat_format, decontaminate, html_text, language_model, license_scan, overlap_join, quality_rules, source_mix, suffix_dedup,
-                          url_rules)
+from volpanel.llm import (chat_format, decontaminate, html_text, language_model, license_scan, overlap_join, phrase_trie, quality_rules, source_mix,
+                          suffix_dedup, url_rules)
 
 QUERIES, ORACLES = {}, {}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,6 +141,29 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op13_phrase_trie", rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS l FROM p),
+g AS (SELECT lang, 1 AS size, unnest(l) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest([l[i] || ' ' || l[i + 1] FOR i IN range(1, len(l))]) FROM w
+      UNION ALL SELECT lang, 3, unnest([l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] FOR i IN range(1, len(l) - 1)]) FROM w),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(l))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE size > 1),
+parts AS (SELECT *, 1 AS k, s[1] AS x, array_to_string(s[2:], ' ') AS y FROM c
+          UNION ALL SELECT *, 2, s[1] || ' ' || s[2], s[3] FROM c WHERE size = 3),
+met AS (SELECT p.lang, p.size, p.phrase, a, k, fx.f AS l, fy.f AS r, (1000000::HUGEINT * a * a) // (fx.f::HUGEINT * fy.f) AS score
+        FROM parts p JOIN f fx ON fx.lang = p.lang AND fx.phrase = x JOIN f fy ON fy.lang = p.lang AND fy.phrase = y),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, s[1] || ' ' || s[2] AS phrase FROM c WHERE size = 3
+           UNION ALL SELECT lang, a, s[2] || ' ' || s[3] FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""")
+def op13_phrase_trie(spark, sf_dir):
+    return phrase_trie.mine(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
