@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import (chat_format, decontaminate, html_text, language_model, license_scan, overlap_join, phrase_trie, quality_rules, source_mix,
-                          suffix_dedup, url_rules)
+from volpanel.llm import (chat_format, decontaminate, html_text, impact_grid, language_id, language_model, license_scan, overlap_join, phrase_trie,
+                          quality_rules, source_mix, suffix_dedup, url_rules)
 
 QUERIES, ORACLES = {}, {}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,6 +141,31 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op11_language_id")
+def op11_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+_GRID = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+@query("op12_impact_grid", rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWER.format("text")}, {_GRID}) AS l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(l))::BIGINT AS n_terms FROM d WHERE len(l) > 0),
+tf AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(l) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+i AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all({_LOWER.format("text")}, {_GRID}) AS l
+      FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+q AS (SELECT DISTINCT item_id, item, unnest(l) AS term FROM i),
+w AS (SELECT q.*, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN df USING (term), s),
+p AS (SELECT item_id, item, doc_id, d.row, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(l) * n_docs) // n_terms))) AS part
+      FROM w JOIN tf USING (term) JOIN d ON d.row = tf.row, s),
+r AS (SELECT item_id, item, doc_id, sum(part)::BIGINT AS score FROM p GROUP BY item_id, item, doc_id, row HAVING sum(part) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM r QUALIFY rank <= 10""")
+def op12_impact_grid(spark, sf_dir):
+    return impact_grid.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_phrase_trie", rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS l FROM p),
