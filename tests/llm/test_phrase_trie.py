@@ -115,7 +115,7 @@ def test_chunks_keep_all_phrases_of_a_long_text():
         c.add("en", text, size)
         total = Counter()
         for out in c.runs(True):
-            total.update(dict(zip(out["phrase"], out["f"], strict=True)))
+            total.update(dict(zip(out["phrase"].to_pylist(), out["f"].tolist(), strict=True)))
         got.append(total)
     assert got[0] == got[1] == got[2] and len(got[0]) > 20
 
@@ -126,6 +126,8 @@ def test_filter_never_rules_out_a_member(spark):
     filtered = pt.filter_of(df)
     ids = pt.Ids("en", pt.Filter())
     h = np.array([[ids.hashes[ids[w.encode()]] for w in p.split()] for _, p in phrases], np.uint64)
-    assert filtered(pt.pair_hash(h[:, 0], h[:, 1])).all()
+    members = pt.pair_hash(h[:, 0], h[:, 1])
+    assert filtered(members).all() and all(map(filtered.one, members.tolist()))
     strange = np.random.default_rng(2).integers(0, 1 << 63, 4000).astype(np.uint64)
     assert filtered(strange).mean() < 0.2
+    assert filtered(strange).tolist() == list(map(filtered.one, strange.tolist()))

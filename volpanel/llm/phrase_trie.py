@@ -25,6 +25,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +39,9 @@ from volpanel.sources.stage import stage
 PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else LOWER[c] for c in range(256))
 #: Bits of a word id in a code; the longest phrase that a code holds.
 ID_BITS, LONGEST = 21, 3
-#: Entries of a task's tries before subtrees spill; entries of a container before it bursts; words before ids start anew; bytes a chunk.
-ENTRIES, BURST, WORDS, CHUNK = 1 << 19, 1 << 10, 1 << 19, 4 << 20
+#: Entries of a task's tries before subtrees spill; entries of a container before it bursts; words before ids start anew; bytes a chunk;
+#: rows of a run sent at once.
+ENTRIES, BURST, WORDS, CHUNK, RUN = 1 << 20, 1 << 10, 1 << 19, 4 << 20, 1 << 15
 #: Bits a phrase and most bits of a filter (16 MB).
 BITS_EACH, FILTER_BITS = 12, 1 << 27
 SALTS = 16
@@ -62,6 +65,13 @@ class Filter:
 
     def __init__(self, words: np.ndarray | None = None):
         self.words, self.mask = words, None if words is None else np.uint64(len(words) * 64 - 1)
+        self.raw = None if words is None else words.astype("<u8").tobytes()
+
+    def one(self, h: int) -> bool:
+        if self.raw is None:
+            return True
+        at = h & (len(self.raw) * 8 - 1)
+        return bool(self.raw[at >> 3] >> (at & 7) & 1)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if self.words is None:
@@ -79,7 +89,7 @@ class Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word, self.seed)
-        self[word] = i = len(self.words) if self.filtered(np.array([h], np.uint64))[0] else 0
+        self[word] = i = len(self.words) if self.filtered.one(h) else 0
         if i:
             self.words.append(word)
             self.hashes.append(h)
@@ -153,11 +163,14 @@ class Burst(dict):
         return {b << ID_BITS | c: n for b, rest in self.items() for c, n in rest.items()}
 
 
-def run_of(first: int, subtree: dict, width: int, words: list[bytes]) -> tuple[list[bytes], list[int]]:
-    """The phrases of a subtree, sorted, and their counts."""
-    shifts = [ID_BITS * i for i in range(width - 2, -1, -1)]
-    run = sorted((b" ".join([words[first], *[words[r >> s & _ID] for s in shifts]]), n) for r, n in subtree.items())
-    return [p for p, _ in run], [n for _, n in run]
+def sorted_run(codes: np.ndarray, counts: np.ndarray, width: int, words: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The phrases of ``codes`` in the order of their words, and their counts."""
+    place = np.empty(len(words), np.int64)
+    place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    ids = [codes >> ID_BITS * i & _ID for i in range(width - 1, -1, -1)]
+    order = np.lexsort([place[x] for x in reversed(ids)])
+    named = pa.array(words, pa.binary()).cast(pa.string())
+    return pc.binary_join_element_wise(*[named.take(pa.array(x[order])) for x in ids], " "), counts[order]
 
 
 class Counting:
@@ -205,15 +218,13 @@ class Counting:
             left = -1 if full else self.entries // 2 if sum(map(len, self.tries.values())) > self.entries else None
             if left is None:
                 continue
-            out, counts = [], []
+            codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, subtree in self.tries[lang].spill(left):
-                p, n = run_of(a, subtree, self.width, self.ids[lang].words)
-                out += p
-                counts += n
-                if len(out) >= 1 << 15:
-                    yield {"lang": [lang] * len(out), "phrase": [x.decode() for x in out], "f": counts}
-                    out, counts = [], []
-            yield {"lang": [lang] * len(out), "phrase": [x.decode() for x in out], "f": counts}
+                codes.append(np.fromiter(subtree.keys(), np.int64, len(subtree)) | a << ID_BITS * (self.width - 1))
+                counts.append(np.fromiter(subtree.values(), np.int64, len(subtree)))
+            phrases, f = sorted_run(np.concatenate(codes), np.concatenate(counts), self.width, self.ids[lang].words)
+            for i in range(0, len(f), RUN):
+                yield {"lang": pa.repeat(lang, len(f[i:i + RUN])), "phrase": phrases[i:i + RUN], "f": f[i:i + RUN]}
             if full:
                 del self.tries[lang], self.ids[lang]
 
@@ -234,10 +245,11 @@ class Words:
     def runs(self, last: bool) -> Iterator[dict]:
         for lang in list(self.tries):
             if last or sum(map(len, self.tries.values())) > self.entries:
-                run = sorted(self.tries.pop(lang).items())
-                for i in range(0, len(run), 1 << 15):
-                    part = run[i:i + (1 << 15)]
-                    yield {"lang": [lang] * len(part), "phrase": [p.decode() for p, _ in part], "f": [n for _, n in part]}
+                held = self.tries.pop(lang)
+                words = sorted(held)
+                for i in range(0, len(words), RUN):
+                    part = words[i:i + RUN]
+                    yield {"lang": pa.repeat(lang, len(part)), "phrase": pa.array(part, pa.binary()).cast(pa.string()), "f": [held[w] for w in part]}
 
 
 def counted(texts: DataFrame, width: int, filters: dict, limits: dict) -> DataFrame:
