@@ -79,7 +79,10 @@ def test_cells_hold_the_greatest_impact():
     for seed, shape in enumerate([(1, 1, 1), (1, 40, 30), (50, 1, 30), (40, 300, 2000), (700, 30, 900)]):
         rows, cols, values = grid(seed, *shape)
         height, masks, drops = ig.build(rows, cols, values)
-        t = ig.Treap(height, masks, drops)
+        raw = ig.pack(masks, drops)
+        back = ig.unpack(*(np.frombuffer(raw[c], d) for c, d in (("masks", np.uint8), ("changes", np.uint8), ("drops", np.int32))), raw["cells"], len(values))
+        assert (back[0] == masks).all() and (back[1] == drops).all()
+        t = ig.Treap(height, *back)
         for r, c, v in zip(rows.tolist(), cols.tolist(), values.tolist(), strict=True):
             cell = np.zeros(1, np.int64)
             for level in range(height):

@@ -8,7 +8,7 @@ Terms are runs of digits, letters and characters from U+0080 on, A-Z in lower ca
    rows are the shard's terms, common ones first, columns its documents by ascending id. A cell of the quadtree
    holds the greatest impact inside it and a four-bit mask of its quarters; empty quarters do not exist. Masks stand
    level by level, so a cell's quarters are found by counting bits; maxima are kept as differences from the cell
-   above. The index is a stage table, one row per shard, and covers every term of every row; building it needs no shuffle.
+   above: a bit each, and the values that differ, fewer than postings. The index is a stage table, one row per shard, and covers every term of every row; building it needs no shuffle.
 3. **Items** are dealt into blocks of about BLOCK_TERMS terms; a block is sent to all tasks. Their document frequencies
    are summed over the shards, which gives the weights.
 4. **Search.** In a shard the paths of all terms of an item start at the root. A frontier of document ranges is kept
@@ -40,8 +40,8 @@ from volpanel.sources.stage import stage
 #: Digits, letters and bytes from 0x80 on; all else ends a term.
 TERM = bytes(LOWER[c] if c >= 0x80 or bytes([c]).isalnum() else 32 for c in range(256))
 #: Bytes of text and postings a shard; bytes of a long text looked at in one go; terms a block of items; ranges split at once.
-SHARD, POSTINGS, CHUNK, BLOCK_TERMS, WIDE = 16 << 20, 1 << 21, 4 << 20, 1 << 20, 256
-_BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
+SHARD, POSTINGS, CHUNK, BLOCK_TERMS, WIDE = 8 << 20, 1 << 20, 4 << 20, 1 << 20, 256
+_BITS = np.array([bin(i).count("1") for i in range(16)], np.uint8)
 
 
 def term_counts(text: bytes | None) -> Counter:
@@ -92,6 +92,21 @@ def build(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> tuple[int,
     return height, np.concatenate(masks[::-1]), np.concatenate(drops[::-1])
 
 
+def pack(masks: np.ndarray, drops: np.ndarray) -> dict[str, bytes]:
+    """Two masks a byte; of the differences a bit each, and those that are not 0 (fewer than the leaves)."""
+    even = np.append(masks, np.uint8(0)) if len(masks) % 2 else masks
+    return {"masks": (even[::2] | even[1::2] << 4).tobytes(), "changes": np.packbits(drops != 0).tobytes(),
+            "drops": drops[drops != 0].tobytes(), "cells": len(drops)}
+
+
+def unpack(masks: np.ndarray, changes: np.ndarray, drops: np.ndarray, cells: int, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.empty(2 * len(masks), np.uint8)
+    both[::2], both[1::2] = masks & 15, masks >> 4
+    every = np.zeros(cells, np.int32)
+    every[np.unpackbits(changes, count=cells).view(bool)] = drops
+    return both[:cells - leaves], every
+
+
 class Treap:
     """A K2-treap read back: maxima, masks and the place of each cell's first quarter; one cell more stands for none."""
 
@@ -99,28 +114,28 @@ class Treap:
         self.height, inner, total = height, len(masks), len(drops)
         quarters = _BITS[masks]
         self.first = np.zeros(total + 1, np.int32)
-        self.first[:inner] = 1 + np.cumsum(quarters) - quarters
+        self.first[:inner] = 1 + np.cumsum(quarters, dtype=np.int32) - quarters
         self.masks = np.zeros(total + 1, np.uint8)
         self.masks[:inner] = masks
-        self.top = np.zeros(total + 1, np.int64)
+        self.top = np.zeros(total + 1, np.int32)
         self.top[0] = -drops[0]
         start, end = 0, 1
         for _ in range(height):
-            below = end + int(quarters[start:end].sum())
+            below = end + int(quarters[start:end].sum(dtype=np.int64))
             self.top[end:below] = np.repeat(self.top[start:end], quarters[start:end]) - drops[end:below]
             start, end = end, below
         self.none = total
 
     def quarter(self, cells: np.ndarray, which: np.ndarray) -> np.ndarray:
-        mask = self.masks[cells]
+        mask = self.masks[cells].astype(np.int64)
         bit = np.left_shift(1, which)
-        return np.where(mask & bit, self.first[cells] + _BITS[mask & (bit - 1)], self.none)
+        return np.where(mask & bit, self.first[cells] + _BITS[mask & (bit - 1)].astype(np.int64), self.none)
 
     def search(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
         """(scores, columns) of the ``k`` best columns, greatest first, ties by column; none below ``least``."""
         best, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
         cells, level, col = np.zeros((1, len(rows)), np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        bound = (weights * self.top[0]).sum(keepdims=True)
+        bound = (weights * np.int64(self.top[0])).sum(keepdims=True)
         while True:
             full = len(best) == k
             last, last_at = (best[-1], at[-1]) if full else (0, 0)
@@ -179,17 +194,18 @@ class Shard:
         row = np.empty(len(df), np.int64)
         row[by_df] = np.arange(len(df))
         height, masks, drops = build(row[rows], np.repeat(column, each), impacts(tf, n, n_docs, n_terms))
-        by_term = np.argsort(terms)
-        return {"ids": [[self.ids[i] for i in order]], "height": [height], "terms": [terms[by_term].tobytes()],
+        by_term, packed = np.argsort(terms), pack(masks, drops)
+        return {"ids": [[self.ids[i] for i in order]], "height": [height], "leaves": [len(rows)], "terms": [terms[by_term].tobytes()],
                 "row_of": [row[by_term].astype(np.int32).tobytes()], "df": [df[by_term].astype(np.int32).tobytes()],
-                "masks": [masks.tobytes()], "drops": [drops.tobytes()]}
+                **{name: [v] for name, v in packed.items()}}
 
 
 def build_index(docs: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
     """(stage table with one row per shard, N) over all rows of ``docs`` that have a term."""
     n_docs, n_terms = totals(docs)
-    binary = [T.StructField(c, T.BinaryType()) for c in ("terms", "row_of", "df", "masks", "drops")]
-    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("height", T.IntegerType()), *binary])
+    number = [T.StructField(c, T.IntegerType()) for c in ("height", "leaves", "cells")]
+    binary = [T.StructField(c, T.BinaryType()) for c in ("terms", "row_of", "df", "masks", "changes", "drops")]
+    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), *number, *binary])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -261,9 +277,12 @@ def search_block(index: DataFrame, block: list, n_docs: int, k: int, out: T.Stru
         best: list[list] = [[] for _ in items]  # (-score, id is null, id) by item
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
-                ids, held, row_of = row["ids"], np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["row_of"], np.int32)
-                treap = Treap(row["height"], np.frombuffer(row["masks"], np.uint8), np.frombuffer(row["drops"], np.int32))
+                def view(name, kind, r=r, batch=batch):
+                    return np.frombuffer(batch.column(name)[r].as_buffer(), kind)
+
+                ids, height, leaves, n_cells = (batch.column(c)[r].as_py() for c in ("ids", "height", "leaves", "cells"))
+                held, row_of = view("terms", np.uint64), view("row_of", np.int32)
+                treap = Treap(height, *unpack(view("masks", np.uint8), view("changes", np.uint8), view("drops", np.int32), n_cells, leaves))
                 at = np.minimum(np.searchsorted(held, terms), len(held) - 1)
                 rows = np.where((held[at] == terms) & (weights > 0), row_of[at], -1).astype(np.int64)
                 for i, (_, _, own) in enumerate(items):
@@ -278,7 +297,7 @@ def search_block(index: DataFrame, block: list, n_docs: int, k: int, out: T.Stru
         if rows:
             yield as_batch(dict(zip(("key", "item_id", "doc_id", "score"), map(list, zip(*rows)), strict=True)), to_arrow_schema(out))
 
-    return index.select("ids", "height", "terms", "row_of", "masks", "drops").mapInArrow(run, out)
+    return index.drop("df").mapInArrow(run, out)
 
 
 def search(index: DataFrame, n_docs: int, items: DataFrame, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
