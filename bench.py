@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from volpanel import config as C
 from volpanel.catalog import fixtures as fx
 from volpanel.operators import features as ft
-from volpanel.operators import folds, garch, metrics, robust, stattests
+from volpanel.operators import boosting, folds, garch, metrics, robust, stattests, trees
 from volpanel.operators.asof import asof_join
 from volpanel.operators.panel import number_rows
 from volpanel.plans import walkforward as wf
@@ -72,6 +72,14 @@ def asof(spark):
     run(asof_join(left, right, ["user_id"], "ts", "vt", ["view_id"], tie=("view_id",)))
 
 
+def tree_levels(spark):
+    """80 folds of boosted trees at their tiers' sizes, scored (one series per order priority)."""
+    frame = stage(folds.model_frame(number_rows(stage(fx.observations(spark, SF_DIR), "observations")), H), "model_frame")
+    kept = trees.tree_rows(wf.level_rows(frame, H, ["series_id"]), wf.XS, "level")
+    nodes = stage(boosting.fit_nodes(kept, YEARS), "nodes")
+    run(trees.gbt_by_fold(kept, nodes, YEARS, PARTIAL, "level"))
+
+
 PAIRS = [("har", "har_x"), ("har_x", "past_vol")]
 
 
@@ -94,7 +102,7 @@ def regime_and_tail(preds):
 
 STORED = {"test_stage": test_stage, "power": power, "regime_and_tail": regime_and_tail}
 QUERIES = {"panel": panel, "features": features, "walk_forward": walk_forward, "log_models": log_models,
-           "comparison_tests": comparison_tests, "variance_grid": variance_grid, "asof_join": asof}
+           "comparison_tests": comparison_tests, "variance_grid": variance_grid, "asof_join": asof, "tree_levels": tree_levels}
 
 
 def main():

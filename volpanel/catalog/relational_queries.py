@@ -197,39 +197,6 @@ def suffix_minimum(spark, sf_dir):
     return rounded(out.select("series_id", "row_no", "later_min"), 6)
 
 
-# --- loss history ------------------------------------------------------------------------
-_rate = "0.01 + 0.2 * (n_train % 7) / 7"
-part("hist", f"SELECT series_id, horizon, test_year, e.epoch, exp(-({_rate}) * e.epoch) + floor AS loss FROM fold_stats, range(0, 60) e(epoch)", "fold_stats")
-
-
-def history(spark, sf_dir):
-    """A loss curve per fold, made from its training size and floor."""
-    from volpanel.catalog.forecast_queries import coefs
-
-    c = coefs(spark, sf_dir).filter("variant = 'har'")
-    rate = 0.01 + 0.2 * (F.col("n") % 7) / 7
-    return c.select("series_id", "horizon", "test_year", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("epoch"), "n", "y_min").select(
-        "series_id", "horizon", "test_year", "epoch", (F.exp(-rate * F.col("epoch")) + F.col("y_min")).alias("loss"))
-
-
-part("conv", """SELECT *, 100 * (p80 - fin) / p80 AS drop_pct, CASE WHEN 100 * (p80 - fin) / p80 < 2 THEN 'converged' WHEN 100 * (p80 - fin) / p80 < 10 THEN 'converging' ELSE 'under_trained' END AS convergence
-FROM (SELECT series_id, horizon, test_year, max(loss) FILTER (WHERE epoch = 0) AS st, max(loss) FILTER (WHERE epoch = 30) AS mid, max(loss) FILTER (WHERE epoch = 47) AS p80, max(loss) FILTER (WHERE epoch = 59) AS fin FROM hist GROUP BY ALL)""", "hist")
-
-
-@query("convergence_label", with_parts(f"SELECT series_id, horizon, test_year, {rd('st', 6)} AS loss_start, {rd('mid', 6)} AS loss_mid, {rd('p80', 6)} AS loss_p80, {rd('fin', 6)} AS loss_final, {rd('drop_pct', 5)} AS tail_drop_pct, convergence, {rd('fin / st', 6)} AS loss_ratio FROM conv", "conv"))
-def convergence_label(spark, sf_dir):
-    from volpanel.operators.losses import convergence_label as label
-
-    return rounded(label(history(spark, sf_dir), ("series_id", "horizon", "test_year")).drop("n_epochs"), 6, tail_drop_pct=5)
-
-
-@query("convergence_crosstab", with_parts("SELECT horizon, " + ", ".join(f"count(*) FILTER (WHERE convergence = '{k}') AS {k}" for k in ("converged", "converging", "under_trained", "undefined")) + " FROM conv GROUP BY ALL", "conv"))
-def convergence_crosstab(spark, sf_dir):
-    from volpanel.operators.losses import convergence_crosstab as tab, convergence_label as label
-
-    return tab(label(history(spark, sf_dir), ("series_id", "horizon", "test_year")))
-
-
 @query("last_value_by_window", with_parts(f"SELECT series_id, row_no, {rd('last_value(implied) OVER (PARTITION BY series_id, year ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)', 6)} AS year_end FROM num", "num"))
 def last_value_by_window(spark, sf_dir):
     w = Window.partitionBy("series_id", "year").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

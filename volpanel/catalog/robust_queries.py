@@ -348,10 +348,9 @@ def mask_targets_touching_roll(spark, sf_dir):
                                       F.count(F.when(F.col("touched_5") == 0, F.col("target_vol_5"))).alias("n_kept"))
 
 
-def variant_predictions(spark, sf_dir):
-    """HAR and HAR-X on the baseline, A, A2 and B (targets touching a roll dropped, h = 5)."""
+def variant_panel(spark, sf_dir):
+    """Regressors and targets of the baseline, A, A2 and B (targets touching a roll dropped, h = 5), one below the other."""
     def build():
-        v = {k: C.HAR_VARIANTS[k] for k in ("har", "har_x")}
         stacked = None
         for name in ("baseline", "A", "A2", "B"):
             f = frame(spark, sf_dir) if name == "baseline" else variant_frame(spark, sf_dir, "A2" if name == "A2" else "A")
@@ -362,9 +361,19 @@ def variant_predictions(spark, sf_dir):
             f = f.select("series_id", "obs_date", "year", "row_no", *wf.XS, *[f"{c}_{h}" for h in H for c in ("target_vol", "past_vol", "fit_from")],
                          F.lit(name).alias("variant"))
             stacked = f if stacked is None else stacked.unionByName(f)
-        stacked = stacked.withColumnRenamed("variant", "roll_variant")
-        return wf.level_predictions(stacked, H, YEARS, PARTIAL, keys=("series_id", "roll_variant"), variants=v, naive=False)
-    return fx.remember(spark, sf_dir, "variant_predictions", build)
+        return stacked.withColumnRenamed("variant", "roll_variant")
+    return fx.remember(spark, sf_dir, "variant_panel", build)
+
+
+def variant_rows(spark, sf_dir):
+    return wf.level_rows(variant_panel(spark, sf_dir), H, ["series_id", "roll_variant"])
+
+
+def variant_predictions(spark, sf_dir):
+    """HAR and HAR-X on all variants."""
+    v = {k: C.HAR_VARIANTS[k] for k in ("har", "har_x")}
+    return fx.remember(spark, sf_dir, "variant_predictions", lambda: wf.level_predictions(
+        variant_panel(spark, sf_dir), H, YEARS, PARTIAL, keys=("series_id", "roll_variant"), variants=v, naive=False))
 
 
 part("base_fm", "SELECT 'baseline' AS roll_variant, series_id, model, horizon, test_year, n, rmse FROM fm WHERE model IN ('har', 'har_x')", "fm")

@@ -1,48 +1,17 @@
-"""Boosted trees per horizon and fold, pooled over all series.
+"""Boosted-tree forecasts: rows and labels of each kind, and what the node tables of :mod:`boosting` give."""
 
-Each fit is one distributed MLlib job over the rows of its fold; independent
-fits are submitted side by side. Preprocessing is fitted per series and fold on
-training rows, so pooled series share one scale. Declared differences to a
-single-series learner: pooling, no L2 penalty, and the minimum child weight
-stands as minimum rows per node.
-
-Rows are stored once per horizon with raw features. Training sets are nested, so
-a fold reads the rows with ``fit_from`` up to its year; winsor bounds and ranges
-are a small table per series, fold and role that is applied at reading.
-"""
-
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
 import random
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel import config as C
-from volpanel.operators import folds
-from volpanel.operators.features import FEATURES, LOG_FEATURES
+from volpanel.operators import boosting, folds
+from volpanel.operators.boosting import KEYS, tier_params  # noqa: F401 - part of this module's interface
+from volpanel.operators.features import FEATURES
 from volpanel.operators.models import back_transform, fit_target
 from volpanel.operators.search import selection_signal  # noqa: F401 - part of this module's interface
-from volpanel.sources.stage import shared_dir, stage
-
-KEYS = ("series_id", "horizon", "test_year")
-
-
-@dataclass
-class FoldData:
-    """Raw rows by horizon, the folds they serve, and the preprocessing of each training set."""
-
-    rows: DataFrame
-    features: tuple
-    logs: tuple
-    mode: str
-    test_years: tuple
-    partial_year: int
-    bounds: DataFrame | None = None
-    cells: list = field(default_factory=list)   # (horizon, test_year, rows per series)
-    models: dict = field(default_factory=dict)  # fitted with the tier's parameters, by cell
+from volpanel.sources.stage import stage
 
 
 def usable(features, mode: str) -> Column:
@@ -53,139 +22,10 @@ def usable(features, mode: str) -> Column:
     return ok & F.col("past_vol").isNotNull() & (F.col("past_vol") > 0) if mode == "ratio" else ok
 
 
-def fold_data(rows: DataFrame, features, test_years, partial_year, log_columns=(), scale: bool = True,
-              extra=(), mode: str = "ratio") -> FoldData:
-    """Store the usable rows and fit the preprocessing of every fold.
-
-    ``rows`` is long (one row per horizon) with ``y``, ``past_vol`` and ``fit_from``.
-    """
-    rows = rows.filter(usable(features, mode))
-    stored = stage(rows.select("series_id", "obs_date", "row_no", "year", "fit_from", "y", "past_vol", *extra,
-                               *[F.col(c).cast("double").alias(c) for c in features], "horizon"), "tree_rows", "horizon")
-    years = tuple(sorted(int(y) for y in test_years))
-    data = FoldData(stored, tuple(features), tuple(c for c in log_columns if c in features), mode, years, partial_year)
-    if scale:
-        data.bounds = bounds(data, folds.replicate_to_folds(_trained(data), years))
-    # fold sizes are running sums over buckets; as many rows as horizons and folds leave
-    counts = _trained(data).groupBy("series_id", "horizon", "fit_from").agg(F.count(F.lit(1)).alias("n"))
-    data.cells = sorted((r["horizon"], r["test_year"], r["n"]) for r in folds.replicate_to_folds(counts, years).groupBy(
-        "horizon", "test_year").agg((F.sum("n") / F.count_distinct("series_id")).alias("n")).collect())
-    return data
-
-
-def _trained(data: FoldData) -> DataFrame:
-    return data.rows.filter(F.col("fit_from") <= max(data.test_years))
-
-
-def bounds(data: FoldData, train: DataFrame) -> DataFrame:
-    """Per series, horizon and fold: arrays of lower and upper clip, offset and width of each feature."""
-    fits = folds.fit_preprocess(train, data.features, data.logs, KEYS)
-    parts = {"clip_lo": [], "clip_hi": [], "base": [], "width": []}
-    for c in data.features:
-        q, lo, hi = (F.col(f"_p_{c}.{n}") for n in ("q", "lo", "hi"))
-        low, high = (F.least(F.greatest(v, q[0]), q[1]) for v in (lo, hi))
-        for name, v in (("clip_lo", q[0]), ("clip_hi", q[1]), ("base", low),
-                        ("width", F.when(high > low, high - low).otherwise(F.lit(1.0)))):
-            parts[name].append(v)
-    return stage(fits.select(*KEYS, *[F.array(*v).alias(n) for n, v in parts.items()]), "preprocess_fits")
-
-
-def prepared(data: FoldData, df: DataFrame, year: int, fitted: DataFrame | None) -> DataFrame:
-    """Rows of one fold with the features as array ``x`` and vector ``v``, scaled by ``fitted``."""
-    logged = [F.log1p(c) if c in data.logs else F.col(c) for c in data.features]
-    df = df.withColumns({"x": F.array(*logged), "test_year": F.lit(int(year))}).drop(*data.features)
-    if fitted is not None:
-        df = df.join(fitted.filter(F.col("test_year") == year).drop("test_year"), ["series_id", "horizon"])
-        scaled = F.transform("x", lambda v, i: (F.least(F.greatest(v, F.col("clip_lo")[i]), F.col("clip_hi")[i])
-                                                - F.col("base")[i]) / F.col("width")[i])
-        df = df.withColumn("x", scaled).drop("clip_lo", "clip_hi", "base", "width")
-    return df.withColumn("v", array_to_vector("x"))
-
-
-def train_cell(data: FoldData, h: int, year: int) -> DataFrame:
-    return prepared(data, data.rows.filter((F.col("horizon") == h) & (F.col("fit_from") <= year)), year, data.bounds)
-
-
-def test_cell(data: FoldData, h: int, year: int) -> DataFrame:
-    rows = data.rows.filter((F.col("horizon") == h) & (F.col("year") == year))
-    out = folds.test_rows(rows, data.test_years, data.partial_year)
-    return prepared(data, out, year, data.bounds)
-
-
-def tier_params(n_effective: float) -> tuple[str, dict]:
-    for least, name, params in C.TIERS:
-        if n_effective >= least:
-            return name, dict(params, subsample=0.8)
-    raise AssertionError("the last tier starts at zero")
-
-
-def fit_trees(train: DataFrame, params: dict):
-    """One boosted model on ``v`` and ``label``. Residuals are cut from their lineage every tenth tree."""
-    sc = train.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(train.sparkSession))
-    return GBTRegressor(
-        featuresCol="v", labelCol="label", predictionCol="raw", seed=42, cacheNodeIds=False, maxBins=32, checkpointInterval=10,
-        maxIter=params["trees"], maxDepth=params["depth"], stepSize=params["step"],
-        minInstancesPerNode=max(1, round(params["min_rows"])), subsamplingRate=params["subsample"],
-        featureSubsetStrategy="0.8").fit(train.select("v", "label"))
-
-
-def side_by_side(fn, items, parallelism: int):
-    """Run independent jobs concurrently; the driver only waits."""
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(fn, items))
-
-
-def union(frames):
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _label(mode: str) -> Column:
-    return F.col("y") if mode == "level" else fit_target(mode)
-
-
-def tier_model(data: FoldData, cell, train: DataFrame):
-    """The model of a cell with its tier's parameters, fitted once per ``data``."""
-    if cell[:2] not in data.models:
-        data.models[cell[:2]] = fit_trees(train.withColumn("label", _label(data.mode)), tier_params(cell[2] / cell[0])[1])
-    return data.models[cell[:2]]
-
-
-def gbt_by_fold(data: FoldData, parallelism: int = 8, name: str = "gbt", chosen: dict | None = None) -> DataFrame:
-    """Predictions of one model per horizon and fold; capacity by effective training size.
-
-    Modes ``ratio`` and ``log`` fit logs and return through exp and smearing;
-    ``level`` fits the target itself and holds it at the training floor.
-    ``chosen``: parameters and smearing by cell; a smearing of None is taken from
-    the training residuals and shrunk by the effective training size.
-    """
-    mode, label = data.mode, _label(data.mode)
-
-    def fit(cell):
-        h, year, n = cell
-        tier, _ = tier_params(n / h)
-        train = train_cell(data, h, year).withColumn("label", label)
-        params, smearing = (chosen or {}).get(cell[:2], (None, None))
-        model = fit_trees(train, params) if params else tier_model(data, cell, train)
-        back = (model.transform(train).groupBy("series_id").agg(
-            folds.duan_smearing(F.col("label") - F.col("raw")).alias("smearing"), F.min("y").alias("floor"),
-            F.avg("y").alias("train_mean"), F.count(F.lit(1)).alias("n_train")))
-        if smearing is not None:
-            back = back.withColumn("smearing", F.lit(smearing))
-        elif chosen is not None:
-            back = back.withColumn("smearing", folds.shrink_smearing(F.col("smearing"), F.col("n_train") / h))
-        scored = model.transform(test_cell(data, h, year)).join(back, "series_id")
-        pred = (F.greatest(F.col("raw"), F.col("floor")) if mode == "level"
-                else back_transform(F.col("raw"), F.col("smearing"), mode))
-        return scored.select("series_id", F.lit(name).alias("model"), "horizon", "fold", "test_year", "obs_date", "row_no",
-                             "include_in_main", F.col("y").alias("y_true"), pred.alias("pred"), "raw", "past_vol", "train_mean",
-                             "floor", "n_train", "smearing", F.lit(tier).alias("tier"))
-
-    return union(side_by_side(fit, data.cells, parallelism))
+def tree_rows(rows: DataFrame, features, mode: str = "ratio", keys=KEYS) -> DataFrame:
+    """Stored rows with packed features; ``rows`` is long (one row per horizon) with ``y``, ``past_vol``, ``fit_from``."""
+    label = F.col("y") if mode == "level" else fit_target(mode)
+    return boosting.stored(rows.filter(usable(features, mode)), features, F.array(label), keys=keys)
 
 
 def full_rows(features: DataFrame, frame: DataFrame, horizons) -> DataFrame:
@@ -195,132 +35,98 @@ def full_rows(features: DataFrame, frame: DataFrame, horizons) -> DataFrame:
                             ["series_id", "obs_date", "year", "row_no", *dict.fromkeys([*FEATURES, "har_daily"])])
 
 
-def residual_hybrid(rows: DataFrame, coefs: DataFrame, regressors, test_years, partial_year, parallelism: int = 8) -> DataFrame:
-    """HAR-X forecast plus trees on its training residuals (levels), held at the floor."""
-    from volpanel.operators.linear import linear_predictor
-
-    c = coefs.filter("variant = 'har_x'").select("series_id", "horizon", "test_year", "intercept", "beta", F.col("y_min").alias("floor"))
-    rows = rows.withColumns({f"raw_{x}": F.col(x) for x in regressors})
-    data = fold_data(rows, FEATURES, test_years, partial_year, LOG_FEATURES, extra=[f"raw_{x}" for x in regressors], mode="level")
-    base = linear_predictor([f"raw_{x}" for x in regressors])
-
-    def with_base(df):
-        return df.join(c, list(KEYS)).withColumn("base", F.greatest(base, F.col("floor")))
-
-    def fit(cell):
-        h, year, n = cell
-        _, params = tier_params(n / h)
-        train = with_base(train_cell(data, h, year)).withColumn("label", F.col("y") - F.col("base"))
-        model = fit_trees(train, params)
-        e, eh = F.col("label"), F.col("raw")
-        ins = model.transform(train).groupBy("series_id").agg(
-            (1 - F.try_divide(F.sum(F.pow(e - eh, 2)), F.sum(e * e))).alias("resid_r2_in_sample"),
-            F.avg("y").alias("train_mean"))
-        out = model.transform(with_base(test_cell(data, h, year))).join(ins, "series_id")
-        return out.select("series_id", F.lit("har_x_residual").alias("model"), "horizon", "fold", "test_year", "obs_date",
-                          "row_no", "include_in_main", F.col("y").alias("y_true"),
-                          F.greatest(F.col("base") + eh, F.col("floor")).alias("pred"), "base", F.col("raw").alias("residual_forecast"),
-                          "resid_r2_in_sample", "train_mean", "floor")
+def gbt_by_fold(rows: DataFrame, nodes: DataFrame, test_years, partial_year, mode: str = "ratio", name: str = "gbt",
+                keys=KEYS, smearings: DataFrame | None = None) -> DataFrame:
+    """Predictions of the test rows.
 
-    return union(side_by_side(fit, data.cells, parallelism))
+    Modes ``ratio`` and ``log`` return through exp and the smearing of the training residuals; ``level`` is held at
+    the training floor. ``smearings`` (keys, test_year, smearing) replace those of the training residuals; folds
+    without one keep theirs, shrunk by the effective training size.
+    """
+    scored = stage(boosting.score(rows, nodes, test_years, keys), "tree_scores")
+    back = boosting.smearing(scored, rows, keys)
+    if smearings is not None:
+        own = smearings.select(*keys, "test_year", F.col("smearing").alias("_s"))
+        shrunk = folds.shrink_smearing(F.col("smearing"), F.col("n_train") / F.col("horizon"))
+        back = back.join(own, [*keys, "test_year"], "left").withColumn("smearing", F.coalesce("_s", shrunk)).drop("_s")
+    out = (scored.filter("not in_train").drop("label", "in_train")
+           .join(rows.select(*keys, "row_no", "obs_date", "y", "past_vol"), [*keys, "row_no"]).join(back, [*keys, "test_year"]))
+    pred = F.greatest("raw", "floor") if mode == "level" else back_transform(F.col("raw"), F.col("smearing"), mode)
+    n_eff = folds.effective_n("n_train")
+    return out.select(*keys, F.lit(name).alias("model"), folds.fold_number(test_years).alias("fold"), "test_year", "obs_date", "row_no",
+                      folds.include_in_main(partial_year).alias("include_in_main"), F.col("y").alias("y_true"), pred.alias("pred"), "raw",
+                      "past_vol", "train_mean", "floor", "n_train", "smearing", folds.capacity_tier(n_eff).alias("tier"))
+
+
+def residual_rows(rows: DataFrame, coefs: DataFrame, regressors, features, test_years, variant: str = "har_x") -> DataFrame:
+    """Stored rows whose labels are, fold by fold, the errors of the linear base forecast held at its floor (``bases``)."""
+    fit = F.struct("intercept", "beta", F.col("y_min").alias("floor"))
+    c = coefs.filter(F.col("variant") == variant).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("test_year", fit))).alias("fits"))
+    rows = rows.filter(usable([*features, *regressors], "level")).join(c, list(KEYS))
+
+    def base(year):
+        f = F.col("fits")[F.lit(int(year))]
+        value = f["intercept"]
+        for i, x in enumerate(regressors):
+            value = value + f["beta"][i] * F.col(x)
+        return F.greatest(value, f["floor"])
+
+    rows = rows.withColumn("bases", F.array(*[base(y) for y in test_years]))
+    return boosting.stored(rows, features, F.transform("bases", lambda b: F.col("y") - b), "bases")
+
+
+def residual_chain(rows: DataFrame, nodes: DataFrame, test_years) -> DataFrame:
+    """Training and test rows of every fold: base forecast, its error ``label``, the trees' forecast ``raw`` of that error."""
+    years = F.array(*[F.lit(int(y)) for y in test_years])
+    scored = boosting.score(rows, nodes, test_years).join(rows.select(*KEYS, "row_no", "obs_date", "y", "bases"), [*KEYS, "row_no"])
+    return stage(scored.withColumn("base", F.col("bases")[F.array_position(years, F.col("test_year")).cast("int") - 1]).drop("bases"), "residual_chain")
+
+
+def residual_hybrid(chain: DataFrame, test_years, partial_year, floors: DataFrame | None = None) -> DataFrame:
+    """Base forecast plus the trees' forecast of its error, held at the training floor, or that of ``floors`` (keys, test_year, floor)."""
+    train = chain.filter("in_train").groupBy(*KEYS, "test_year").agg(F.min("y").alias("floor"), F.avg("y").alias("train_mean"))
+    if floors is not None:
+        train = train.drop("floor").join(floors, [*KEYS, "test_year"])
+    out = chain.filter("not in_train").join(train, [*KEYS, "test_year"])
+    return out.select("series_id", F.lit("har_x_residual").alias("model"), "horizon", folds.fold_number(test_years).alias("fold"), "test_year", "obs_date",
+                      "row_no", folds.include_in_main(partial_year).alias("include_in_main"), F.col("y").alias("y_true"),
+                      F.greatest(F.col("base") + F.col("raw"), F.col("floor")).alias("pred"), "base", F.col("raw").alias("residual_forecast"),
+                      "train_mean", "floor")
+
+
+def chain_r2(chain: DataFrame) -> DataFrame:
+    """1 - sum (e - e_hat)^2 / sum e^2 of the second stage per fold, in and out of sample."""
+    def r2(inside):
+        own = F.col("in_train") if inside else ~F.col("in_train")
+        return 1 - F.try_divide(F.sum(F.when(own, F.pow(F.col("label") - F.col("raw"), 2))), F.sum(F.when(own, F.pow("label", F.lit(2)))))
+
+    return chain.groupBy(*KEYS, "test_year").agg(r2(True).alias("r2_in"), r2(False).alias("r2_out"))
+
+
+def chain_summary(r2: DataFrame, keys=KEYS) -> DataFrame:
+    """Over folds: mean, median, folds above zero, least and greatest of both."""
+    both = r2.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("sample"), F.col(c).alias("r2")) for n, c in (("in", "r2_in"), ("out", "r2_out"))])))
+    return both.groupBy(*keys, "sample").agg(
+        F.count("r2").alias("n_folds"), F.avg("r2").alias("mean"), F.median("r2").alias("median"),
+        F.count_if(F.col("r2") > 0).alias("n_positive"), F.min("r2").alias("least"), F.max("r2").alias("greatest"))
 
 
 def candidates(tier: str, n: int, seed: int = 42) -> list[dict]:
-    """Seeded random parameter sets inside the tier's declared bounds."""
+    """Seeded random parameter sets inside the tier's declared bounds; ``share``: drawn rows in thousandths."""
     rng, b = random.Random(f"{seed}-{tier}"), C.SEARCH_BOUNDS[tier]
 
     def log_between(lo, hi):
         return lo * (hi / lo) ** rng.random()
 
     return [{"trees": rng.randint(*b["trees"]), "depth": rng.randint(*b["depth"]), "step": log_between(*b["step"]),
-             "min_rows": log_between(*b["min_rows"]), "subsample": rng.uniform(*b["subsample"])} for _ in range(n)]
-
-
-def split_cell(data: FoldData, cuts: DataFrame, proper: DataFrame | None, h: int, year: int) -> tuple[DataFrame, DataFrame]:
-    """(train-proper, validation) rows of a cell, both scaled by bounds of train-proper alone."""
-    own = cuts.filter((F.col("horizon") == h) & (F.col("test_year") == year)).select("series_id", "horizon", "first_val")
-    rows = data.rows.filter((F.col("horizon") == h) & (F.col("fit_from") <= year)).join(own, ["series_id", "horizon"])
-    return (prepared(data, rows.filter("fit_from <= first_val"), year, proper),
-            prepared(data, rows.filter("year >= first_val"), year, proper))
-
-
-def validated_search(rows: DataFrame, spans: DataFrame, data: FoldData, n_candidates: int,
-                     parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(predictions, trials): candidates scored on an embargoed validation slice, the best one refitted.
-
-    Training rows split per series and fold: validation is the last
-    ``n_val_years`` years; rows whose target reaches into it are dropped. While
-    candidates are scored, preprocessing is fitted on train-proper alone; the
-    refit uses the whole training set. The score includes the shrunken smearing
-    factor. Folds with too little data keep the tier's parameters; without any
-    split their smearing comes from the training residuals, shrunk as well.
-    """
-    mode, label, years = data.mode, _label(data.mode), data.test_years
-    cuts = stage(spans.select(*KEYS, (F.col("test_year") - F.col("n_val_years")).alias("first_val")), "search_cuts")
-    met = _trained(data).join(cuts, ["series_id", "horizon"]).filter("fit_from <= test_year")
-    proper = bounds(data, met.filter("fit_from <= first_val")) if data.bounds is not None else None
-    per_series = [(F.count_if(c) / F.count_distinct("series_id")).alias(n) for c, n in (
-        (F.col("fit_from") <= F.col("first_val"), "tp"), (F.col("year") >= F.col("first_val"), "va"))]
-    sizes = {(r["horizon"], r["test_year"]): (r["tp"], r["va"]) for r in
-             met.groupBy("horizon", "test_year").agg(*per_series).collect()}
-    # rows before the validation years, before the embargo and before incomplete ones are dropped
-    before = {(r["horizon"], r["test_year"]): r["n"] for r in rows.filter(F.col("year") < max(years)).join(
-        cuts, ["series_id", "horizon"]).filter("year < first_val").groupBy("horizon", "test_year").agg(
-        (F.count(F.lit(1)) / F.count_distinct("series_id")).alias("n")).collect()}
-    jobs, chosen = [], {}
-    for h, year, n in data.cells:
-        tp, va = sizes.get((h, year), (0, 0))
-        if before.get((h, year), 0) > h + C.MIN_TRAIN_ROWS and tp >= C.MIN_TRAIN_ROWS and va > 0:
-            tier, params = tier_params(tp / h)
-            search = tp / h >= C.SEARCH_MIN_EFFECTIVE and va / h >= C.VAL_MIN_EFFECTIVE
-            jobs += [(h, year, i, tier, p, search, va) for i, p in enumerate(candidates(tier, n_candidates) if search else [params])]
-        else:
-            chosen[(h, year)] = (tier_params(n / h)[1], None)
-
-    def score(job):
-        h, year, i, tier, p, search, va = job
-        tp, val = (df.withColumn("label", label) for df in split_cell(data, cuts, proper, h, year))
-        m = fit_trees(tp, p).transform(val)
-        raw = m.agg(folds.duan_smearing(F.col("label") - F.col("raw"))).first()[0]
-        sm = 1 + (va / h) / (va / h + C.SMEARING_K) * (raw - 1) if mode != "level" else 1.0
-        e = F.col("y") - (F.col("raw") if mode == "level" else back_transform(F.col("raw"), F.lit(sm), mode))
-        rmse = m.agg(F.sqrt(F.avg(e * e))).first()[0]
-        return (h, year, i, tier, bool(search), float(p["trees"]), float(p["depth"]), float(p["step"]), float(p["min_rows"]),
-                float(p["subsample"]), float(raw), float(sm), float(rmse))
-
-    done = side_by_side(score, jobs, parallelism)
-    best = {}
-    for row, job in zip(done, jobs, strict=True):
-        if job[:2] not in best or row[-1] < best[job[:2]]:
-            best[job[:2]] = row[-1]
-            chosen[job[:2]] = (job[4], row[-2])
-    preds = gbt_by_fold(data, parallelism, "gbt_searched", chosen)
-    trials = rows.sparkSession.createDataFrame(
-        done, "horizon int, test_year int, trial int, tier string, searched boolean, trees double, depth double, step double, "
-              "min_rows double, subsample double, smearing_raw double, smearing double, val_rmse double")
-    return preds, trials
-
-
-def occlusion(data: FoldData, parallelism: int = 8) -> DataFrame:
-    """Change of the raw forecast when one feature is set to its training mean, averaged per fold.
-
-    Models are those of :func:`gbt_by_fold`. Features unfold inside the scoring
-    pass and meet again in a partial aggregation, so the widened rows are never stored.
-    """
-    k = len(data.features)
-    names = F.array(*[F.lit(c) for c in data.features])
+             "min_rows": round(log_between(*b["min_rows"])), "share": round(1000 * rng.uniform(*b["subsample"]))} for _ in range(n)]
 
-    def run(cell):
-        h, year, n = cell
-        train = train_cell(data, h, year)
-        model = tier_model(data, cell, train)
-        means = train.groupBy("series_id").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(k)]).alias("m"))
-        t = model.transform(test_cell(data, h, year)).withColumnRenamed("raw", "full").drop("v").join(means, "series_id")
-        t = t.select("series_id", "x", "m", "full", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-        held = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.col("m")[i]).otherwise(v))
-        t = model.transform(t.withColumn("v", array_to_vector(held)))
-        return (t.withColumn("d", F.col("full") - F.col("raw")).groupBy("series_id", "j").agg(F.avg(F.abs("d")).alias("mean_abs"))
-                .select("series_id", F.lit(h).alias("horizon"), F.lit(year).alias("test_year"),
-                        names[F.col("j")].alias("feature"), "mean_abs"))
 
-    return union(side_by_side(run, data.cells, parallelism))
+def validated_search(rows: DataFrame, spans: DataFrame, test_years, partial_year, n_candidates: int, mode: str = "ratio",
+                     name: str = "gbt_searched") -> tuple[DataFrame, DataFrame]:
+    """(predictions, trials): candidates scored on an embargoed validation slice by halving rounds, the best one refitted on
+    the whole training set with its smearing; folds with too little data keep their tier's parameters."""
+    trials = stage(boosting.search_trials(rows, spans, test_years, lambda tier: candidates(tier, n_candidates), mode), "tree_trials")
+    picks = stage(boosting.chosen(trials), "tree_picks")
+    nodes = stage(boosting.refit(rows, picks, test_years), "tree_nodes")
+    return gbt_by_fold(rows, nodes, test_years, partial_year, mode, name, smearings=None if mode == "level" else picks), trials
