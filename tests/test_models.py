@@ -179,6 +179,42 @@ def test_adf_statistic(spark):
         se = np.sqrt(e @ e / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)[1, 1])
         np.testing.assert_allclose(got.loc[name, "adf_stat"], b[1] / se, rtol=1e-6)
     assert got.loc["noise", "rejects_at_pct"] == "1" and got.loc["walk", "rejects_at_pct"] == "none"
+    assert got.loc["noise", "p"] < 0.001 < 0.05 < got.loc["walk", "p"]
+
+
+def test_adf_order_by_a_bound_that_follows_the_length(spark):
+    """Each order fitted by itself on the common rows; short, long, constant and empty series."""
+    rng, rows = np.random.default_rng(3), []
+    series = {"a": np.cumsum(rng.normal(size=60)), "b": rng.normal(size=700), "flat": np.ones(50), "tiny": np.arange(3.0)}
+    series["b"][8:] += 0.5 * series["b"][:-8]
+    for name, x in series.items():
+        rows += [(name, i, float(v)) for i, v in enumerate(x)]
+    got = {r["series_id"]: r for r in descriptive.adf(spark.createDataFrame(rows, "series_id string, row_no long, x double"), ["x"]).collect()}
+    assert set(got) == {"a", "b"}
+    for name in got:
+        x = series[name] - 7
+        d, top = np.diff(x), descriptive.adf_top(len(x))
+        assert top == {"a": 11, "b": 20}[name]
+
+        def fit(q, start):
+            t = np.arange(start, len(d))
+            a = np.column_stack([np.ones(len(t)), x[t], *[d[t - k] for k in range(1, q + 1)]])
+            b, *_ = np.linalg.lstsq(a, d[t], rcond=None)
+            e = d[t] - a @ b
+            return len(t), e @ e, b[1] / np.sqrt(e @ e / (len(t) - a.shape[1]) * np.linalg.inv(a.T @ a)[1, 1])
+
+        aic = [n * np.log(rss / n) + 2 * (q + 2) for q in range(top + 1) for n, rss, _ in [fit(q, top)]]
+        q = int(np.argmin(aic))
+        assert got[name]["adf_lag"] == q and got[name]["n_used"] == len(d) - q
+        np.testing.assert_allclose(got[name]["adf_stat"], fit(q, q)[2], rtol=1e-7)
+
+
+def test_adf_p_meets_known_points():
+    """The surface at the asymptotic critical values, and its two ends."""
+    for level, stat in descriptive.ADF_CRITICAL.items():
+        assert descriptive.adf_p(stat) == pytest.approx(int(level) / 100, abs=0.002)
+    assert descriptive.adf_p(3) == 1 and descriptive.adf_p(-20) == 0
+    assert abs(descriptive.adf_p(descriptive.ADF_STAR) - descriptive.adf_p(descriptive.ADF_STAR + 1e-9)) < 0.01
 
 
 def test_schema_messages(spark):

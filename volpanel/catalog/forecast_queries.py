@@ -8,6 +8,7 @@ from volpanel.catalog import forecast_sql as fs  # noqa: F401 - registers the SQ
 from volpanel.catalog.registry import query, rounded
 from volpanel.catalog.sql import part, rd, with_parts
 from volpanel.operators import folds, linear, metrics
+from volpanel.operators.features import FEATURES, LOG_FEATURES
 from volpanel.plans import walkforward as wf
 
 H, YEARS, PARTIAL = fx.HORIZONS, fx.TEST_YEARS, fx.PARTIAL_YEAR
@@ -244,9 +245,9 @@ def smearing_summary(spark, sf_dir):
 
 @query("degenerate_forecast", with_parts(f"""SELECT *, CAST(sd_ratio < 0.10 AS INT) AS degenerate FROM (
 SELECT series_id, model, horizon, fold, test_year, include_in_main, {rd('stddev_pop(pred) / nullif(stddev_pop(y_true), 0)', 6)} AS sd_ratio
-FROM preds WHERE model IN ('har', 'past_vol') GROUP BY ALL)""", "preds"))
+FROM preds GROUP BY ALL)""", "preds"))
 def degenerate_forecast(spark, sf_dir):
-    return rounded(metrics.degenerate_forecast(level(spark, sf_dir).filter(F.col("model").isin("har", "past_vol"))), 6)
+    return rounded(metrics.degenerate_forecast(level(spark, sf_dir)), 6)
 
 
 @query("best_of_models", with_parts(f"SELECT series_id, horizon, arg_min(model, rmse_fold_mean) AS best_model, {rd('min(rmse_fold_mean)', 6)} AS best FROM means GROUP BY ALL", "means"))
@@ -318,23 +319,32 @@ def effective_n_and_tier(spark, sf_dir):
                             folds.capacity_tier(n_eff).alias("tier")), 6, "n_effective")
 
 
-PRE = ("price_vol5", "price_vol20", "implied_lag1", "idx_a_lag1")
-_q = {x: (f"ln(1 + {x})") for x in PRE}
+_q = {x: f"ln(1 + f_{x})" if x in LOG_FEATURES else f"CAST(f_{x} AS DOUBLE)" for x in FEATURES}
+_LAST = "row_no >= 127"  # all 65 features are there: the longest window meets 126 returns before the row
+for _s in ("train", "test"):
+    part(f"{_s}_full", f"SELECT t.series_id, t.horizon, t.test_year, t.obs_date, {', '.join(f'{_q[x]} AS {x}' for x in FEATURES)} FROM {_s} t JOIN features f ON f.series_id = t.series_id AND f.row_no = t.row_no WHERE t.{_LAST}",
+         _s, "features")
+
+
+def _scaled(x):
+    lo, hi = (f"least(greatest({m}_{x}, lo_{x}), hi_{x})" for m in ("mn", "mx"))
+    return rd(f"(least(greatest(t.{x}, lo_{x}), hi_{x}) - {lo}) / CASE WHEN {hi} > {lo} THEN {hi} - {lo} ELSE 1 END", 6) + f" AS {x}"
 
 
 @query("winsor_and_minmax", with_parts("WITH q AS (SELECT series_id, horizon, test_year, " + ", ".join(
-    f"quantile_cont({_q[x]}, 0.005) AS lo_{x}, quantile_cont({_q[x]}, 0.995) AS hi_{x}, min({_q[x]}) AS mn_{x}, max({_q[x]}) AS mx_{x}"
-    for x in PRE) + " FROM train GROUP BY ALL) SELECT t.series_id, t.horizon, t.test_year, CAST(t.obs_date AS VARCHAR) AS obs_date, " + ", ".join(
-    rd(f"(least(greatest({_q[x]}, lo_{x}), hi_{x}) - least(greatest(mn_{x}, lo_{x}), hi_{x})) / "
-       f"(least(greatest(mx_{x}, lo_{x}), hi_{x}) - least(greatest(mn_{x}, lo_{x}), hi_{x}))", 6) + f" AS {x}" for x in PRE)
-    + " FROM test t JOIN q ON " + fs.on("t", "q"), "train", "test"))
+    f"quantile_cont({x}, 0.005) AS lo_{x}, quantile_cont({x}, 0.995) AS hi_{x}, min({x}) AS mn_{x}, max({x}) AS mx_{x}"
+    for x in FEATURES) + " FROM train_full GROUP BY ALL) SELECT t.series_id, t.horizon, t.test_year, CAST(t.obs_date AS VARCHAR) AS obs_date, "
+    + ", ".join(map(_scaled, FEATURES)) + " FROM test_full t JOIN q ON " + fs.on("t", "q"), "train_full", "test_full"))
 def winsor_and_minmax(spark, sf_dir):
-    r = rows(spark, sf_dir).filter(folds.complete(C.HAR))
-    train = folds.replicate_to_folds(folds.bucketed(r, YEARS), YEARS)
-    test = folds.test_rows(r, YEARS, PARTIAL)
-    keys = ["series_id", "horizon", "test_year"]
-    out = folds.apply_preprocess(test, folds.fit_preprocess(train, PRE, PRE, keys), PRE, PRE, keys)
-    return rounded(out.select("series_id", "horizon", "test_year", "obs_date", *PRE), 6)
+    """All 65 features of every fold, bounds by narrowed bands."""
+    from volpanel.catalog import window_queries as wq
+    from volpanel.operators.trees import full_rows
+
+    keys = ["series_id", "horizon"]
+    r = fx.remember(spark, sf_dir, "complete_rows", lambda: full_rows(wq.features(spark, sf_dir), frame(spark, sf_dir), H).filter(folds.complete(FEATURES)))
+    fits = folds.fit_preprocess(folds.bucketed(r, YEARS), FEATURES, LOG_FEATURES, YEARS, keys)
+    out = folds.apply_preprocess(folds.test_rows(r, YEARS, PARTIAL), fits, FEATURES, LOG_FEATURES, keys)
+    return rounded(out.select("series_id", "horizon", "test_year", "obs_date", *FEATURES), 6)
 
 
 @query("target_transform", with_parts(f"""SELECT series_id, horizon, test_year, CAST(obs_date AS VARCHAR) AS obs_date,

@@ -9,6 +9,7 @@ from volpanel.catalog.forecast_queries import fold_table, frame, level, means
 from volpanel.catalog.registry import query, rounded
 from volpanel.catalog.sql import part, rd, with_parts
 from volpanel.functions import tails
+from volpanel.operators import descriptive
 from volpanel.operators import stattests as st
 
 PAIRS = [("har", "har_x"), ("har_x", "past_vol"), ("har", "past_vol"), ("har_x", "train_mean"), ("har", "har_implied")]
@@ -342,32 +343,48 @@ def ljung_box(spark, sf_dir):
         "series_id", "variable", "q", "p"), 6, q=4)
 
 
-ADF_VARS, ADF_LAGS = ("ret", "price", "implied"), 12
-_wa = "(PARTITION BY series_id, variable ORDER BY i)"
-part("adf0", f"SELECT series_id, variable, i, x - lag(x) OVER {_wa} AS d0, lag(x) OVER {_wa} AS level FROM vals WHERE variable IN {ADF_VARS}", "vals")
-part("adfl", "SELECT *, " + ", ".join(f"lag(d0, {k}) OVER {_wa} AS d{k}" for k in range(1, ADF_LAGS + 1)) + " FROM adf0", "adf0")
-for _q in range(ADF_LAGS + 1):
-    # the level is eliminated last, so its own pivot gives the standard error
-    _cols = [f"d{k}" for k in range(1, _q + 1)] + ["level"]
-    for _t, _least in (("c", ADF_LAGS), ("f", _q)):
-        part(f"adfs{_t}{_q}", f"SELECT * FROM adfl WHERE d{_least} IS NOT NULL AND level IS NOT NULL", "adfl")
-        fs.ols_parts(f"adf{_t}{_q}", _cols, f"adfs{_t}{_q}", "d0", "series_id, variable")
-        _p = len(_cols)
-        _gain = " + ".join(f"b{k} * b{k} / a{k}_{k}" for k in range(_p))
-        part(f"adfr{_t}{_q}", f"SELECT series_id, variable, {_q} AS q, n, n * (sdy * sdy - ({_gain})) AS rss, b{_q} / a{_q}_{_q} AS beta, a{_q}_{_q} AS piv FROM eadf{_t}{_q}_{_p}", f"eadf{_t}{_q}_{_p}")
-_adf = {t: " UNION ALL ".join(f"SELECT * FROM adfr{t}{q}" for q in range(ADF_LAGS + 1)) for t in ("c", "f")}
-
-
-@query("augmented_dickey_fuller", with_parts(f"""WITH b AS (SELECT series_id, variable, arg_min(q, n * ln(rss / n) + 2 * (q + 2)) AS q FROM ({_adf['c']}) GROUP BY ALL),
-t AS (SELECT f.*, beta / sqrt(rss / (n - q - 2) / (n * piv)) AS stat FROM ({_adf['f']}) f JOIN b USING (series_id, variable, q))
-SELECT series_id, variable, {rd('stat', 5)} AS adf_stat, CAST(q AS INT) AS adf_lag, n AS n_used,
-CASE WHEN stat < -3.43035 THEN '1' WHEN stat < -2.86154 THEN '5' WHEN stat < -2.56677 THEN '10' ELSE 'none' END AS rejects_at_pct FROM t""",
-    *[f"adfr{t}{q}" for t in ("c", "f") for q in range(ADF_LAGS + 1)]))
-def augmented_dickey_fuller(spark, sf_dir):
-    from volpanel.operators.descriptive import adf
+_G = "series_id, variable"
+part("adf_n", f"SELECT {_G}, n, CAST(least(ceil(12 * pow(n / 100.0, 0.25)), n // 2 - 2) AS INT) AS top FROM (SELECT {_G}, count(*) AS n FROM vals GROUP BY ALL)", "vals")
+part("adf_d", f"SELECT {_G}, row_number() OVER w - 1 AS t, x - lag(x) OVER w AS d, lag(x) OVER w AS level FROM vals WINDOW w AS (PARTITION BY {_G} ORDER BY i)", "vals")
+# values of row t by regressor: j >= 0 the difference j rows before (0: what is explained), -1 the level
+part("adf_v", f"""SELECT {_G}, t + j AS t, j, d AS v FROM (SELECT a.*, unnest(range(0, top + 1)) AS j FROM adf_d a JOIN adf_n USING ({_G}) WHERE d IS NOT NULL) JOIN adf_n USING ({_G}) WHERE t + j < n
+UNION ALL SELECT {_G}, t, -1, level FROM adf_d WHERE level IS NOT NULL""", "adf_d", "adf_n")
 
-    f = frame(spark, sf_dir)
-    return rounded(adf(f, list(ADF_VARS), ADF_LAGS), 5)
+
+def _adf_products(orders: str) -> str:
+    """Centred products over the rows with ``q`` lagged differences, q by group from ``orders``."""
+    return f"""SELECT {_G}, q, a.j AS r, b.j AS c, covar_pop(a.v, b.v) AS m, count(*) AS n FROM adf_v a JOIN adf_v b USING ({_G}, t) JOIN ({orders}) o USING ({_G})
+WHERE t > q AND a.j <= q AND b.j <= q GROUP BY ALL"""
+
+
+def _adf_sweep(source: str, first: int, last: str) -> str:
+    """Take regressors ``first``, first + 1, ... out one by one; step s is the matrix without those up to s."""
+    return f"""SELECT {_G}, q, {first - 1} AS s, r, c, m, n FROM {source}
+UNION ALL SELECT x.series_id, x.variable, x.q, x.s + 1, x.r, x.c, x.m - u.m * v.m / p.m, x.n FROM {{0}} x
+JOIN {{0}} p ON p.series_id = x.series_id AND p.variable = x.variable AND p.r = p.c AND p.r = {last}
+JOIN {{0}} u ON u.series_id = x.series_id AND u.variable = x.variable AND u.r = x.r AND u.c = p.r
+JOIN {{0}} v ON v.series_id = x.series_id AND v.variable = x.variable AND v.r = p.r AND v.c = x.c
+WHERE x.r != p.r AND x.c != p.r AND x.s + 1 <= x.q"""
+
+
+# comparison: the level goes first (step 0), then the lags in turn; refit: only the lags (steps from 1), the level is left
+_ADF_Z = f"CASE WHEN stat <= {descriptive.ADF_STAR} THEN " + " + ".join(f"{c} * pow(stat, {i})" for i, c in enumerate(descriptive.ADF_SMALL)) + " ELSE " + " + ".join(
+    f"{c} * pow(stat, {i})" for i, c in enumerate(descriptive.ADF_LARGE)) + " END"
+_PHI = "0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - (k + 1) * ln(2.0) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+
+
+@query("augmented_dickey_fuller", with_parts(f"""WITH c0 AS MATERIALIZED ({_adf_products(f"SELECT {_G}, top AS q FROM adf_n")}),
+cs AS ({_adf_sweep("c0", 0, "CASE WHEN x.s + 1 = 0 THEN -1 ELSE x.s + 1 END").format("cs")}),
+b AS MATERIALIZED (SELECT {_G}, arg_min(s, n * ln(m) + 2 * (s + 2)) AS q FROM cs WHERE r = 0 AND c = 0 AND s >= 0 GROUP BY ALL),
+f0 AS MATERIALIZED ({_adf_products(f"SELECT {_G}, q FROM b")}),
+fs AS ({_adf_sweep("f0", 1, "x.s + 1").format("fs")}),
+l AS (SELECT {_G}, q, n, max(m) FILTER (WHERE r = -1 AND c = -1) AS piv, max(m) FILTER (WHERE r = -1 AND c = 0) AS b, max(m) FILTER (WHERE r = 0 AND c = 0) AS yy FROM fs WHERE s = q GROUP BY ALL),
+t AS (SELECT *, b / piv / sqrt((yy - b * b / piv) / (n - q - 2) / piv) AS stat FROM l),
+p AS (SELECT *, {_ADF_Z} AS z FROM t)
+SELECT {_G}, {rd('stat', 5)} AS adf_stat, CAST(q AS INT) AS adf_lag, n AS n_used, {rd(f"CASE WHEN stat > {descriptive.ADF_RANGE[1]} THEN 1 WHEN stat < {descriptive.ADF_RANGE[0]} THEN 0 ELSE {_PHI} END", 5)} AS p,
+CASE WHEN stat < -3.43035 THEN '1' WHEN stat < -2.86154 THEN '5' WHEN stat < -2.56677 THEN '10' ELSE 'none' END AS rejects_at_pct FROM p""", "adf_v", "adf_n", recursive=True))
+def augmented_dickey_fuller(spark, sf_dir):
+    return rounded(descriptive.adf(frame(spark, sf_dir), list(VARS)), 5)
 
 
 @query("normal_quantiles", with_parts("""

@@ -283,15 +283,21 @@ def high_corr_pairs(spark, sf_dir):
     return rounded(pairs(features(spark, sf_dir), ft.FEATURES, C.CORR_THRESHOLD), 6)
 
 
+_RISING = "list_sum([" + ", ".join(f"CAST(f_{c} > lag(f_{c}, 19) OVER o AS INT)" for c in ft.FEATURES) + "])"
+
+
 @query("lookback_sequences", with_parts(f"""
-SELECT {KEY_SQL}, CAST(20 AS INT) AS steps, {rd('sum(price_vol5) OVER w', 6)} AS sum_vol5, {rd('sum(price_vol20) OVER w', 6)} AS sum_vol20
-FROM (SELECT * FROM own) WINDOW w AS (PARTITION BY series_id ORDER BY row_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
-QUALIFY count(price_vol5) OVER w = 20 AND count(price_vol20) OVER w = 20""", "own"))
+SELECT {KEY_SQL}, CAST(20 AS INT) AS steps, CAST({len(ft.FEATURES)} AS INT) AS width, {rd('sum(f_price_vol5) OVER w', 6)} AS sum_vol5, {rd('sum(f_price_vol20) OVER w', 6)} AS sum_vol20,
+CAST({_RISING} AS INT) AS n_risen, {rd('sum(f_implied_spike) OVER w', 6)} AS n_spikes
+FROM features WINDOW o AS (PARTITION BY series_id ORDER BY row_no), w AS (PARTITION BY series_id ORDER BY row_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+QUALIFY count(CASE WHEN {" AND ".join(f"f_{c} IS NOT NULL" for c in ft.FEATURES)} THEN 1 END) OVER w = 20""", "features"))
 def lookback_sequences(spark, sf_dir):
-    df = ft.lookback_sequences(features(spark, sf_dir), ["price_vol5", "price_vol20"], 20)
-    total = lambda i: F.aggregate("sequence", F.lit(0.0), lambda a, v: a + v[i])
-    return rounded(df.select(*KEY, F.size("sequence").alias("steps"), total(0).alias("sum_vol5"),
-                             total(1).alias("sum_vol20")), 6)
+    """The last 20 vectors of all 65 features; checked by sums of some and by how many end above their start."""
+    df = ft.lookback_sequences(features(spark, sf_dir), ft.FEATURES, 20)
+    total = lambda c: F.aggregate("sequence", F.lit(0.0), lambda a, v: a + v[ft.FEATURES.index(c)])
+    risen = F.aggregate(F.zip_with(F.element_at("sequence", -1), F.element_at("sequence", 1), lambda b, a: (b > a).cast("int")), F.lit(0), lambda s, v: s + v)
+    return rounded(df.select(*KEY, F.size("sequence").alias("steps"), F.size(F.element_at("sequence", 1)).alias("width"), total("price_vol5").alias("sum_vol5"),
+                             total("price_vol20").alias("sum_vol20"), risen.alias("n_risen"), total("implied_spike").alias("n_spikes")), 6)
 
 
 @query("cumulative_counts", with_parts(f"""SELECT {KEY_SQL},

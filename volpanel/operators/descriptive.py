@@ -1,5 +1,6 @@
 """Descriptive statistics of long value tables (keys, ``i``, ``x``)."""
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,14 @@ from pyspark.sql import functions as F
 from volpanel.functions import tails
 from volpanel.operators.panel import CHUNK_ROWS, add_chunks, chunk_window, core_rows
 from volpanel.operators.stattests import acf
+from volpanel.sources.stage import stage
 
 # Asymptotic critical values of the test with a constant (MacKinnon).
 ADF_CRITICAL = {"1": -3.43035, "5": -2.86154, "10": -2.56677}
+# P-values with a constant (MacKinnon 1994): polynomials below and above a point, and where they hold.
+ADF_SMALL = (2.1659, 1.4412, 0.038269)
+ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_STAR, ADF_RANGE = -1.61, (-18.83, 2.74)
 
 
 def descriptive_stats(values: DataFrame, x: str, keys) -> DataFrame:
@@ -46,81 +52,96 @@ def ljung_box(values: DataFrame, x: str, lags: int, keys) -> DataFrame:
     return q.withColumn("p", tails.chi2_sf(F.col("q"), F.lit(float(lags))))
 
 
-def adf(frame: DataFrame, variables, max_lag: int, keys=("series_id",)) -> DataFrame:
-    """Augmented Dickey-Fuller statistic with a constant, lag order by AIC.
-
-    One pass: rows carry the level and its lagged differences, moments add up
-    over chunks, and the nested lag orders are all solved from the same moment
-    matrix. Orders are compared on common rows and the chosen one is refitted on
-    all rows it can use. The verdict compares with asymptotic critical values.
+def adf_top(n: int) -> int:
+    """Highest lag order for n values."""
+    return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+
+
+def adf_p(stat: float) -> float:
+    """Approximate p-value of the statistic with a constant, from the response surface."""
+    if stat > ADF_RANGE[1]:
+        return 1.0
+    if stat < ADF_RANGE[0]:
+        return 0.0
+    z = sum(c * stat ** i for i, c in enumerate(ADF_SMALL if stat <= ADF_STAR else ADF_LARGE))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def adf_moments(r: dict, q: int) -> tuple[int, np.ndarray]:
+    """(rows, centred products) of level, d1..dq and d0 over the rows that have q lagged differences.
+
+    Row t pairs d(t - i) with d(t - j): the sum over all t is the product sum at distance j - i, less its first and last
+    terms, which the first and last q + 1 values give."""
+    first, last, a, b = r["first"][:q + 1], r["last"][len(r["last"]) - q - 1:], r["a"], r["b"]
+    df, dl, n = np.diff(first), np.diff(last), r["n"] - 1 - q
+    s = np.zeros((q + 2, q + 2))  # level, d0, d1, ...
+    for k in range(q + 1):
+        early = np.append(0.0, np.cumsum(df[k:] * df[:q - k]))
+        late = np.append(0.0, np.cumsum((dl[k:] * dl[:q - k])[::-1]))
+        for i in range(q + 1 - k):
+            s[1 + i, 1 + i + k] = s[1 + i + k, 1 + i] = a[k] - early[q - i - k] - late[i]
+        s[0, 1 + k] = s[1 + k, 0] = b[k] - first[k:q] @ df[:q - k]
+    s[0, 0] = r["xx"] - last[-1] ** 2 - first[:q] @ first[:q]
+    one = np.concatenate([[r["x"] - last[-1] - first[:q].sum()], last[::-1][:q + 1] - first[::-1][:q + 1]])
+    s -= np.outer(one, one) / n
+    order = [0, *range(2, q + 2), 1]
+    return n, s[np.ix_(order, order)]
+
+
+def adf_fit(r: dict, top: int) -> tuple[float, int, int] | None:
+    """(statistic, lag order, rows used): orders are compared on the rows that all can use, the best one is refitted."""
+    try:
+        n, c = adf_moments(r, top)
+        low = np.linalg.cholesky(c)  # nested: the first columns serve the lower orders
+        rss = c[-1, -1] - np.cumsum(low[-1, :-1] ** 2)
+        q = int(np.argmin(n * np.log(rss / n) + 2 * (np.arange(top + 1) + 2)))
+        n, c = adf_moments(r, q)
+        order = [*range(1, q + 1), 0, q + 1]
+        low = np.linalg.cholesky(c[np.ix_(order, order)])
+    except np.linalg.LinAlgError:
+        return None
+    return float(low[-1, -2] / np.sqrt(low[-1, -1] ** 2 / (n - q - 2))), q, n
+
+
+def adf(frame: DataFrame, variables, max_lag: int | None = None, keys=("series_id",)) -> DataFrame:
+    """Augmented Dickey-Fuller statistic with a constant, lag order by AIC up to a bound that follows each series' length.
+
+    One pass over the rows leaves, per series and variable, the product sums at distances 0, 1, ... and the first and
+    last few values; every moment matrix follows from these, so the width is linear in the lag bound, which
+    may differ by series. A series that is too short or whose moments are singular has no row.
     """
-    keys = list(keys)
-    w = chunk_window([*keys, "variable"])
+    by = [*keys, "variable"]
     long = frame.select(*keys, "row_no", F.inline(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])))
-    long = dense_index(long.filter("x is not null"), [*keys, "variable"], "row_no")
-    df = add_chunks(long, back=max_lag + 2)
-    df = df.withColumn("d0", F.col("x") - F.lag("x", 1).over(w))
-    df = df.withColumns({"level": F.lag("x", 1).over(w),
-                         **{f"d{k}": F.lag("d0", k).over(w) for k in range(1, max_lag + 1)}})
-    df = core_rows(df).filter("d0 is not null")
-    xs = ["level"] + [f"d{k}" for k in range(1, max_lag + 1)]
-    lags_there = sum((F.col(c).isNotNull().cast("int") for c in xs[1:]), F.lit(0))
-    # rows by how many lagged differences they have: full rows, and the first few of a series
-    cols = [*xs, "d0"]
-    k = len(cols)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = (df.withColumn("depth", lags_there).withColumn("chunk", F.floor(F.col("row_no") / CHUNK_ROWS))
-            .groupBy(*keys, "variable", "depth").agg(
-                F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]))
-    packed = sums.groupBy(*keys, "variable").agg(F.collect_list(F.struct(*[c for c in sums.columns if c not in (*keys, "variable")])).alias("parts"))
-
-    def merged(parts, least):
-        """Moments of all rows with at least ``least`` lagged differences."""
-        use = [p for p in parts if p["depth"] >= least]
-        n = sum(p["n"] for p in use)
-        idx = [0, *range(1, least + 1), k - 1]
-        m = np.array([[p[f"m{i}"] for i in idx] for p in use], "float64")
-        wts = np.array([p["n"] for p in use], "float64")
-        mean = wts @ m / n
-        c = np.zeros((len(idx), len(idx)))
-        for p, mi, wt in zip(use, m, wts):
-            for a, i in enumerate(idx):
-                for b, j in enumerate(idx):
-                    c[a, b] += wt * (p[f"c{min(i, j)}_{max(i, j)}"] + (mi[a] - mean[a]) * (mi[b] - mean[b]))
-        return n, mean, c
-
-    def fit(n, c, q):
-        """Residual sum and t of the level with q lagged differences."""
-        a, b = c[:q + 1, :q + 1], c[:q + 1, -1]
-        beta = np.linalg.lstsq(a, b, rcond=None)[0]
-        rss = max(c[-1, -1] - b @ beta, 1e-300)
-        s2 = rss / (n - q - 2)
-        return rss, beta[0] / np.sqrt(s2 * np.linalg.pinv(a)[0, 0])
+    long = dense_index(long.filter("x is not null"), by, "row_no")
+    n = F.col("n")
+    rule = F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2).cast("int")
+    sizes = long.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    sizes = stage(sizes.withColumn("top", rule if max_lag is None else F.least(rule, F.lit(max_lag))).filter("top >= 0"), "adf_sizes")
+    top = sizes.agg(F.max("top")).first()[0] or 0
+    w = chunk_window(by)
+    df = add_chunks(long.join(sizes, by).withColumn("x", F.col("x") - F.col("mean")), back=top + 2)
+    df = df.withColumns({"level": F.lag("x", 1).over(w), "d": F.col("x") - F.lag("x", 1).over(w)})
+    df = core_rows(df.withColumns({f"d{k}": F.lag("d", k).over(w) for k in range(1, top + 1)}).withColumn("d0", F.col("d")))
+    edge = F.struct("row_no", "x")
+    sums = df.groupBy(*by, "n", "top").agg(
+        F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"),
+        F.array(*[F.sum(F.col("d0") * F.col(f"d{k}")) for k in range(top + 1)]).alias("a"),
+        F.array(*[F.sum(F.col("level") * F.col(f"d{k}")) for k in range(top + 1)]).alias("b"),
+        F.array_sort(F.collect_list(F.when(F.col("row_no") <= F.col("top") + 1, edge))).alias("first"),
+        F.array_sort(F.collect_list(F.when(F.col("row_no") >= n - F.col("top"), edge))).alias("last"))
+    sums = sums.withColumns({c: F.transform(c, lambda e: e["x"]) for c in ("first", "last")})
+    names = [*by, "adf_stat", "adf_lag", "n_used", "p", "rejects_at_pct"]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                parts = list(r["parts"])
-                if not any(p["depth"] == max_lag for p in parts):
-                    continue
-                n, _, c = merged(parts, max_lag)
-                if n <= 2 * max_lag + 4:
-                    continue
-                aic = []
-                for q in range(max_lag + 1):
-                    pick = [*range(q + 1), max_lag + 1]
-                    rss, _ = fit(n, c[np.ix_(pick, pick)], q)
-                    aic.append(n * np.log(rss / n) + 2 * (q + 2))
-                q = int(np.argmin(aic))
-                n, _, c = merged(parts, q)
-                _, t = fit(n, c, q)
-                verdict = next((lv for lv in ("1", "5", "10") if t < ADF_CRITICAL[lv]), "none")
-                rows.append({**{x: r[x] for x in keys}, "variable": r["variable"], "adf_stat": float(t),
-                             "adf_lag": q, "n_used": int(n), "rejects_at_pct": verdict})
-            yield pd.DataFrame(rows, columns=[*keys, "variable", "adf_stat", "adf_lag", "n_used", "rejects_at_pct"])
+                r |= {c: np.array([np.nan if v is None else v for v in r[c]], float) for c in ("a", "b", "first", "last")}
+                if (got := adf_fit(r, r["top"])) is not None and np.isfinite(got[0]):
+                    verdict = next((lv for lv in ("1", "5", "10") if got[0] < ADF_CRITICAL[lv]), "none")
+                    rows.append((*[r[c] for c in by], *got, adf_p(got[0]), verdict))
+            yield pd.DataFrame(rows, columns=names)
 
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name in keys)
-    return packed.mapInPandas(choose, f"{key_types}, variable string, adf_stat double, adf_lag int, n_used long, rejects_at_pct string")
+    return sums.mapInPandas(choose, f"{key_types}, variable string, adf_stat double, adf_lag int, n_used long, p double, rejects_at_pct string")

@@ -156,28 +156,29 @@ def minmax(x: Column, lo: Column, hi: Column) -> Column:
     return (x - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
 
 
-def fit_preprocess(train: DataFrame, columns, log_columns, groups) -> DataFrame:
-    """Per group and column: winsor bounds and range of the (logged) training values.
+def fit_preprocess(rows: DataFrame, columns, log_columns, test_years, keys) -> DataFrame:
+    """Per fold and column: winsor bounds and range of the (logged) training values, as rows of ``feature``.
 
-    The smallest clipped value is max(min, lower bound), so one pass gives both
-    the bounds and the scale.
+    ``rows`` are training rows by bucket. The smallest clipped value is max(min, lower bound), so bounds and
+    scale come from the same passes.
     """
-    train = train.withColumns({c: F.log1p(F.col(c)) for c in log_columns})
-    lo, hi = C.WINSOR
-    return train.groupBy(*groups).agg(*[
-        F.struct(F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias("q"), F.min(c).alias("lo"),
-                 F.max(c).alias("hi")).alias(f"_p_{c}") for c in columns])
+    from volpanel.operators.quantiles import fold_quantiles
 
+    rows = rows.select(*keys, "fit_from", *[(F.log1p(c) if c in log_columns else F.col(c)).alias(c) for c in columns])
+    return fold_quantiles(rows, columns, C.WINSOR, test_years, keys)
 
-def apply_preprocess(rows: DataFrame, fits: DataFrame, columns, log_columns, groups) -> DataFrame:
-    """log1p, clip and min-max scale by the fitted values; test rows may leave [0, 1]."""
-    out = rows.withColumns({c: F.log1p(F.col(c)) for c in log_columns}).join(fits, list(groups))
+
+def apply_preprocess(rows: DataFrame, fits: DataFrame, columns, log_columns, keys) -> DataFrame:
+    """log1p, clip and min-max scale by the fitted values; test rows may leave [0, 1]. A column without fit is NULL."""
+    packed = fits.groupBy(*keys, "test_year").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("q", "lo", "hi")))).alias("_fits"))
+    out = rows.join(packed, [*keys, "test_year"])
     scaled = {}
     for c in columns:
-        q, lo, hi = F.col(f"_p_{c}.q"), F.col(f"_p_{c}.lo"), F.col(f"_p_{c}.hi")
+        fit = F.col("_fits")[F.lit(c)]
 
-        def clipped(x, q=q):
-            return F.least(F.greatest(x, q[0]), q[1])
+        def clipped(x, fit=fit):
+            return F.least(F.greatest(x, fit["q"][0]), fit["q"][1])
 
-        scaled[c] = F.when(F.col(c).isNotNull(), minmax(clipped(F.col(c)), clipped(lo), clipped(hi)))
-    return out.withColumns(scaled).drop(*[f"_p_{c}" for c in columns])
+        x = F.log1p(c) if c in log_columns else F.col(c).cast("double")
+        scaled[c] = F.when(F.col(c).isNotNull() & fit.isNotNull(), minmax(clipped(x), clipped(fit["lo"]), clipped(fit["hi"])))
+    return out.withColumns(scaled).drop("_fits")
