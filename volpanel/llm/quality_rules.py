@@ -5,10 +5,12 @@
 2. Votes are counted by pattern over all documents (combined before the shuffle;
    at most 3 ** len(RULES) patterns, whatever the input).
 3. Expectation-maximisation on the pattern counts: classes good and bad, and for
-   each rule its rate of bad, abstain and good votes in either class. Weak priors
-   (a rule seldom calls a good text bad; a bad text mostly shows one or two defects)
-   hold the estimates where there are few texts. Texts that fail the base limits are
-   decided and take no part.
+   each rule its rate of bad, abstain and good votes in either class. Priors worth
+   WEIGHT texts, whatever the corpus, hold the estimates where there are few texts;
+   beyond, the texts decide how far each rule is to be trusted, and a rule that fires
+   in good texts too loses its say. What the classes mean is held by bounds, not by
+   priors: no rule is worse than chance, and bad texts have LEAST_DEFECTS defects on
+   average at least. Texts that fail the base limits are decided and take no part.
 4. Each pattern's posterior probability of good replaces all-must-pass filtering:
    a text goes if it is below ``least``, or fails the two base limits.
 
@@ -28,6 +30,8 @@ from volpanel.llm.common import LOWER, binaries, gram_hashes, per_batch, word_ha
 from volpanel.sources.stage import stage
 
 BAD, NONE, GOOD = 0, 1, 2
+#: Texts that a prior is worth; defects of a bad text on average, at least.
+WEIGHT, LEAST_DEFECTS = 50, 0.5
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = frozenset(
     "a and are as at be by for from have in is it not of on or that the this to was were which will with you "
@@ -119,7 +123,21 @@ def votes(m: Measures) -> int:
     return out
 
 
-def fit(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray]:
+def bounded(rates: np.ndarray) -> np.ndarray:
+    """The rates with every rule at chance or better and enough defects in bad texts; rates[class][rule][vote], class 1 is good."""
+    out = rates.copy()
+    for vote, better in ((BAD, 0), (GOOD, 1)):
+        worse = out[better, :, vote] < out[1 - better, :, vote]
+        out[:, worse, vote] = out[:, worse, vote].mean(0)
+    defects = np.array([r is _DEFECT for _, r in RULES.values()])
+    short = LEAST_DEFECTS - out[0, defects, BAD].sum()
+    if short > 0:
+        out[0, defects, BAD] += short / defects.sum()
+    out[:, :, NONE] = np.maximum(1 - out[:, :, BAD] - out[:, :, GOOD], 1e-9)
+    return out / out.sum(2, keepdims=True)
+
+
+def fit(counts: dict[int, int], rounds: int = 500) -> tuple[dict[int, float], np.ndarray]:
     """Posterior probability of good per pattern, and rates[class][rule][vote] (class 1: good)."""
     k = len(RULES)
     patterns = sorted(counts)
@@ -129,17 +147,14 @@ def fit(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np
     v = np.array([[p // 3 ** (k - 1 - j) % 3 for j in range(k)] for p in patterns])
     one = np.eye(3)[v]  # pattern x rule x vote
     rates, share = np.array([rates for _, rates in RULES.values()]).transpose(1, 0, 2), 0.8
-    # priors worth 50 texts; for defects as many as there are, in both classes: that is what good and bad mean. Which
-    # merits texts have is for the data to say
-    firm = np.array([50 if rates is _MERIT else max(50, n.sum()) for _, rates in RULES.values()])
-    prior = rates * firm[None, :, None]
+    prior = rates * WEIGHT
     for _ in range(rounds):
         log = np.array([(one * np.log(rates[c])).sum((1, 2)) for c in (0, 1)])
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log(1 - share) - np.log(share), -700, 700)))
         weight = np.array([n * (1 - good), n * good])
         rates = prior + np.einsum("cp,prv->crv", weight, one)
-        rates /= rates.sum(2, keepdims=True)
-        before, share = share, (weight[1].sum() + 40) / (n.sum() + 50)
+        rates = bounded(rates / rates.sum(2, keepdims=True))
+        before, share = share, (weight[1].sum() + 0.8 * WEIGHT) / (n.sum() + WEIGHT)
         if abs(share - before) < 1e-12:
             break
     return dict(zip(patterns, good.tolist(), strict=True)), rates
