@@ -6,36 +6,50 @@ from pyspark.sql import functions as F
 from volpanel.operators import features as ft
 from volpanel.operators.alignment import features_as_published, release_monday
 from volpanel.operators.panel import add_chunks, chunk_window, core_rows
+from volpanel.operators.asof import asof_join
 from volpanel.operators.stattests import average_rank
+from volpanel.sources.stage import stage
 
 INDEX_COLUMNS = [c for c in ft.FEATURES if "idx_" in c or c == "index_ratio"]
 
 
+#: Rows on both sides of a spoiled day that a variant holds; the longest window meets 127 rows.
+REACH = 160
+
+
 def availability_sensitivity(numbered: DataFrame, sampled: Column, keys=("series_id",)) -> DataFrame:
     """Spoil what was not yet published at row t; rows up to t must not change.
 
-    Each sampled row is a variant of its series, so all run as one plan. The
-    control uses the plain one-row lag and must change at row t.
+    Each sampled row is a variant of its series, so all run as one plan. A variant holds the REACH rows on both sides
+    of its own, renumbered from 0: the longest window ends inside, and a look-ahead of that length would show. The
+    control uses the plain one-row lag and must change at row t. ``n_perturbed`` counts all of the series' rows that were
+    not published, from the number published by each date.
     """
     keys = list(keys)
     w = chunk_window(keys)
     prev = core_rows(add_chunks(numbered, back=1).withColumn("cut", F.lag("obs_date", 1).over(w)))
-    cuts = prev.filter(sampled & F.col("cut").isNotNull()).select(*keys, F.col("row_no").alias("t"), "cut")
+    cuts = stage(prev.filter(sampled & F.col("cut").isNotNull()).select(*keys, F.col("row_no").alias("t"), "cut"), "cuts")
     base = numbered.withColumn("publication_date", release_monday(F.col("obs_date")))
-    rows = base.join(cuts, keys)
+    # publication dates ascend with the rows, which are numbered from 0
+    by_date = base.groupBy(*keys, "publication_date").agg((F.max("row_no") + 1).alias("upto"))
+    known = asof_join(cuts, by_date, keys, "cut", "publication_date", ["upto"], tie=("upto",))
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    vkeys = [*keys, "t"]
+    n_hidden = known.join(sizes, keys).select(*vkeys, (F.col("n") - F.coalesce("upto", F.lit(0))).alias("n_perturbed"))
+    first = F.greatest(F.col("t") - REACH, F.lit(0))
+    near = cuts.withColumn("row_no", F.explode(F.sequence(first, F.col("t") + REACH)))
+    rows = base.join(near, [*keys, "row_no"]).withColumn("row_no", F.col("row_no") - first)
     hidden = F.col("publication_date") > F.col("cut")
     spoiled = rows.withColumns({x: F.when(hidden, F.col(x) * 3.0 + 50.0).otherwise(F.col(x)) for x in ft.INDEXES})
-    vkeys = [*keys, "t"]
-    n_hidden = rows.groupBy(*vkeys).agg(F.count_if(hidden).alias("n_perturbed"))
 
     def compare(build):
         a, b = build(rows), build(spoiled)
-        x = a.filter(F.col("row_no") <= F.col("t")).select(*vkeys, "row_no", F.struct(*INDEX_COLUMNS).alias("_a"))
+        x = a.filter(F.col("row_no") <= F.col("t") - first).select(*vkeys, "row_no", F.struct(*INDEX_COLUMNS).alias("_a"))
         y = b.select(*vkeys, "row_no", F.struct(*INDEX_COLUMNS).alias("_b"))
         j = x.join(y, [*vkeys, "row_no"])
         changed = ~F.col("_a").eqNullSafe(F.col("_b"))
         return j.groupBy(*vkeys).agg(F.count_if(changed).alias("n"), F.max(
-            (changed & (F.col("row_no") == F.col("t"))).cast("int")).alias("at_t"))
+            (changed & (F.col("row_no") == F.col("t") - first)).cast("int")).alias("at_t"))
 
     pub = compare(lambda d: features_as_published(d, "publication_date", vkeys))
     lag = compare(lambda d: ft.build_features(d, vkeys))
