@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. First pass: blocks inside scripts
 styles, navigation, footers, sidebars, forms and the like, or under a class, id or role
 that names such a part, are bad; so are blocks that are mostly links. If the page marks
 its article, blocks outside are bad; inside, long blocks and blocks with function words
-are good. The article itself and what encloses it are bad only by a whole class, id or role
+are good, and a class, id or role counts only if all its words name boilerplate ('related-posts', not 'social-history').
+The article itself and what encloses it are bad only by a whole class, id or role
 ('sidebar', not 'has-sidebar'). Without a marked article, length and stop-word density decide. Second pass:
 undecided short blocks take the label of the nearest decided neighbour (equally near:
 the one before); the edge of a marked article counts as good.
@@ -42,11 +43,20 @@ _NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor spon
                    "footer sidebar side aside widget related recommended comment comments commentlist disqus replies respond cookie cookies consent gdpr notice "
                    "notices alert popup modal newsletter subscribe subscription signup share sharing social login search pagination pager toolbar skip complementary contentinfo "
                    "form".split())
+#: Words that may stand beside them where only a whole name counts (fixed values).
+_BOX = frozenset("area article bar block bottom box button buttons container entry icons inline item items leaderboard left link links list mobile page panel "
+                 "post posts reader right section site slot stories thread top unit user wrapper".split())
 _HEADS = frozenset("header masthead topbar".split())
 SHORT, LONG, SOME_STOP, MANY_STOP, LINKS = 70, 200, 0.1, 0.2, 0.5
 BAD, NONE, GOOD = 0, 1, 2
 
 
+def _box(attributes: str) -> bool:
+    """Whether a class, id or role is made of boilerplate words alone ('share', 'related-posts', not 'social-history')."""
+    return any(words & _NAMED and words <= _NAMED | _BOX for name in _names(attributes, r"\s+")
+               for words in [{w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}])
+
+
 def _names(attributes: str, split: str = r"[^a-z0-9]+") -> set[str]:
     return {t for m in _NAMES.finditer(attributes) for t in re.split(split, (m[1] or m[2] or m[3] or "").lower())}
 
@@ -114,14 +124,15 @@ def blocks(page: str, wraps: frozenset[int] = frozenset()) -> list[tuple[str, in
                         names = whole
                     elif (names & _NAMED and not whole & _NAMED) or (names & _HEADS and not whole & _HEADS):
                         by_part.add(opened)
-                    bad = not page_level and (tag in _PARTS or tag == "head" or bool(names & _NAMED) or bool(_HIDDEN.search(attributes))
+                    named = _box(attributes) if n_article and not marks else bool(names & _NAMED)
+                    bad = not page_level and (tag in _PARTS or tag == "head" or named or bool(_HIDDEN.search(attributes))
                                               or not n_article and (tag == "header" or bool(names & _HEADS)))
                     numbers.append(opened)
                     opened += 1
                     stack.append((tag, bad, article))
                     open_[tag], n_bad, n_article = open_[tag] + 1, n_bad + bad, n_article + article
             elif not closing and attributes:
-                bad_block = bool(_names(attributes) & _NAMED) or bool(_HIDDEN.search(attributes))
+                bad_block = (_box(attributes) if n_article else bool(_names(attributes) & _NAMED)) or bool(_HIDDEN.search(attributes))
     flush()
     return out if wraps or not around & by_part else blocks(page, frozenset(around))
 
