@@ -6,17 +6,21 @@ match is a run of consecutive lines whose set of word bigrams has
 needs between ``dice * m / (2 - dice)`` and ``(2 - dice) * m / dice``; and a running count
 of positions that hold one of its bigrams bounds what a run can have in common.
 
-Per document and licence the best run is returned (highest coefficient, then the
-earlier, then the shorter one), unless it shares lines with a better run of another
-licence (at a tie: of the one named first). Notices inside longer lines: for each licence without
-such a run, windows of words over the whole text, outside the runs found, are compared in the same way; a window
-begins and ends with a bigram of the template, and holds its first bigram once. Documents are independent: nothing is shuffled.
+All matches of a document are returned that do not overlap: the best run of lines first (highest coefficient,
+then the earlier, the shorter, the licence named first), then the best that shares no line with it, and so on.
+Notices inside longer lines: windows of words over the whole text, outside the runs found, are compared and chosen in
+the same way; a window begins and ends with a bigram of the template, and holds its first bigram once. Documents are
+independent: nothing is shuffled.
 
 Defined results: null, empty or wordless text: no match. Lines without words add
 nothing to a run and do not break it, but no run begins or ends with one. Repeated rows keep
 their rows. Empty table: no rows. Other columns are ignored.
 """
 
+import heapq
+import itertools
+from bisect import bisect_right, insort
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -67,7 +71,7 @@ class Templates:
         self.high = [int((2 - dice) * len(s) / dice + 1e-9) for s in sets]
 
     def scan(self, b: bytes) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, first line, last line) of the best run for each licence; lines from 0."""
+        """(licence, coefficient, first line, last line) of every match; lines from 0."""
         lines = [(k, w) for k, line in enumerate(b.split(b"\n")) if (w := words(line))]
         if not lines:
             return []
@@ -83,7 +87,7 @@ class Templates:
         stop = np.cumsum([len(w) for _, w in lines])
         start = stop - [len(w) for _, w in lines]
         ids = None
-        best: dict[str, tuple] = {}
+        found: list[tuple] = []
         for name, s, low, high in zip(self.names, self.sets, self.low, self.high, strict=True):
             at = hits[np.isin(code[hits], s)]
             if len(np.unique(code[at])) < self.dice * (len(s) + low) / 2:
@@ -107,58 +111,71 @@ class Templates:
                         continue
                     value = 2 * len(np.unique(code[at[(at >= a) & (at < z - 1)]])) / (len(s) + own)
                     if value >= self.dice:
-                        new = (-value, lines[i][0], lines[j][0])
-                        best[name] = min(best.get(name, new), new)
+                        found.append((-value, i, j, name))
         out, taken = [], []
-        for (v, i, j), name in sorted((found, name) for name, found in best.items()):
-            if all(j < a or i > z for _, _, a, z in out):  # lines that match several licences count for the best
-                out.append((name, -v, i, j))
-                at = [k for k, _ in lines]
-                taken.append((int(start[at.index(i)]), int(stop[at.index(j)])))
+        for v, i, j, name in sorted(found):  # lines that match several times count for the best
+            a, z = int(start[i]), int(stop[j])
+            if _free(taken, a, z):
+                insort(taken, (a, z))
+                out.append((name, -v, lines[i][0], lines[j][0]))
         if ids is None:
             return out
         line_of = np.repeat([k for k, _ in lines], stop - start)
-        own = ids[:-1].astype(np.int64) * len(flat) + ids[1:]
-        left = {name for name in self.names if name not in {o[0] for o in out}}
-        while found := [w for w in (self.window(name, own, code, hits, taken) for name in sorted(left)) if w]:
-            v, a, z, name = min(found)
-            out.append((name, -v, int(line_of[a]), int(line_of[z - 1])))
-            taken.append((a, z))
-            left = {w[3] for w in found} - {name}  # who has none now has none later
-        return sorted(out)
-
-    def window(self, name: str, own: np.ndarray, code: np.ndarray, hits: np.ndarray, taken: list[tuple[int, int]]) -> tuple | None:
-        """(-coefficient, first word, end, licence) of the best window of words that shares none with ``taken``."""
-        best = None
-        ends = sorted(a for a, _ in taken) + [len(code) + 1]
-        for s, high in ((s, high) for n, s, high in zip(self.names, self.sets, self.high, strict=True) if n == name):
+        own = (ids[:-1].astype(np.int64) * len(flat) + ids[1:]).tolist()
+        heap = []
+        for name, s, low, high in zip(self.names, self.sets, self.low, self.high, strict=True):
             at = hits[np.isin(code[hits], s)]
-            need = self.dice * (len(s) + int(np.ceil(self.dice * len(s) / (2 - self.dice) - 1e-9))) / 2
+            need = self.dice * (len(s) + low) / 2
             if len(np.unique(code[at])) < need:
                 continue
             inside = set(at.tolist())
             for p in at.tolist():
-                if any(a <= p < z for a, z in taken):
-                    continue
-                end = next(a for a in ends if a > p) - 1  # the last bigram ends before the next run
-                seen, common, q = set(), 0, p
-                while q < end and (q == p or own[q] != own[p]):
-                    if own[q] not in seen:
-                        seen.add(own[q])
-                        if len(seen) > high:
-                            break
-                        if q in inside:
-                            common += 1
-                            value = 2 * common / (len(s) + len(seen))
-                            if value >= self.dice:
-                                new = (-value, p, q + 2, name)
-                                best = min(best or new, new)
-                    q += 1
+                if w := self.window(p, own, inside, len(s), high, taken):
+                    heap.append((*w, name, inside, len(s), high))
+        order = itertools.count()  # never compare the sets
+        heap = [(*x[:4], next(order), x) for x in heap]
+        heapq.heapify(heap)
+        while heap:
+            v, a, z, name, _, x = heapq.heappop(heap)
+            if _free(taken, a, z):
+                insort(taken, (a, z))
+                out.append((name, -v, int(line_of[a]), int(line_of[z - 1])))
+            elif w := self.window(a, own, *x[4:], taken):  # what is left of it scores less
+                heapq.heappush(heap, (*w, name, next(order), (*w, name, *x[4:])))
+        return sorted(out)
+
+    def window(self, p: int, own: list[int], inside: set[int], size: int, high: int, taken: list[tuple[int, int]]) -> tuple | None:
+        """(-coefficient, first word, end) of the best window of words from bigram ``p`` on that shares no word
+        with ``taken``, for a template of ``size`` bigrams, which lie at ``inside``."""
+        k = bisect_right(taken, (p, len(own) + 2))
+        if k and taken[k - 1][1] > p:
+            return None
+        end = (taken[k][0] if k < len(taken) else len(own) + 1) - 1  # the last bigram ends before the next run
+        best, seen, common = None, set(), 0
+        for q in range(p, end):
+            if q > p and own[q] == own[p]:
+                break
+            if own[q] not in seen:
+                seen.add(own[q])
+                if len(seen) > high:
+                    break
+                if q in inside:
+                    common += 1
+                    value = 2 * common / (size + len(seen))
+                    if value >= self.dice:
+                        new = (-value, p, q + 2)
+                        best = min(best or new, new)
         return best
 
 
+def _free(taken: list[tuple[int, int]], a: int, z: int) -> bool:
+    """Whether [a, z) shares nothing with the sorted, disjoint ranges ``taken``."""
+    k = bisect_right(taken, (a, z))
+    return (not k or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= z)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES, dice: float = 0.8) -> DataFrame:
-    """One row per document and licence found: ``key``, ``license``, ``dice``, ``first_line``, ``last_line``."""
+    """One row per match, as a document may hold a licence several times: ``key``, ``license``, ``dice``, ``first_line``, ``last_line``."""
     found = docs.sparkSession.sparkContext.broadcast(Templates(templates, dice))  # as large as the template parameter
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()),
                            T.StructField("first_line", T.LongType()), T.StructField("last_line", T.LongType())])
