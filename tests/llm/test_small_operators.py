@@ -267,6 +267,9 @@ def test_part_of_a_name_does_not_condemn_the_article():
         assert html_text.main_text(f"<{kind}><p>{BODY}</p></{kind.split()[0]}>") == BODY
         assert html_text.main_text(f"<div class='site has-sidebar'><div class='no-topbar'><{kind}><p>{BODY}</p><div class='post-share'>{BODY}</div></{kind.split()[0]}></div>"
                                    f"<div class='right-sidebar'><p>{BODY}</p></div></div>") == BODY
+    for name, stays in (("social-history", True), ("news-alert-body", True), ("lead post-promo2b", True), ("ad", False), ("x ad-slot-2", False), ("related-posts", False)):
+        for tag in ("p", "div"):
+            assert html_text.main_text(f"<article><p>{BODY}</p><{tag} class='{name}'>B x</{tag}></article>") == (f"{BODY}\nB x" if stays else BODY), name
     page = f"<article><p>{BODY}</p><div class=comments><article class=comment>{BODY}</article></div></article><div class=sidebar><article>{BODY}</article></div>"
     assert html_text.main_text(page) == BODY
 
@@ -277,7 +280,7 @@ def brute_licences(t, templates, dice=0.8):
     word = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(s))
     grams = lambda w: {(a, b) for a, b in zip(w, w[1:])}
     lines = [(k, word(x)) for k, x in enumerate((t or "").split("\n")) if word(x)]
-    best = {}
+    found = []
     for name, texts in templates.items():
         for s in (grams(word(x)) for x in texts):
             for i in range(len(lines)):
@@ -285,9 +288,9 @@ def brute_licences(t, templates, dice=0.8):
                     g = grams([w for _, x in lines[i:j + 1] for w in x])
                     if s and g and 2 * len(s & g) >= dice * (len(s) + len(g)):
                         v = (-2 * len(s & g) / (len(s) + len(g)), lines[i][0], lines[j][0])
-                        best[name] = min(best.get(name, v), v)
+                        found.append((*v, name))
     out = []
-    for (v, i, j), name in sorted((f, n) for n, f in best.items()):
+    for v, i, j, name in sorted(found):
         if all(j < a or i > z for _, _, a, z in out):
             out.append((name, -v, i, j))
     return sorted(out)
@@ -317,6 +320,17 @@ def best_window(t, template, dice=0.8):
     return out if out >= dice else None
 
 
+def test_each_notice_of_a_licence_is_found(spark):
+    one, other = "Released under the MIT License.", "Licensed under CC BY 4.0."
+    prose = lambda n: " ".join(f"w{i}" for i in range(n))
+    lines = [one, prose(40), one, other, f"{prose(30)} {one} {prose(20)} {one} {prose(9)} {other}", prose(7), one]
+    many = " ".join(f"{one} {prose(12)}" for _ in range(400))
+    got = license_scan.scan(documents(spark, [(1, "\n".join(lines), "s"), (2, many, "s")])).collect()
+    assert sorted((g.license, g.first_line, g.last_line) for g in got if g.doc_id == 1) == [
+        ("CC-BY-4.0", 3, 3), ("CC-BY-4.0", 4, 4), ("MIT", 0, 0), ("MIT", 2, 2), ("MIT", 4, 4), ("MIT", 4, 4), ("MIT", 6, 6)]
+    assert [(g.license, g.dice, g.first_line, g.last_line) for g in got if g.doc_id == 2] == [("MIT", 1.0, 0, 0)] * 400
+
+
 def test_licences_inside_longer_lines(spark):
     mit = license_scan.TEMPLATES["MIT"][2]
     gpl = "This work is licensed under the GNU General Public License, version {}."
