@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.llm.common import LOWER, binaries, gram_hashes, per_batch, word_hashes
+from volpanel.llm.common import LOWER, binaries, gram_hashes, per_batch, slices, word_hashes
 from volpanel.sources.stage import stage
 
 BAD, NONE, GOOD = 0, 1, 2
@@ -203,7 +203,7 @@ def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5, min_words
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keep = []
             for b in binaries(batch.column(at)):
                 m = measure(b or b"")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.llm.common import as_batch, binaries, mix, per_batch
+from volpanel.llm.common import as_batch, binaries, mix, per_batch, slices
 from volpanel.sources.stage import stage
 
 #: Bytes of an anchor string (a power of two) and of one numpy pass over texts.
@@ -441,7 +441,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     at, names, schema = docs.columns.index(text), docs.columns, docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             columns, texts, keep = batch.column(0).flatten(), [], []
             for b, s in zip(binaries(columns[at]), batch.column(1), strict=True):
                 found, rest = cut(b or b"", s, length)
