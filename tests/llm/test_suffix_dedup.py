@@ -58,10 +58,40 @@ def test_blocks_of_one_anchor_meet(spark, monkeypatch):
     r = random.Random(9)
     middle = "".join(r.choice("abcdefgh") for _ in range(60))
     rows = [(i, r.choice("pq") * (i % 40) + middle + r.choice("rs") * 60, "s") for i in range(60)]
-    blocks = sd.sort_block([(i, sd.pack(0, 1, 10), (t * 3)[:109].encode()) for i, t, _ in rows[:20]], 100)
+    blocks = sd.sort_block([(i, 7, sd.pack(0, 10, 0), (t * 3)[:109].encode()) for i, t, _ in rows[:20]], 100)
     assert blocks[1]
     check(spark, rows)
 
 
+def test_texts_that_share_an_id(spark):
+    r = random.Random(11)
+    passages = ["".join(r.choice("abcdefgh") for _ in range(150)) for _ in range(6)]
+    rows = [(r.choice((None, None, None, 5, 6, 7)), r.choice(passages) + "".join(r.choice("xy") for _ in range(r.randrange(30)))
+             + r.choice(passages), "s") for _ in range(150)]
+    check(spark, rows + rows[:20])
+    # level in several texts of an id, and earlier in a smaller id of another partition
+    check(spark, [(5, passages[0] + "A", "s"), (5, passages[0] + "B", "s"), (5, passages[0] + "B", "s"), (1, "z" + passages[0], "s")])
+    check(spark, [(5, passages[0] + "A", "s"), (5, passages[0] + "B", "s")])
+
+
+def test_many_rows_without_id(spark):
+    """Rows without an id spread by their text: one joined array of marks a text, not one for all of them."""
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh") for _ in range(200))
+    rows = [(None, f"{i} " * (i % 9) + passage + f" {i}", "s") for i in range(5000)]
+    check(spark, rows)
+    docs = documents(spark, rows)
+    spots = sd.find_repeats(docs, "doc_id", "text", 100)
+    assert spots.groupBy("doc", "tag").count().where("count > 1").isEmpty()
+    windows = max(len(t) for _, t, _ in rows) - 99
+    assert spots.selectExpr("max(size(spots))").first()[0] <= windows  # those of its own text
+
+
+def test_column_names_with_dots(spark):
+    docs = documents(spark, [(1, "a" * 150, "s"), (2, "b", "s")]).withColumnRenamed("source", "a.`b")
+    assert sd.without_repeats(docs).columns == docs.columns
+    assert sd.without_repeats(docs).count() == 2
+
+
 def test_empty_table(spark):
     assert sd.digest(sd.remove_repeats(documents(spark, []))).collect() == []

@@ -23,8 +23,10 @@ input and never cross documents.
 
 Defined results: null text counts as empty; texts shorter than ``length`` lose
 nothing. A null id comes after all others. Rows that share an id and text are
-judged alike and do not remove each other; with different texts they are separate
-documents of one rank. Empty table: no rows. Other columns are ignored.
+judged alike and do not remove each other; with different texts (told apart by a
+64-bit hash) they are separate documents of one rank, of which the earlier start
+counts. Marks are joined by id and that hash, so rows without an id spread. Empty
+table: no rows. Other columns are ignored.
 """
 
 from collections import Counter
@@ -44,9 +46,12 @@ GRAM, PIECE = 32, 1 << 20
 #: Bytes of segments that one suffix array takes.
 BLOCK = 1 << 16
 NULL_ID = (1 << 63) - 1
+#: Stands for an anchor's offset in a row that is a mark.
+MARK = 127
+IS_MARK = f"(spot & {MARK << 7}) = {MARK << 7}"
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = (mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1))
-MARKS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "doc", "spot", "at")])
+MARKS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "doc", "tag", "spot")])
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -120,11 +125,6 @@ def suffix_array(text: bytes) -> list[int]:
         i += 1
 
 
-def text_tag(b: bytes) -> int:
-    """24 bits that tell apart different texts under one id."""
-    return xxhash.xxh3_64_intdigest(b) & 0xFFFFFF
-
-
 def segments(buffers: list[bytes], length: int):
     """Arrays (buffer number, start, window starts, anchor's offset, anchor hash, content hash) of all segments."""
     window = length - GRAM + 1
@@ -180,43 +180,43 @@ def _segments(batch, length, window):
     return number, heads + offset, ends - heads, spot[heads] - heads, h[spot[heads]], content
 
 
-def pack(start, tag, n):
-    """Start, tag of the text and number of window starts in one long that sorts by start."""
-    return (start << 31) | (tag << 7) | n
+def pack(start, n, at=MARK):
+    """Start, anchor's offset and number of window starts of a segment in one long that sorts by start."""
+    return (start << 14) | (at << 7) | n
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Rows (anchor, content, doc, spot, at): the earliest segment of its content in this batch, with the anchor's
-    offset in it; or a mark (at = -1)."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "content", "doc", "spot", "at")])
+    """Rows (anchor, content, doc, tag, spot): the earliest segment of its content in this batch, and those of other
+    texts that start level with it; or a mark."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "content", "doc", "tag", "spot")])
 
     def run(batch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = [b or b"" for b in binaries(batch.column(1))]
-        tags = np.array([text_tag(b) for b in texts], np.int64)
-        parts = list(segments(texts, length))
+        ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        parts = list(segments([b or b"" for b in binaries(batch.column(2))], length))
         if not parts:
             return
         number, start, n, at, anchor, content = map(np.concatenate, zip(*parts, strict=True))
-        doc = ids[number]
-        spot = pack(start, tags[number], n)
-        order = np.lexsort((spot, doc, content))
-        content, doc, spot, at, anchor = content[order], doc[order], spot[order], at[order], anchor[order]
-        copy = np.zeros(len(content), bool)
-        copy[1:] = content[1:] == content[:-1]
-        first = np.maximum.accumulate(np.where(copy, 0, np.arange(len(copy))))
-        twin = copy & (doc == doc[first]) & (spot >> 31 == spot[first] >> 31)
+        doc, tag = ids[number], tags[number]
+        spot = pack(start, n, at)
+        order = np.lexsort((tag, spot, doc, content))
+        content, doc, tag, spot, anchor = content[order], doc[order], tag[order], spot[order], anchor[order]
+        same = np.zeros(len(content), bool)
+        same[1:] = content[1:] == content[:-1]
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        level = same & (doc == doc[first]) & (spot >> 14 == spot[first] >> 14)
+        copy, again = same & ~level, level.copy()
+        again[1:] &= tag[1:] == tag[:-1]
         # marks go anywhere: spread them by document
-        key = np.where(copy, mix(doc.view(np.uint64)), anchor)
-        yield {"anchor": key.view(np.int64)[~twin], "content": content.view(np.int64)[~twin], "doc": doc[~twin],
-               "spot": spot[~twin], "at": np.where(copy, -1, at)[~twin]}
+        key = np.where(copy, mix((doc ^ tag).view(np.uint64)), anchor).view(np.int64)
+        spot = np.where(copy, spot | (MARK << 7), spot)
+        yield {name: v[~again] for name, v in zip(schema.names, (key, content.view(np.int64), doc, tag, spot), strict=True)}
 
     return per_batch(docs, run, schema)
 
 
 def mark_copies(rows: DataFrame) -> DataFrame:
-    """From each anchor's sorted stream: marks (at = -1) of later copies, and the segments of
-    anchors that have more than one content."""
+    """From each anchor's sorted stream: marks of later copies, and the segments of anchors that have more than
+    one content, or one content level in several texts of an id."""
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -225,78 +225,78 @@ def mark_copies(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, c, d, s, t = (batch.column(i).to_numpy() for i in range(5))
-            ready = t < 0
-            pa_, pc, pd_, ps = (np.concatenate(([0 if last is None else last[i]], v[:-1])) for i, v in enumerate((a, c, d, s)))
+            a, c, d, g, s = (batch.column(i).to_numpy() for i in range(5))
+            ready = (s >> 7) & 127 == MARK
+            pa_, pc, pg = (np.concatenate(([0 if last is None else last[i]], v[:-1])) for i, v in enumerate((a, c, g)))
             same_a, same_c = (pa_ == a) & ~ready, (pa_ == a) & (pc == c) & ~ready
             if last is None:
                 same_a[0] = same_c[0] = False
-            # of copies, the first row decides; equal id and start is the same document
+            # of copies, the first row decides; one that is level with it is no later one
             head = ~same_c & ~ready
             at = np.maximum.accumulate(np.where(head, np.arange(len(a)), -1))
-            fd = np.where(at < 0, 0 if last is None else last[4], d[at])
-            fs = np.where(at < 0, 0 if last is None else last[5], s[at])
-            copy = same_c & ~((d == fd) & (s >> 31 == fs >> 31))
+            fd = np.where(at < 0, 0 if last is None else last[3], d[at])
+            fs = np.where(at < 0, 0 if last is None else last[4], s[at])
+            level = same_c & (d == fd) & (s >> 14 == fs >> 14)
+            copy = same_c & ~level
             opens = head & ~same_a
-            other = head & same_a
+            other = (head & same_a) | (level & (pg != g))
             group = np.cumsum(opens)
             several = np.zeros(group[-1] + 1, bool)
             several[group[other]] = True
             out = [np.flatnonzero(ready | copy), np.flatnonzero(other | (opens & several[group]))]
             k = np.concatenate(out)
-            cols = {"anchor": a[k], "doc": d[k], "spot": s[k], "at": np.append(np.full(len(out[0]), -1), t[out[1]])}
+            cols = {"anchor": a[k], "doc": d[k], "tag": g[k], "spot": np.append(s[out[0]] | (MARK << 7), s[out[1]])}
             if waiting is not None and several[0]:
                 cols = {n: np.append(v, w) for (n, v), w in zip(cols.items(), waiting, strict=True)}
                 waiting = None
             yield as_batch(cols, target)
             if opens.any():
                 i = np.flatnonzero(opens)[-1]
-                waiting = None if several[group[i]] else (a[i], d[i], s[i], t[i])
-            last = (a[-1], c[-1], d[-1], s[-1], fd[-1], fs[-1])
+                waiting = None if several[group[i]] else (a[i], d[i], g[i], s[i])
+            last = (a[-1], c[-1], g[-1], fd[-1], fs[-1])
 
-    return rows.repartition("anchor").sortWithinPartitions(F.col("at") < 0, "anchor", "content", "doc", "spot").mapInArrow(run, MARKS)
+    order = (F.expr(IS_MARK), "anchor", "content", "doc", "spot", "tag")
+    return rows.repartition("anchor").sortWithinPartitions(*order).mapInArrow(run, MARKS)
 
 
 def segment_texts(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     """The bytes of the segments to be sorted, read again from their documents."""
-    wanted = marks.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "spot", "at")).alias("spots"))
+    wanted = marks.where(f"not ({IS_MARK})").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "spot")).alias("spots"))
     schema = T.StructType([*MARKS.fields, T.StructField("bytes", T.BinaryType())])
 
     def run(batch):
         out = ([], [], [], [], [])
         seen = set()
-        for doc, b, spots in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), batch.column(2), strict=True):
-            b = b or b""
-            tag = text_tag(b)
+        for doc, tag, b, spots in zip(*(batch.column(i).to_pylist() for i in range(2)), binaries(batch.column(2)), batch.column(3), strict=True):
             if (doc, tag) in seen:
                 continue
             seen.add((doc, tag))
-            for a, s, at in zip(*(spots.values.field(i).to_pylist() for i in range(3)), strict=True):
-                if (s >> 7) & 0xFFFFFF == tag:
-                    start = s >> 31
-                    for o, v in zip(out, (a, doc, s, at, b[start: start + (s & 127) + length - 1]), strict=True):
-                        o.append(v)
+            for a, s in zip(*(spots.values.field(i).to_pylist() for i in range(2)), strict=True):
+                start = s >> 14
+                for o, v in zip(out, (a, doc, tag, s, b[start: start + (s & 127) + length - 1]), strict=True):
+                    o.append(v)
         yield dict(zip(schema.names, out, strict=True))
 
-    return per_batch(docs.join(wanted, "doc").select("doc", "text", "spots"), run, schema)
+    return per_batch(docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "spots"), run, schema)
 
 
-def sort_block(rows: list[tuple[int, int, bytes]], length: int):
-    """Marks (doc, spot) of one block of segments (doc, spot, bytes), and the earliest starts of its strings."""
-    text = b"\xff".join(b for _, _, b in rows) + b"\xff"
+def sort_block(rows: list[tuple[int, int, int, bytes]], length: int):
+    """Marks (doc, tag, spot) of one block of segments (doc, tag, spot, bytes), and the earliest starts of its strings."""
+    text = b"\xff".join(b for *_, b in rows) + b"\xff"
     owner, begin, at = [], [], 0
-    for k, (_, s, b) in enumerate(rows):
+    for k, (_, _, s, b) in enumerate(rows):
         owner += [k] * (s & 127) + [-1] * (len(b) + 1 - (s & 127))
         begin.append(at)
         at += len(b) + 1
     marks, firsts = [], []
 
     def close(group):
-        found = sorted((rows[owner[p]][0], (rows[owner[p]][1] >> 31) + p - begin[owner[p]], owner[p]) for p in group)
-        for doc, start, k in found[1:]:
+        found = sorted((rows[owner[p]][0], (rows[owner[p]][2] >> 14) + p - begin[owner[p]], owner[p]) for p in group)
+        for doc, start, k in found:
             if (doc, start) != found[0][:2]:
-                marks.append((doc, pack(start, (rows[k][1] >> 7) & 0xFFFFFF, 1)))
-        firsts.append(found[0])
+                marks.append((doc, rows[k][1], pack(start, 1)))
+            else:
+                firsts.append((doc, start, k))
 
     group, before = [], None
     for p in suffix_array(text):
@@ -310,24 +310,24 @@ def sort_block(rows: list[tuple[int, int, bytes]], length: int):
         group.append(p)
     if group:
         close(group)
-    return marks, [(doc, pack(start, (rows[k][1] >> 7) & 0xFFFFFF, 1),
-                    rows[k][2][start - (rows[k][1] >> 31):][:length]) for doc, start, k in firsts]
+    return marks, [(doc, rows[k][1], pack(start, 1, 0), rows[k][3][start - (rows[k][2] >> 14):][:length]) for doc, start, k in firsts]
 
 
 def related(group: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, bytes]]:
-    """The segments (doc, spot, at, bytes) of one anchor that may share a window with another. A shared window
+    """The segments (doc, tag, spot, bytes) of one anchor that may share a window with another. A shared window
     holds the anchor and, on one side of it at least, half of its other bytes."""
     side = -(-(length - GRAM) // 2)
-    left = [b[at - side:at] if at >= side else None for _, _, at, b in group]
-    right = [b[at + GRAM:at + GRAM + side] if len(b) >= at + GRAM + side else None for _, _, at, b in group]
+    places = [((s >> 7) & 127, b) for _, _, s, b in group]
+    left = [b[at - side:at] if at >= side else None for at, b in places]
+    right = [b[at + GRAM:at + GRAM + side] if len(b) >= at + GRAM + side else None for at, b in places]
     count = (Counter(left), Counter(right))
     return [r for r, x, y in zip(group, left, right, strict=True)
             if (x is not None and count[0][x] > 1) or (y is not None and count[1][y] > 1)]
 
 
 def sort_suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """Marks (at = -1) from suffix arrays over runs of anchors; with bytes (at = 0): the earliest strings of
-    one block of an anchor that needs several."""
+    """Marks from suffix arrays over runs of anchors; with bytes: the earliest strings of one block of an anchor
+    that needs several."""
     schema = texts.schema
 
     def run(batches):
@@ -336,10 +336,10 @@ def sort_suffixes(texts: DataFrame, length: int) -> DataFrame:
         target = to_arrow_schema(schema)
 
         def flush(block, split):
-            marks, firsts = sort_block([(d, s, b) for d, s, _, b in block], length) if block else ((), ())
-            rows = [(0, d, s, -1, None) for d, s in marks]
+            marks, firsts = sort_block(block, length) if block else ((), ())
+            rows = [(0, *m, None) for m in marks]
             if split:
-                rows += [(xxhash.xxh3_64_intdigest(b) - (1 << 63), d, s, 0, b) for d, s, b in firsts]
+                rows += [(xxhash.xxh3_64_intdigest(f[3]) - (1 << 63), *f) for f in firsts]
             if rows:
                 yield as_batch(dict(zip(target.names, map(list, zip(*rows, strict=True)), strict=True)), target)
 
@@ -375,40 +375,45 @@ def sort_suffixes(texts: DataFrame, length: int) -> DataFrame:
 
 def later_strings(firsts: DataFrame) -> DataFrame:
     """Marks of strings that the blocks of one anchor found separately."""
-    least = firsts.groupBy("anchor", "bytes").agg(F.min(F.struct("doc", (F.shiftright("spot", 31)).alias("start"))).alias("f"))
-    return (firsts.join(least, ["anchor", "bytes"])
-            .where("doc > f.doc or (doc = f.doc and shiftright(spot, 31) > f.start)").select("doc", "spot"))
+    start = F.shiftright("spot", 14)
+    least = firsts.groupBy("anchor", "bytes").agg(F.min(F.struct("doc", start.alias("start"))).alias("f"))
+    return firsts.join(least, ["anchor", "bytes"]).where(F.struct("doc", start.alias("start")) > F.col("f")).select("doc", "tag", "spot")
 
 
-def runs(spots: np.ndarray, size: int, tag: int, length: int) -> list[tuple[int, int]]:
+def runs(spots: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
     """Maximal removed byte ranges of one text."""
-    own = np.sort(spots[(spots >> 7) & 0xFFFFFF == tag])
+    own = np.sort(spots)
     if not len(own):
         return []
-    start = own >> 31
+    start = own >> 14
     end = np.minimum(np.maximum.accumulate(start + (own & 127) + length - 1), size)
     new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
     return list(zip(start[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
 
 def find_repeats(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """Rows (doc, spots): what goes from the texts of an id (NULL_ID stands for null)."""
+    """Rows (doc, tag, spots): what goes from each text of an id (NULL_ID stands for null)."""
     assert GRAM < length < 128 + GRAM - 1
-    own = docs.select(rank(key).alias("doc"), F.col(text).alias("text"))
+    own = docs.select(rank(key), text_tag(text), F.col(text).alias("text"))
     marks = stage(mark_copies(anchor_rows(own, length)), "marks")
     sorted_ = stage(sort_suffixes(segment_texts(own, marks, length), length), "suffixes")
-    found = (marks.where("at < 0").select("doc", "spot").union(sorted_.where("at < 0").select("doc", "spot"))
-             .union(later_strings(sorted_.where("at >= 0"))))
-    return stage(found.groupBy("doc").agg(F.collect_set("spot").alias("spots")), "spots")
+    found = (marks.where(IS_MARK).union(sorted_.where("bytes is null").drop("bytes")).select("doc", "tag", "spot")
+             .union(later_strings(sorted_.where("bytes is not null"))))
+    return stage(found.groupBy("doc", "tag").agg(F.collect_set("spot").alias("spots")), "spots")
 
 
 def rank(key: str):
-    return F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))
+    return F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc")
+
+
+def text_tag(text: str):
+    """Tells apart the texts under one id; rows without one spread by it."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag")
 
 
 def cut(b: bytes, spots, length: int) -> tuple[list[tuple[int, int]], bytes]:
     """Removed ranges and remaining bytes of one text; ``spots``: an Arrow list or null."""
-    found = runs(spots.values.to_numpy(), len(b), text_tag(b), length) if spots.is_valid else []
+    found = runs(spots.values.to_numpy(), len(b), length) if spots.is_valid else []
     edges = [0, *(e for r in found for e in r), len(b)]
     return found, b"".join(b[edges[i]: edges[i + 1]] for i in range(0, len(edges), 2))
 
@@ -417,7 +422,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """One row per document: ``key``, ``n_bytes``, ``removed`` (array of [start, end) byte ranges) and
     ``kept`` (the remaining bytes)."""
     spots = find_repeats(docs, key, text, length)
-    own = docs.select(rank(key).alias("doc"), F.col(text).alias("text"), F.col(key).alias("key"))
+    own = docs.select(rank(key), text_tag(text), F.col(text).alias("text"), F.col(key).alias("key"))
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()),
                            T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
 
@@ -430,14 +435,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             kept.append(rest)
         yield {key: batch.column(0), "n_bytes": sizes, "removed": removed, "kept": pa.array(kept, pa.binary())}
 
-    return per_batch(own.join(spots, "doc", "left").select("key", "text", "spots"), run, schema)
+    return per_batch(own.join(spots, ["doc", "tag"], "left").select("key", "text", "spots"), run, schema)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """The rows of ``docs`` with the remaining text. A character that an edge cuts in half goes whole; a text
     of which nothing is left goes with its row."""
     spots = find_repeats(docs, key, text, length)
-    row = docs.select(rank(key).alias("doc"), F.struct(*docs.columns).alias("row")).join(spots, "doc", "left").select("row", "spots")
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
+    row = docs.select(rank(key), text_tag(text), whole).join(spots, ["doc", "tag"], "left").select("row", "spots")
     at, names, schema = docs.columns.index(text), docs.columns, docs.schema
 
     def run(batches):
