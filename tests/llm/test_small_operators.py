@@ -167,16 +167,75 @@ def test_base_counts_and_verdicts(spark):
 
 # --- language model -------------------------------------------------------------------------------
 
-def test_probabilities_are_normalised_and_learned():
-    r = np.random.default_rng(0)
-    pairs = np.zeros((21, 20))
-    for a in range(21):
-        pairs[a, r.choice(20, 3, replace=False)] = 200
-    p = lm.train(pairs, steps=500)
-    assert np.allclose((10 ** p).sum(1), 1)
-    unigram = np.log10(pairs.sum(0) / pairs.sum())
-    assert (pairs * p).sum() > (pairs * unigram).sum() + 0.2 * pairs.sum()
-    assert np.allclose((10 ** lm.train(np.zeros((2, 1)))).sum(1), 1)
+def chained(n):
+    """Texts in which a word says much about the next."""
+    r = random.Random(21)
+    after = {w: [r.randrange(120) for _ in range(3)] for w in range(120)}
+    rows = []
+    for i in range(n):
+        w, text = r.randrange(120), []
+        for _ in range(60):
+            text.append(f"w{w}")
+            w = r.choice(after[w])
+        rows.append((i, " ".join(text), "s"))
+    return rows
+
+
+def test_score_is_normalised_and_beats_the_unigram(spark, monkeypatch):
+    seen = {}
+
+    def spy(spark, model, run=lm.normalisers):
+        seen["model"], seen["z"] = model, run(spark, model)
+        return seen["z"]
+
+    monkeypatch.setattr(lm, "normalisers", spy)
+    got = [g for g in lm.score(documents(spark, chained(3000))).collect() if g.held_out]
+    assert sum(g.score - g.base_score for g in got) > 0.1 * sum(g.n_tokens for g in got)
+    m = seen["model"]
+    p = np.exp(m.scores(m.hidden()) - seen["z"][:, None])
+    assert p.shape == (m.k + 1, m.k) and np.allclose(p.sum(1), 1, atol=1e-4)
+
+
+def test_score_of_a_text_is_the_product_of_its_steps(spark, monkeypatch):
+    """Held against a plain walk over each text with the fitted parameters."""
+    seen = {}
+
+    def spy(spark, model, run=lm.normalisers):
+        seen["model"] = model
+        return run(spark, model)
+
+    monkeypatch.setattr(lm, "normalisers", spy)
+    rows = chained(400) + [(9000, "never seen w1", "s"), (9001, None, "s")]
+    got = {g.doc_id: g for g in lm.score(documents(spark, rows).repartition(3)).collect()}
+    m = seen["model"]
+    score = m.scores(m.hidden()).astype(np.float64)
+    log_p = (score - lm.log_sum(score)[:, None]) / np.log(10)
+    toks = {i: [*words(lower(t or "")), None] for i, t, _ in rows}
+    c = Counter(w for i, ws in toks.items() if not got[i].held_out for w in ws)
+    least = max(2.0, sum(c.values()) ** 0.5 / lm.SPREAD)
+    hashed = {w: int(lm.word_hashes([(w or "").encode()])[0]) for w in c}
+    known = sorted((w for w in c if c[w] >= least), key=lambda w: (-c[w], lm.signed(np.array([hashed[w]], np.uint64))[0]))
+    cls = {w: k for k, w in enumerate(known)}
+    rest = [c[w] for w in c if w not in cls]
+    for i, ws in toks.items():
+        want, before = 0.0, m.k
+        for w in ws:
+            k = cls.get(w, len(known))
+            want += log_p[before, k]
+            if w not in cls:
+                want += np.log10((c[w] + 1) / (sum(rest) + len(rest) + 1))
+            before = k
+        assert abs(got[i].score - want) < 1e-2, i
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 60)  # several shards
+    monkeypatch.setattr(lm, "PORTION", 3000)
+    df = documents(spark, chained(600) + mixed_rows())
+    first, second = (sorted(((g.doc_id is None, g.doc_id or 0, g.n_tokens, g.score) for g in lm.score(d).collect()))
+                     for d in (df.coalesce(1), df.repartition(7)))
+    assert [x[:3] for x in first] == [x[:3] for x in second]
+    assert np.allclose([x[3] for x in first], [x[3] for x in second], atol=1e-3)
 
 
 def check_scores(spark, rows):

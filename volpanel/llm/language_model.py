@@ -9,9 +9,11 @@ whose crc32 of the id is not 2 modulo 7.
    the corpus, without a cap. All others share one class, scored by an add-one unigram inside it.
    Every task holds the model, about 210 bytes a class.
 3. **Training**: score(next | word) = (C q_word) . r_next + b_next, by noise-contrastive estimation
-   with AdaGrad. EPOCHS passes over all training pairs, so steps grow with them. The classes of the texts
-   are stored as runs; in each of ROUNDS rounds a pass, tasks learn their share from common parameters, and the
-   rows they touched are averaged. Equal pairs of an Arrow batch are learned as one with a weight.
+   with AdaGrad. EPOCHS passes over all training pairs, so steps grow with them. The classes of each text
+   are stored as runs; a hash of its id and text names the round of a pass and the shard it is learned in. Shards
+   grow with the root of the training tokens, as the model does. In each of ROUNDS rounds every shard learns its
+   runs, in order of hash and place, from common parameters, and the rows touched are averaged. So the model does
+   not depend on files, partitions or cores. Equal pairs of a portion of runs are learned as one with a weight.
 4. **Normalisers**: exact, over all classes for each class before, in tasks by blocks of classes.
 5. **Scores**: frequent tokens are looked up in the batch; the rare ones of a text leave
    as rows (text, token, times) and meet their counts in a join. Common tokens never are, so no
@@ -20,11 +22,13 @@ whose crc32 of the id is not 2 modulo 7.
 ``base`` is the add-one unigram score of the text over all training tokens.
 
 Defined results: null or empty text: its end alone. A null id hashes like an empty one.
-Repeated rows are scored alike, and each trains. No training text: the base is log10 of 1
+Repeated rows are scored alike, and each trains; those with equal id and text do so in one shard, as a
+stream. No training text: the base is log10 of 1
 per token (V = 0), the model one class. Empty table: no rows. Other columns are ignored.
 """
 
 import pickle
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.llm.common import LOWER, as_batch, binaries, most_frequent, per_batch, slices, word_hashes
+from volpanel.llm.common import LOWER, as_batch, binaries, mix, most_frequent, per_batch, slices, word_hashes
 from volpanel.sources.stage import stage
 
 END = int(word_hashes([b""])[0])
@@ -43,6 +47,8 @@ COMMON = 1 << 18
 SPREAD = 100
 #: Width of the vectors; passes over all pairs; rounds a pass; pairs a run; classes a block; most times of a pair in one row.
 WIDTH, EPOCHS, ROUNDS, RUN, BLOCK, HEAVY = 24, 1, 4, 512, 256, 16
+#: sqrt(training tokens) a shard; pairs that are learned at a time.
+SHARD, PORTION = 512, 1 << 18
 
 
 def tokens(b: bytes | None) -> np.ndarray:
@@ -101,23 +107,43 @@ def joined(batch_texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum([len(p) for p in parts]) - 1
 
 
-def class_runs(texts: DataFrame, lookup) -> DataFrame:
-    """(part, turn, run): the classes of all texts, k before each text, in runs of RUN pairs that overlap by one class."""
-    def run(batches):
-        from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target, w, turn, part = to_arrow_schema(schema), lookup.value, 0, TaskContext.get().partitionId()
-        for batch in (piece for whole in batches for piece in slices(whole)):
-            t, ends = joined(binaries(batch.column(0)))
-            begins = np.append(0, ends[:-1] + 1)
-            seq = np.insert(w.find(t)[2], begins, w.k).astype(np.int32)
-            runs = [seq[i:i + RUN + 1].tobytes() for i in range(0, len(seq) - 1, RUN)]
-            yield as_batch({"part": [part] * len(runs), "turn": (turn + np.arange(len(runs))) % ROUNDS, "run": runs}, target)
-            turn += len(runs)
+def class_runs(texts: DataFrame, lookup, shards: int) -> DataFrame:
+    """(turn, shard, hash, place, run): the classes of all texts (hash, text), k before each, in runs of RUN pairs that
+    overlap by one class."""
+    schema = T.StructType([T.StructField(c, t()) for c, t in (("turn", T.IntegerType), ("shard", T.IntegerType), ("hash", T.LongType),
+                                                             ("place", T.IntegerType), ("run", T.BinaryType))])
 
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("turn", T.IntegerType()), T.StructField("run", T.BinaryType())])
-    return texts.mapInArrow(run, schema)
+    def run(batch):
+        w = lookup.value
+        h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        t, ends = joined(binaries(batch.column(1)))
+        cls = w.find(t)[2].astype(np.int32)
+        owner, place, found = [], [], []
+        for k, (a, b) in enumerate(zip(np.append(0, ends[:-1] + 1).tolist(), (ends + 1).tolist(), strict=True)):
+            seq = np.append(np.int32(w.k), cls[a:b])
+            for i in range(0, len(seq) - 1, RUN):
+                owner.append(k)
+                place.append(i // RUN)
+                found.append(seq[i:i + RUN + 1].tobytes())
+        h = mix(h)[owner]
+        yield {"turn": (h % ROUNDS).astype(np.int32), "shard": (h // ROUNDS % shards).astype(np.int32), "hash": signed(h), "place": place, "run": found}
+
+    return per_batch(texts, run, schema)
+
+
+def portions(batches):
+    """(shard, runs) of sorted batches (shard, run), PORTION pairs at a time, wherever the batches end."""
+    shard, held, size = None, [], 0
+    for batch in batches:
+        for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and (s != shard or size >= PORTION):
+                yield shard, held
+                held, size = [], 0
+            shard = s
+            held.append(x)
+            size += len(x) // 4 - 1
+    if held:
+        yield shard, held
 
 
 def pairs_of(runs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,47 +228,30 @@ def log_sum(score: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(score - top[:, None]).sum(1, dtype=np.float64))
 
 
-def train(pairs: np.ndarray, steps: int = 800, batch: int = 4096, seed: int = 7) -> np.ndarray:
-    """log10 P(class | class before), rows normalised, of a model trained in one process on a small pair table."""
-    k = pairs.shape[1]
-    model, r = Model((pairs.sum(0) + 1.0) / (pairs.sum() + k), seed=seed), np.random.default_rng(seed)
-    code = np.flatnonzero(pairs.ravel())
-    cum = np.cumsum(pairs.ravel()[code])
-    for _ in range(steps if len(code) else 0):
-        drawn = code[np.searchsorted(cum, r.random(batch) * cum[-1], side="right")]
-        model.step(drawn // k, drawn % k, np.ones(batch, np.float32), r, 256, 0.1)
-    score = model.scores(model.hidden()).astype(np.float64)
-    return (score - log_sum(score)[:, None]) / np.log(10)
-
-
 def train_everywhere(runs: DataFrame, model: Model, epochs: int) -> Model:
     """The model after ``epochs`` passes over all pairs of ``runs``, ROUNDS rounds each.
 
-    In a round every task learns a ROUNDS-th of its runs from the common parameters; blocks of rows it has touched
+    In a round every shard learns a ROUNDS-th of its runs from the common parameters; blocks of rows it has touched
     meet in a shuffle, where a row becomes the mean over its steps and the sums add up."""
     import pandas as pd
 
     spark = runs.sparkSession
-    workers = max(1, spark.sparkContext.defaultParallelism)
     schema = "name string, block long, part int, body binary"
     for turn in range(epochs * ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
         def learn(batches):
-            own, r, part = None, None, 0
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                if own is None:
-                    own, part = pickle.loads(pickle.dumps(shared.value)), batch.column(0)[0].as_py()
-                    for x in own.tables().values():
-                        x[:, -1] = 0
-                    r = np.random.default_rng([turn, part])
-                own.learn(*pairs_of(batch.column(1).to_pylist(), own.k), r)
-            for name, x in own.tables().items() if own else ():
-                for b in range(0, len(x), BLOCK):
-                    if x[b:b + BLOCK, -1].any():
-                        yield pa.RecordBatch.from_pydict({"name": [name], "block": [b], "part": pa.array([part], pa.int32()), "body": [x[b:b + BLOCK].tobytes()]})
+            for shard, found in groupby(portions(batches), key=lambda p: p[0]):
+                own, r = pickle.loads(pickle.dumps(shared.value)), np.random.default_rng([turn, shard])
+                for x in own.tables().values():
+                    x[:, -1] = 0
+                for _, portion in found:
+                    own.learn(*pairs_of(portion, own.k), r)
+                for name, x in own.tables().items():
+                    for b in range(0, len(x), BLOCK):
+                        if x[b:b + BLOCK, -1].any():
+                            yield pa.RecordBatch.from_pydict({"name": [name], "block": [b], "part": pa.array([shard], pa.int32()),
+                                                              "body": [x[b:b + BLOCK].tobytes()]})
 
         def mean(key, found):
             old = shared.value.tables()[key[0]][key[1]:key[1] + BLOCK].astype(np.float64)
@@ -261,7 +270,8 @@ def train_everywhere(runs: DataFrame, model: Model, epochs: int) -> Model:
             new[:, -1] = 0
             return pd.DataFrame({"name": [key[0]], "block": [key[1]], "part": [0], "body": [new.tobytes()]})
 
-        done = (runs.where(F.col("turn") == turn % ROUNDS).select("part", "run").coalesce(workers).mapInArrow(learn, schema)
+        done = (runs.where(F.col("turn") == turn % ROUNDS).repartition("shard").sortWithinPartitions("shard", "hash", "place")
+                .select("shard", "run").mapInArrow(learn, schema)
                 .groupBy("name", "block").applyInPandas(mean, schema).toPandas())  # as large as the model, which every task holds
         model = pickle.loads(pickle.dumps(model))
         for name, b, body in zip(done["name"], done["block"], done["body"], strict=True):
@@ -293,8 +303,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     and ``score``, the model's log10 probability of the text. ``vocabulary``: at most so many tokens; None: all above the count."""
     spark = docs.sparkSession
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out(key).alias("held_out"))
-    training = own.where("not held_out").select("text")
-    counts = stage(count_tokens(training), "counts")
+    training = own.where("not held_out")
+    counts = stage(count_tokens(training.select("text")), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     least = max(2.0, n ** 0.5 / SPREAD)
     top = most_frequent(counts, "c", COMMON)
@@ -307,7 +317,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     v_rest = v - w.known
     lookup = spark.sparkContext.broadcast(w)
     unigram = np.append(top["c"].to_numpy(np.float64)[:w.known], n_rest) + 1
-    model = train_everywhere(stage(class_runs(training, lookup), "runs"), Model(unigram / unigram.sum()), EPOCHS)
+    texts = training.select(F.xxhash64(F.col("key").cast("string"), "text"), "text")
+    runs = stage(class_runs(texts, lookup, max(1, int(n ** 0.5 / SHARD))), "runs")
+    model = train_everywhere(runs, Model(unigram / unigram.sum()), EPOCHS)
     d = model.c.shape[0]
     fitted = spark.sparkContext.broadcast((model.hidden(), model.out[:, :d].copy(), model.out[:, d].copy(), normalisers(spark, model)))
     base_norm, rest_norm = np.log10(n + v + 1), np.log10(n_rest + v_rest + 1)
