@@ -63,3 +63,16 @@ def test_stages_take_raw_and_empty_tables(spark, tmp_path):
         for name, fn in corpus_pipeline.STAGES:
             out = fn(spark, table, str(tmp_path))
             assert out.count() <= table.count()
+
+
+def test_stages_take_any_column_names(spark, tmp_path):
+    rows, items = corpus()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = documents(spark, rows, extra=False)
+    odd = plain.selectExpr("*", "1 AS `a.b`", "2 AS `__text`", "3 AS Head", "4 AS code", "5 AS `__k`", "6 AS copies", "7 AS hits", "8 AS `row`", "9 AS spots", "10 AS doc", "11 AS `tick``s`")
+    for name, fn in corpus_pipeline.STAGES:
+        want, got = fn(spark, plain, str(tmp_path)), fn(spark, odd, str(tmp_path))
+        if name != "mixing sources":
+            assert got.columns == odd.columns
+            assert all(list(r)[-11:] == list(range(1, 12)) for r in got.collect())
+        assert Counter(as_rows(got)) == Counter(as_rows(want))

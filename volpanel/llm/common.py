@@ -53,6 +53,19 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), width))
 
 
+def whole_row(df: DataFrame):
+    """All columns as one struct, whatever their names."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about SLICE_BYTES, so that a task's memory does not depend on text lengths."""
     rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))

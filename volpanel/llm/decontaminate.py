@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.llm.common import LOWER, binaries, per_batch
+from volpanel.llm.common import LOWER, binaries, per_batch, whole_row
 from volpanel.sources.stage import stage
 
 #: Lower case; every ASCII character that is no letter or digit parts words.
@@ -160,7 +160,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     ranges) and ``items`` (ids of items with a window in it, as strings, sorted). With ``whole_rows``
     the first column is ``row``, a struct of all columns of ``docs``, in place of the key."""
     spark = docs.sparkSession
-    first = F.struct(*docs.columns).alias("row") if whole_rows else F.col(key).alias("key")
+    first = whole_row(docs).alias("row") if whole_rows else F.col(key).alias("key")
     schema = T.StructType([docs.select(first).schema[0], T.StructField("text", T.StringType()),
                            T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.ArrayType(T.LongType()))),
                            T.StructField("items", T.ArrayType(T.StringType()))])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.llm.common import LOWER, binaries, gram_hashes, per_batch, slices, word_hashes
+from volpanel.llm.common import LOWER, binaries, gram_hashes, per_batch, slices, whole_row, word_hashes
 from volpanel.sources.stage import stage
 
 BAD, NONE, GOOD = 0, 1, 2
@@ -200,14 +200,14 @@ def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5, min_words
     """The rows of ``docs`` that ``judge`` keeps, with all their columns: two narrow passes, no shuffle."""
     seen = measures(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")), "key", "text")
     good = posteriors(seen, min_words, max_repeat)
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), docs.columns
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):
-            keep = []
-            for b in binaries(batch.column(at)):
+            columns, keep = batch.column(0).flatten(), []
+            for b in binaries(columns[at]):
                 m = measure(b or b"")
                 keep.append(not base_failed(m.n_words, m.n_repeat_words, min_words, max_repeat) and good[votes(m)] >= least)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select(whole_row(docs).alias("row")).mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.llm.common import as_batch, binaries, mix, per_batch, slices
+from volpanel.llm.common import as_batch, binaries, mix, per_batch, slices, whole_row
 from volpanel.sources.stage import stage
 
 #: Bytes of an anchor string (a power of two) and of one numpy pass over texts.
@@ -442,8 +442,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """The rows of ``docs`` with the remaining text. A character that an edge cuts in half goes whole; a text
     of which nothing is left goes with its row."""
     spots = find_repeats(docs, key, text, length)
-    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
-    row = docs.select(rank(key), text_tag(text), whole).join(spots, ["doc", "tag"], "left").select("row", "spots")
+    row = docs.select(rank(key), text_tag(text), whole_row(docs).alias("row")).join(spots, ["doc", "tag"], "left").select("row", "spots")
     at, names, schema = docs.columns.index(text), docs.columns, docs.schema
 
     def run(batches):
