@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.llm import decontaminate, overlap_join, quality_rules, source_mix, suffix_dedup
+from volpanel.llm.common import free_name
 from volpanel.sources.stage import stage
 
 
@@ -25,9 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each class of near copies."""
     classes = overlap_join.jaccard_classes(docs)
-    heads = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("__head")).distinct()
-    return (docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
-            .withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text"))
+    head, code = free_name(docs, "head"), free_name(docs, "code")
+    heads = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias(head)).distinct()
+    return (docs.join(heads, F.col("doc_id").eqNullSafe(F.col(head)), "left_semi")
+            .withColumn(code, F.xxhash64("text")).dropDuplicates(["doc_id", code]).drop(code))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +46,12 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: each document with its number of ``copies`` and ``finish``, the virtual time
-    that orders the mix."""
-    row = F.xxhash64("doc_id", "text").alias("__row")
-    plan = (source_mix.mix(docs.select(row, "source", "text"), key="__row").where("copies > 0")
-            .groupBy(F.col("__row").alias("__k")).agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")))
-    return docs.drop("copies", "finish").join(plan, row == F.col("__k")).drop("__k")
+    that orders the mix. Columns of these two names in ``docs`` give way."""
+    code = free_name(docs, "code")
+    row = F.xxhash64("doc_id", "text")
+    plan = (source_mix.mix(docs.select(row.alias(code), "source", "text"), key=code).where("copies > 0")
+            .groupBy(code).agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")))
+    return docs.drop("copies", "finish").withColumn(code, row).join(plan, code).drop(code)
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeated_passages),
