@@ -280,8 +280,9 @@ def segment_texts(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     return per_batch(docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "spots"), run, schema)
 
 
-def sort_block(rows: list[tuple[int, int, int, bytes]], length: int):
-    """Marks (doc, tag, spot) of one block of segments (doc, tag, spot, bytes), and the earliest starts of its strings."""
+def sort_block(rows: list[tuple[int, int, int, bytes]], length: int, split: bool = True):
+    """Marks (doc, tag, spot) of one block of segments (doc, tag, spot, bytes), and, if the block is one of several
+    (``split``), the earliest starts of its strings."""
     text = b"\xff".join(b for *_, b in rows) + b"\xff"
     owner, begin, at = [], [], 0
     for k, (_, _, s, b) in enumerate(rows):
@@ -295,20 +296,22 @@ def sort_block(rows: list[tuple[int, int, int, bytes]], length: int):
         for doc, start, k in found:
             if (doc, start) != found[0][:2]:
                 marks.append((doc, rows[k][1], pack(start, 1)))
-            else:
+            elif split:
                 firsts.append((doc, start, k))
 
+    least = 0 if split else 1  # a string that starts once marks nothing
     group, before = [], None
     for p in suffix_array(text):
         if owner[p] < 0:
             continue
         string = text[p: p + length]
-        if string != before:
-            if group:
-                close(group)
-            group, before = [], string
-        group.append(p)
-    if group:
+        if string == before:
+            group.append(p)
+            continue
+        if len(group) > least:
+            close(group)
+        group, before = [p], string
+    if len(group) > least:
         close(group)
     return marks, [(doc, rows[k][1], pack(start, 1, 0), rows[k][3][start - (rows[k][2] >> 14):][:length]) for doc, start, k in firsts]
 
@@ -336,7 +339,7 @@ def sort_suffixes(texts: DataFrame, length: int) -> DataFrame:
         target = to_arrow_schema(schema)
 
         def flush(block, split):
-            marks, firsts = sort_block(block, length) if block else ((), ())
+            marks, firsts = sort_block(block, length, split) if block else ((), ())
             rows = [(0, *m, None) for m in marks]
             if split:
                 rows += [(xxhash.xxh3_64_intdigest(f[3]) - (1 << 63), *f) for f in firsts]
