@@ -48,7 +48,7 @@ SPREAD = 100
 #: Width of the vectors; passes over all pairs; rounds a pass; pairs a run; classes a block; most times of a pair in one row.
 WIDTH, EPOCHS, ROUNDS, RUN, BLOCK, HEAVY = 24, 1, 4, 512, 256, 16
 #: sqrt(training tokens) a shard; pairs that are learned at a time.
-SHARD, PORTION = 512, 1 << 18
+SHARD, PORTION = 512, 1 << 21
 
 
 def tokens(b: bytes | None) -> np.ndarray:
