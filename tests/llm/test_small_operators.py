@@ -298,6 +298,114 @@ def test_steps_grow_with_the_pairs():
     assert steps == [2, 13]
 
 
+def plain_step(m, before, after, times, r, noise, rate):
+    """One step of noise-contrastive estimation over the whole matrix of pairs and draws, in doubles."""
+    d = m.c.shape[0]
+    wrong = np.minimum(np.searchsorted(m.cum, r.random(noise) * m.cum[-1], side="right"), m.k - 1)
+    log_noise = m.log_unigram.astype(np.float64) + np.log(noise)
+    c, rows, out = (x.astype(np.float64) for x in (m.c, m.rows, m.out))
+    q, right, false_r = rows[before, :d], out[after, :d], out[wrong, :d]
+    h = q @ c[:, :d].T
+    weight = times / times.mean() / len(times)
+    dt = weight / (1 + np.exp((h * right).sum(1) + out[after, d] - log_noise[after]))
+    df = -weight[:, None] / (1 + np.exp(-(h @ false_r.T + out[wrong, d] - log_noise[wrong])))
+    dh = dt[:, None] * right + df @ false_r
+
+    def add(table, at, gradient):
+        g = np.zeros((len(table), gradient.shape[1]))
+        np.add.at(g, at, gradient)
+        at = np.unique(at)
+        for a, b, s in ((0, d, g.shape[1]), (d, g.shape[1], g.shape[1] + 1)):
+            if b > a:
+                table[at, s] += (g[at, a:b] ** 2).mean(1)
+                table[at, a:b] += rate * g[at, a:b] / np.sqrt(table[at, s] + 1e-12)[:, None]
+        table[at, -1] += 1
+
+    add(c, np.arange(d), dh.T @ q)
+    add(rows, before, dh @ c[:, :d])
+    add(out, np.concatenate([after, wrong]), np.concatenate([np.concatenate([dt[:, None] * h, df.T @ h]), np.concatenate([dt, df.sum(0)])[:, None]], 1))
+    return c, out, rows
+
+
+def test_a_step_takes_equal_classes_once_and_is_the_plain_one():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    m = lm.Model((u := r.random(60) + 0.01) / u.sum())
+    before, after, times = r.integers(0, 61, 4096), r.integers(0, 60, 4096), r.integers(1, 17, 4096).astype(np.float32)
+    for seed in range(3):
+        want = plain_step(m, before, after, times, np.random.default_rng(seed), 256, 0.1)
+        tracemalloc.start()
+        m.step(before, after, times, np.random.default_rng(seed), 256, 0.1)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        for x, y in zip((m.c, m.out, m.rows), want, strict=True):
+            assert np.allclose(x, y, rtol=1e-4, atol=1e-5)
+        assert most < 4 << 20  # 61 classes before by at most 60 drawn, not 4096 pairs by 256 draws
+
+
+def test_normalisers_are_exact_and_taken_by_parts(monkeypatch):
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    m = lm.Model((u := r.random(30000) + 0.01) / u.sum())
+    for scale in (1, 30, 100):  # best scores far above those of the first part
+        m.rows[:, :24] = r.normal(0, 1, (30001, 24))
+        m.out[:, :24] = r.normal(0, scale, (30000, 24))
+        m.out[-1, 24] = 500
+        hidden = m.hidden()[:lm.ROWS]
+        want = lm.log_sum(m.scores(hidden.astype(np.float64)))
+        right = np.ascontiguousarray(lm.with_one(m.out[:, :25]).T)
+        tracemalloc.start()
+        got = lm.log_sums(hidden, right)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
+        assert most < 2 << 20
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    import time
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",")
+        return {f.rsplit("/", 1)[-1] for f in files if "/shuffle_" in f}
+
+    runs = spark.createDataFrame([(i % lm.ROUNDS, i % 3, i, 0, np.array([20, *(np.arange(i, i + 50) % 20)], np.int32).tobytes()) for i in range(200)],
+                                 "turn int, shard int, hash long, place int, run binary")
+    before = left()
+    lm.train_everywhere(runs, lm.Model(np.full(20, 0.05)), 1)
+    for _ in range(50):  # they go in the background
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+    assert spark.conf.get(lm.DROP, None) in (None, "false")
+
+
+def test_long_texts_are_walked_across_runs(spark, monkeypatch):
+    seen = {}
+
+    def spy(spark, model, run=lm.normalisers):
+        seen["model"] = model
+        return run(spark, model)
+
+    monkeypatch.setattr(lm, "normalisers", spy)
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 300}" for j in range(n)), "s") for i, n in enumerate([900, 40, 513, 512, 511, 3] * 8)]
+    got = {g.doc_id: g for g in lm.score(documents(spark, rows).repartition(3)).collect()}
+    c = Counter(w for i, t, _ in rows if not got[i].held_out for w in [*t.split(), ""])
+    assert min(c.values()) > 1 and all(w in c for _, t, _ in rows for w in t.split())
+    hashed = {w: lm.signed(lm.word_hashes([w.encode()]))[0] for w in c}
+    cls = {w: k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], hashed[w])))}
+    m = seen["model"]
+    score = m.scores(m.hidden()).astype(np.float64)
+    log_p = (score - lm.log_sum(score)[:, None]) / np.log(10)
+    for i, t, _ in rows:
+        steps = [cls[w] for w in [*t.split(), ""]]
+        assert got[i].n_tokens == len(steps)
+        assert abs(got[i].score - sum(log_p[a, b] for a, b in zip([m.k, *steps], steps))) < 1e-2, i
+
+
 # --- html -----------------------------------------------------------------------------------------
 
 BODY = "The river and the house of the green hill are in the middle of this land, as it was for all who came to it."
